@@ -152,10 +152,12 @@ def _count_changes(words: DataFrame, pending: list, fresh: list) -> DataFrame:
     holds = F.lit(False)
     for left, right in fresh:
         holds = holds | F.contains(F.col("packed"), F.lit(pattern(left, right)))
-    held = now.filter(holds)
-    after = held.withColumn("packed", apply_merges(F.col("packed"), fresh))
-    both = after.unionByName(held.withColumn("freq", -F.col("freq")))
-    return pair_counts(both).filter(F.col("freq") != 0)
+    # Each held word stands once as it was, counted off, and once merged, counted on.
+    sides = F.array(
+        F.struct(F.col("packed"), (-F.col("freq")).alias("freq")),
+        F.struct(apply_merges(F.col("packed"), fresh).alias("packed"), F.col("freq")),
+    )
+    return pair_counts(now.filter(holds).select(F.inline(sides))).filter(F.col("freq") != 0)
 
 
 def encode_packed(packed: Column, merges: list[tuple[str, str]]) -> Column:

@@ -10,6 +10,15 @@ from storyloom.operators.tokenizers import Tokenizer
 from storyloom.operators.vocabulary import BOS_ID, EOS_ID
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Stories partitioned by key before they are taken apart.
+
+    Texts are shuffled once, as texts. Exploding them, looking tokens up in a broadcast vocabulary, gathering the ids
+    and joining them to the story then all stay in the partition; otherwise the larger token rows would move.
+    """
+    return docs.repartition(F.col("doc_id"))
+
+
 def segmented(docs: DataFrame, at_least: int = 3) -> DataFrame:
     """Stories of enough sentences with ``first_sentence``, ``last_sentence`` and ``middle_part``."""
     cut = docs.withColumn("_parts", text.sentences(F.col("text"))).filter(F.size("_parts") >= at_least)
@@ -29,7 +38,7 @@ def blank_id_column(blank_id: int):
 
 def infill_examples(docs: DataFrame, tokenizer: Tokenizer, max_length: int = 512, min_length: int = 5) -> DataFrame:
     """Decoder-only examples: prompt ids ``first <blank> last`` and the ids of the whole story."""
-    cut = segmented(docs).select("doc_id", "first_sentence", "last_sentence", F.col("text").alias("full_story"))
+    cut = segmented(keyed(docs)).select("doc_id", "first_sentence", "last_sentence", F.col("text").alias("full_story"))
     ids = tokenizer.encode(
         cut,
         {"first": F.col("first_sentence"), "last": F.col("last_sentence"), "target_ids": F.col("full_story")},
@@ -46,7 +55,7 @@ def encoder_decoder_examples(
     docs: DataFrame, tokenizer: Tokenizer, max_length: int = 512, min_length: int = 5
 ) -> DataFrame:
     """Encoder-decoder examples: prompt ids for the encoder, the middle and its shifted copy for the decoder."""
-    cut = segmented(docs).withColumnRenamed("text", "full_story")
+    cut = segmented(keyed(docs)).withColumnRenamed("text", "full_story")
     ids = tokenizer.encode(
         cut,
         {
@@ -68,8 +77,7 @@ def encoder_decoder_examples(
 
 def framed_ids(docs: DataFrame, tokenizer: Tokenizer, max_length: int | None = None) -> DataFrame:
     """``doc_id`` and ``<bos> ids <eos>``, cut to ``max_length`` when given."""
-    inner = None if max_length is None else max_length
-    ids = tokenizer.encode(docs, {"body": F.col("text")}, inner)
+    ids = tokenizer.encode(keyed(docs), {"body": F.col("text")}, max_length)
     framed = F.concat(
         F.array(F.lit(BOS_ID).cast("bigint")), F.col("body"), F.array(F.lit(EOS_ID).cast("bigint"))
     )
@@ -92,7 +100,7 @@ def chunked(sequences: DataFrame, max_length: int = 50, overlap: int = 25, strid
 
 def middle_truth(docs: DataFrame, tokenizer: Tokenizer, max_length: int = 512) -> DataFrame:
     """Per story of at least two sentences: ids of first, last and whole story, and the ids between."""
-    cut = segmented(docs, 2)
+    cut = segmented(keyed(docs), 2)
     ids = tokenizer.encode(
         cut,
         {"first": F.col("first_sentence"), "last": F.col("last_sentence"), "truth": F.col("text")},

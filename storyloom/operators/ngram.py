@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import framed
 from storyloom.operators.lookup import lookup_join
-from storyloom.operators.vocabulary import PAD_ID
+from storyloom.operators.vocabulary import HEAD_IDS, HEAD_TOKEN_BYTES, PAD_ID, UNK_ID, Vocabulary
 from storyloom.scratch import StoredTable, store
 
 # A pair that makes up at least 1 / HEAD_PAIRS of all positions belongs to the head; there are at most that many.
@@ -42,6 +43,32 @@ def ngram_counts(sequences: DataFrame, ids: str = "ids", order: int = 2) -> Data
     return pair_rows(sequences, ids, order).groupBy("context", "target").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def bigram_counts(docs: DataFrame, tokens: Column, vocab: Vocabulary, limit: int | None = None) -> DataFrame:
+    """Bigram counts of framed stories straight from their tokens.
+
+    Pairs are counted as strings with a partial count in every map task, and only distinct pairs meet the vocabulary.
+    No story has to be put together again, so nothing is shuffled but distinct pairs.
+    """
+    framed_tokens = framed(tokens)
+    n = F.size("_t") - 1
+    pairs = F.arrays_zip(F.slice("_t", F.lit(1), n).alias("l"), F.slice("_t", F.lit(2), n).alias("r"))
+    counted = (
+        docs.select(framed_tokens.alias("_t"))
+        .select(F.explode(pairs).alias("_p"))
+        .groupBy(F.col("_p.l").alias("l"), F.col("_p.r").alias("r"))
+        .agg(F.count(F.lit(1)).alias("freq"))
+    )
+    ids = vocab.table.select("token", "id")
+    for word, out in (("l", "context"), ("r", "target")):
+        table = ids.select(F.col("token").alias(word), F.col("id").alias(out))
+        head = (F.col(out) < HEAD_IDS) & (F.octet_length(word) <= HEAD_TOKEN_BYTES)
+        other = "r" if word == "l" else "context"
+        counted = lookup_join(counted, table, [word], [other], head, limit=limit).drop(word)
+        counted = counted.withColumn(out, F.coalesce(out, F.lit(UNK_ID).cast("bigint")))
+    # Unknown tokens fall together, so equal pairs are added up once more.
+    return counted.groupBy("context", "target").agg(F.sum("freq").alias("freq"))
+
+
 @dataclass(frozen=True)
 class NgramModel:
     pairs: StoredTable

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.seeded import order_key
-from storyloom.scratch import store
+from storyloom.scratch import StoredTable, store
 
 # monotonically_increasing_id keeps the partition above this bit and the row inside it below.
 _ROW_BITS = 33
@@ -14,8 +14,8 @@ _ROW_BITS = 33
 _BUCKET_DIGITS = 4
 
 
-def ordered_position(keys: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """``keys`` with its 1-based position in ``order``, which must be a total order.
+def ordered_table(keys: DataFrame, order: list[Column], name: str = "position") -> tuple[StoredTable, int]:
+    """``keys`` with its 1-based position in ``order``, which must be a total order, and the number of rows.
 
     Range partitioning puts the keys in order across partitions, each partition numbers its own rows, and the
     sizes of the partitions before it are added. Pass only the columns that are needed: all are shuffled once.
@@ -27,19 +27,26 @@ def ordered_position(keys: DataFrame, order: list[Column], name: str = "position
         .sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    stored = store(laid_out, "ordered").df.withColumn("_part", F.shiftright("_row", _ROW_BITS))
-    sizes = {r["_part"]: r["n"] for r in stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    written = store(laid_out, "ordered")
+    rows = written.df.withColumn("_part", F.shiftright("_row", _ROW_BITS))
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, before = [], 0
     for part in sorted(sizes):
         offsets.append((part, before))
         before += sizes[part]
+    # One row for each range partition.
     starts = spark.createDataFrame(offsets, "_part bigint, _before bigint")
     inside = F.col("_row") - F.shiftleft(F.col("_part"), _ROW_BITS)
-    return (
-        stored.join(F.broadcast(starts), "_part")
+    numbered = (
+        rows.join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_before") + inside + 1)
         .drop("_row", "_part", "_before")
     )
+    return StoredTable(numbered, written.path, written.rows, written.memory_bytes), before
+
+
+def ordered_position(keys: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    return ordered_table(keys, order, name)[0].df
 
 
 def _bucketed(keys: DataFrame, by: list[str], seed_parts: list, key: str) -> tuple[DataFrame, DataFrame]:

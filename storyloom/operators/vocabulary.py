@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.text import BLANK_MARK, BOS, EOS, PAD, UNK
 from storyloom.operators.lookup import lookup_join
-from storyloom.operators.positions import ordered_position
-from storyloom.scratch import StoredTable, store
+from storyloom.operators.positions import ordered_table
+from storyloom.scratch import StoredTable
 
 # Special tokens and their ids.
 SPECIALS = [PAD, UNK, BOS, EOS]
@@ -69,14 +69,14 @@ def build_vocabulary(
     counts = counts_with_first(docs, tokens, key)
     if min_freq > 1:
         counts = counts.filter(F.col("freq") >= min_freq)
-    ranked = ordered_position(counts, [F.desc("freq"), F.asc("first_place")], "rank")
-    learned = ranked.filter(F.col("rank") <= max_size).select(
+    ranked, total = ordered_table(counts, [F.desc("freq"), F.asc("first_place")], "rank")
+    learned = ranked.df.filter(F.col("rank") <= max_size).select(
         "token", (F.col("rank") + len(SPECIALS) - 1).alias("id"), "freq"
     )
     spark = docs.sparkSession
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id bigint, freq bigint")
-    table = store(specials.unionByName(learned), "vocabulary")
-    return Vocabulary(table, int(table.df.agg(F.max("id")).first()[0]) + 1)
+    size = len(SPECIALS) + min(total, max_size)
+    return Vocabulary(StoredTable(specials.unionByName(learned), ranked.path, size, ranked.memory_bytes + 1024), size)
 
 
 def extend_vocabulary(vocab: DataFrame, tokens: list[str]) -> DataFrame:

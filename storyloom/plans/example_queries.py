@@ -60,7 +60,7 @@ def extend_vocab(spark, sf):
 @query("encode_ids", sql("enc", body=f"SELECT doc_id, len(ids)::BIGINT AS n_ids, {flat('ids')} AS ids FROM enc"))
 def encode_ids(spark, sf):
     docs = corpus.stories(spark, sf)
-    ids = vocabulary.encode_tokens(docs, tx.simple_tokens(F.col("text")), train_vocabulary(docs))
+    ids = vocabulary.encode_tokens(examples.keyed(docs), tx.simple_tokens(F.col("text")), train_vocabulary(docs))
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), joined(F.col("ids")).alias("ids"))
 
 
@@ -112,7 +112,7 @@ def compare_tokenizers(spark, sf):
 @query("truncate", sql("enc", body=f"SELECT doc_id, {flat('ids[1:128]')} AS ids FROM enc"))
 def truncate(spark, sf):
     docs = corpus.stories(spark, sf)
-    ids = tokenizer_for(docs).encode(docs, {"ids": F.col("text")}, max_length=128)
+    ids = tokenizer_for(docs).encode(examples.keyed(docs), {"ids": F.col("text")}, max_length=128)
     return ids.select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
@@ -134,7 +134,7 @@ def next_token_pairs(spark, sf):
 def padded_fixed(spark, sf):
     """Padded with ``<eos>`` to a fixed length; the labels are an unshifted copy."""
     docs = corpus.stories(spark, sf)
-    ids = tokenizer_for(docs).encode(docs, {"ids": F.col("text")}, max_length=512)
+    ids = tokenizer_for(docs).encode(examples.keyed(docs), {"ids": F.col("text")}, max_length=512)
     padded = ids.select("doc_id", joined(arrays.pad_to(F.col("ids"), 512, vocabulary.EOS_ID)).alias("input_ids"))
     return padded.withColumn("labels", F.col("input_ids"))
 
@@ -143,7 +143,7 @@ def padded_fixed(spark, sf):
     (ids[1:64] || [3 for y in range(64 - len(ids[1:64]))])], ' ') AS mask FROM enc"""))
 def pad_value_mask(spark, sf):
     docs = corpus.stories(spark, sf)
-    ids = tokenizer_for(docs).encode(docs, {"ids": F.col("text")}, max_length=64)
+    ids = tokenizer_for(docs).encode(examples.keyed(docs), {"ids": F.col("text")}, max_length=64)
     padded = arrays.pad_to(F.col("ids"), 64, vocabulary.EOS_ID)
     return ids.select("doc_id", joined(arrays.value_mask(padded, vocabulary.EOS_ID)).alias("mask"))
 
@@ -172,7 +172,7 @@ def encdec_examples(spark, sf):
 @query("decoder_shift", sql("enc", body=f"SELECT doc_id, {flat('[2::BIGINT] || ids[1:len(ids) - 1]')} AS decoder_input_ids FROM enc WHERE len(ids) > 0"))
 def decoder_shift(spark, sf):
     docs = corpus.stories(spark, sf)
-    ids = tokenizer_for(docs).encode(docs, {"ids": F.col("text")}).filter(F.size("ids") > 0)
+    ids = tokenizer_for(docs).encode(examples.keyed(docs), {"ids": F.col("text")}).filter(F.size("ids") > 0)
     return ids.select("doc_id", joined(arrays.decoder_shift(F.col("ids"), vocabulary.BOS_ID)).alias("decoder_input_ids"))
 
 
@@ -278,7 +278,7 @@ def blank_position(spark, sf):
 
 
 def prompt_ids(docs, tok, max_length=512):
-    sides = tok.encode(examples.segmented(docs), {"first": F.col("first_sentence"), "last": F.col("last_sentence")}, max_length)
+    sides = tok.encode(examples.segmented(examples.keyed(docs)), {"first": F.col("first_sentence"), "last": F.col("last_sentence")}, max_length)
     blank = examples.blank_id_column(tok.vocab.blank_id)
     return sides.select("doc_id", arrays.truncate(F.concat("first", blank, "last"), max_length).alias("ids"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import simple_tokens
 from storyloom.operators import batching, examples, metrics, ngram, sampling
 from storyloom.plans.corpus_queries import SEED
 from storyloom.plans.example_queries import BATCH, L, sequence_lengths, tokenizer_for
@@ -34,8 +35,8 @@ def trained(spark, sf, alpha=1.0):
 def train_pairs(spark, sf):
     docs = corpus.stories(spark, sf)
     tok = tokenizer_for(docs)
-    framed = examples.framed_ids(docs.filter("split = 'train'"), tok)
-    return store(ngram.ngram_counts(framed), "pairs"), tok
+    train = docs.filter("split = 'train'")
+    return store(ngram.bigram_counts(train, simple_tokens(F.col("text")), tok.vocab), "pairs"), tok
 
 
 def bigram_scores(spark, sf):
@@ -147,7 +148,7 @@ def back_off_sql(extra: dict[str, str]) -> dict[str, str]:
 def sample_next(spark, sf):
     docs = corpus.stories(spark, sf)
     pairs, tok = train_pairs(spark, sf)
-    sides = tok.encode(examples.segmented(docs, 2), {"first": F.col("first_sentence")}, 512)
+    sides = tok.encode(examples.segmented(examples.keyed(docs), 2), {"first": F.col("first_sentence")}, 512)
     asked = sides.select("doc_id", F.try_element_at("first", F.lit(-1)).alias("context"))
     table = sampling.draw_table(pairs.df)
     drawn = sampling.draw(asked, table, sampling.prompt_draw(SEED, "doc_id", 0), ["doc_id"])
@@ -177,7 +178,7 @@ def param_sweep(spark, sf):
     """
     docs = corpus.stories(spark, sf)
     pairs, tok = train_pairs(spark, sf)
-    sides = tok.encode(examples.segmented(docs, 2), {"first": F.col("first_sentence")}, 512)
+    sides = tok.encode(examples.segmented(examples.keyed(docs), 2), {"first": F.col("first_sentence")}, 512)
     asked = sides.select("doc_id", F.try_element_at("first", F.lit(-1)).alias("context")).filter("context IS NOT NULL")
     wanted = asked.select("context").distinct()
     scores = pairs.df.join(wanted, "context", "left_semi").select(

@@ -84,8 +84,8 @@ def split_of(key: str = "doc_id"):
 def stories(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
     """The story corpus of a table folder: ``doc_id``, ``text``, ``split``."""
     path = f"{folder}/{table}.parquet"
-    df = read_table(spark, path, ["doc_id", "text"])
-    return spread(df, path, "doc_id").withColumn("split", split_of())
+    df = read_table(spark, path, ["doc_id", "text"]).withColumn("split", split_of())
+    return spread(df, path, "doc_id")
 
 
 def conversation_stories(spark: SparkSession, folder: str) -> DataFrame:
