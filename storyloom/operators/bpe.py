@@ -20,6 +20,9 @@ from storyloom.scratch import StoredTable, store
 PAIRS_PER_ROUND = 64
 # Merges applied on the fly before the words are written again.
 MERGES_PER_STORE = 24
+# Bounds of the part of the word table that is broadcast when the whole is too large.
+HEAD_WORDS = 200_000
+HEAD_WORD_BYTES = 128
 # Fixed value: merges learned unless told otherwise.
 DEFAULT_MERGES = 1000
 
@@ -171,16 +174,24 @@ def encode_packed(packed: Column, merges: list[tuple[str, str]]) -> Column:
 
 
 def encode_words(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """``word`` and its ``symbols``; pass distinct words."""
-    return words.select("word", symbols_of(encode_packed(symbol_string(F.col("word")), merges)).alias("symbols"))
+    """``symbols`` for each ``word``; pass distinct words."""
+    return words.withColumn("symbols", symbols_of(encode_packed(symbol_string(F.col("word")), merges)))
 
 
-def encode_docs(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key`` and the symbols of all its words in order. Each word of a story is folded once where it stands."""
-    placed = docs.select(key, F.posexplode_outer(whitespace_words(F.col(text))).alias("pos", "word"))
-    distinct = placed.select("word").filter(F.col("word").isNotNull()).distinct()
-    table = store(encode_words(distinct, merges), "bpe-encoded")
-    joined = lookup_join(placed, table, ["word"], [key, "pos"])
+def encode_docs(
+    docs: DataFrame, merges: list[tuple[str, str]], key: str = "doc_id", limit: int | None = None
+) -> DataFrame:
+    """``key`` and the symbols of all its words in order.
+
+    Merges run once for each distinct word; stories then look their words up. Words that make up at least
+    1 / HEAD_WORDS of all are the head, so there are at most that many.
+    """
+    words = whitespace_words(F.col("text"))
+    table = store(encode_words(word_counts(docs), merges), "bpe-encoded")
+    total = table.df.agg(F.sum("freq")).first()[0] or 0
+    head = (F.col("freq") >= max(1, -(-total // HEAD_WORDS))) & (F.octet_length("word") <= HEAD_WORD_BYTES)
+    placed = docs.repartition(F.col(key)).select(key, F.posexplode_outer(words).alias("pos", "word"))
+    joined = lookup_join(placed, table, ["word"], [key, "pos"], head, limit=limit)
     entry = F.struct("pos", "symbols")
     gathered = joined.groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), entry)).alias("_entries"))
     return gathered.select(key, F.flatten(F.sort_array("_entries")["symbols"]).alias("symbols"))

@@ -139,14 +139,19 @@ def draw(
     located = located.filter(
         F.col("entries").isNull() | ((F.col("low") <= F.col("_u")) & (F.col("_u") < F.col("upto")))
     )
-    located = located.withColumn("back", F.when(F.col("entries").isNull(), F.lit(1)))
-    located = lookup_join(located, table.fallback, ["back"], salt_by, limit=limit)
-    located = located.filter(
-        F.col("b_entries").isNull() | ((F.col("b_low") <= F.col("_u")) & (F.col("_u") < F.col("b_upto")))
-    )
-    entries = F.coalesce("entries", "b_entries")
-    chosen = F.element_at(F.filter(entries, lambda e: e["high"] > F.col("_u")), 1)["token"]
-    return located.withColumn(out, chosen).drop("_u", "back", "low", "upto", "entries", "b_low", "b_upto", "b_entries")
+    if table.fallback.rows == 1:
+        # One row of candidates needs no join.
+        entries = F.coalesce("entries", table.fallback.df.select("b_entries").scalar())
+    else:
+        located = located.withColumn("back", F.when(F.col("entries").isNull(), F.lit(1)))
+        located = lookup_join(located, table.fallback, ["back"], salt_by, limit=limit)
+        located = located.filter(
+            F.col("b_entries").isNull() | ((F.col("b_low") <= F.col("_u")) & (F.col("_u") < F.col("b_upto")))
+        )
+        entries = F.coalesce("entries", "b_entries")
+    offered = located.select(*state.columns, "_u", entries.alias("_entries"))
+    chosen = F.element_at(F.filter("_entries", lambda e: e["high"] > F.col("_u")), 1)["token"]
+    return offered.select(*state.columns, chosen.alias(out))
 
 
 def prompt_draw(seed: int, key: str, step: Column | int) -> Column:

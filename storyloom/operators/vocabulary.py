@@ -20,6 +20,8 @@ MAX_TOKENS = 1_000_000
 # Ids follow frequency, so ids below this bound are the most frequent tokens; their number is fixed.
 HEAD_IDS = 100_000
 HEAD_TOKEN_BYTES = 256
+# Stands between token lists that are encoded together. No tokenizer makes a token of a blank.
+SEPARATOR, SEPARATOR_ID = " ", -1
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,8 @@ def encode_tokens(
     """
     rows = docs.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
     found = lookup_join(rows, vocab.table.select("token", "id"), ["token"], [key, "pos"], vocab.head(), limit=limit)
-    entry = F.struct("pos", F.coalesce("id", F.lit(UNK_ID).cast("bigint")).alias("id"))
+    known = F.coalesce("id", F.when(F.col("token") == SEPARATOR, F.lit(SEPARATOR_ID)).otherwise(F.lit(UNK_ID)))
+    entry = F.struct("pos", known.cast("bigint").alias("id"))
     gathered = found.groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), entry)).alias("_entries"))
     return gathered.select(key, F.sort_array("_entries")["id"].alias(out))
 
@@ -111,21 +114,18 @@ def encode_tokens(
 def encode_columns(
     docs: DataFrame, columns: dict[str, Column], vocab: Vocabulary, key: str = "doc_id", limit: int | None = None
 ) -> DataFrame:
-    """Several token lists of a row encoded in one pass: joined end to end, looked up once, cut apart again."""
+    """Several token lists of a row encoded in one pass: joined with separators, looked up once, cut apart again."""
     names = list(columns)
-    lists = docs.select(key, *[c.alias(n) for n, c in columns.items()])
-    joined = lists.select(
-        key,
-        F.concat(*names).alias("_tokens"),
-        *[F.size(n).alias(f"_n_{n}") for n in names],
-    )
-    ids = encode_tokens(joined, F.col("_tokens"), vocab, "_ids", key, limit)
-    merged = joined.drop("_tokens").join(ids, key)
-    cuts, before = [], F.lit(0)
+    lists = [F.concat(columns[n], F.array(F.lit(SEPARATOR))) for n in names]
+    rest = encode_tokens(docs, F.concat(*lists), vocab, "_rest", key, limit)
     for n in names:
-        cuts.append(F.slice("_ids", before + 1, F.col(f"_n_{n}")).alias(n))
-        before = before + F.col(f"_n_{n}")
-    return merged.select(key, *cuts)
+        at = F.array_position("_rest", F.lit(SEPARATOR_ID).cast("bigint")).cast("int")
+        rest = rest.withColumn("_at", at).select(
+            *[c for c in rest.columns if c != "_rest"],
+            F.slice("_rest", F.lit(1), F.col("_at") - 1).alias(n),
+            F.slice("_rest", F.col("_at") + 1, F.size("_rest")).alias("_rest"),
+        )
+    return rest.drop("_rest")
 
 
 def decode_ids(

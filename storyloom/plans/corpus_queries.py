@@ -124,13 +124,17 @@ def split_sizes(spark, sf):
 
 @query(
     "conversation_sizes",
-    f"""SELECT split, count(*) AS stories, sum(len({sent('text')}))::BIGINT AS sentences FROM (
-        SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text,
-        CASE WHEN conv_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM conversations GROUP BY conv_id) GROUP BY split""",
+    f"""SELECT split, count(*) AS stories, sum(n)::BIGINT AS sentences, (count(*) FILTER (n >= 3)) AS long_enough FROM (
+        SELECT len({sent('text')}) AS n, CASE WHEN (row_number() OVER (ORDER BY conv_id, turn, text) - 1) % 10 = 0
+        THEN 'validation' ELSE 'train' END AS split FROM conversations) GROUP BY split""",
 )
 def conversation_sizes(spark, sf):
     told = corpus.conversation_stories(spark, sf).withColumn("_n", F.size(tx.sentences(F.col("text"))))
-    return told.groupBy("split").agg(F.count(F.lit(1)).alias("stories"), F.sum("_n").cast("bigint").alias("sentences"))
+    return told.groupBy("split").agg(
+        F.count(F.lit(1)).alias("stories"),
+        F.sum("_n").cast("bigint").alias("sentences"),
+        F.count(F.when(F.col("_n") >= 3, 1)).alias("long_enough"),
+    )
 
 
 @query(

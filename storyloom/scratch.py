@@ -85,3 +85,9 @@ def store(df: DataFrame, tag: str) -> StoredTable:
     fixed = rows * (_ROW_OVERHEAD + 8 * len(df.schema.fields))
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     return StoredTable(back, path, rows, fixed + int(metrics.get("variable", 0) or 0))
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application stored. Call it when no frame that reads stored tables is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/storyloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import PySparkException
 
+from storyloom.operators.positions import ordered_position
+
 STORY_SCHEMA = "text string"
 KEYED_SCHEMA = "doc_id bigint, text string"
 
@@ -89,13 +91,10 @@ def stories(spark: SparkSession, folder: str, table: str = "documents") -> DataF
 
 
 def conversation_stories(spark: SparkSession, folder: str) -> DataFrame:
-    """The conversations as a second corpus: one story a conversation, its turns in order."""
-    path = f"{folder}/conversations.parquet"
-    turns = read_table(spark, path, ["conv_id", "turn", "text"])
-    told = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("text")
-    )
-    return told.withColumn("split", split_of())
+    """The conversations as a second corpus: every turn is a story, numbered by conversation and turn."""
+    turns = read_table(spark, f"{folder}/conversations.parquet", ["conv_id", "turn", "text"])
+    placed = ordered_position(turns, [F.col("conv_id"), F.col("turn"), F.col("text")])
+    return placed.select((F.col("position") - 1).alias("doc_id"), "text").withColumn("split", split_of())
 
 
 def write_jsonl(df: DataFrame, path: str, by_split: bool = False) -> None:
