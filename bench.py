@@ -13,7 +13,7 @@ from storyloom.plans.catalog import REGISTRY
 from storyloom.session import build_session
 
 HEADLINE = [
-    "infill_prompt", "infill_examples", "encdec_examples", "token_freq", "build_vocab", "encode_ids", "chunks",
+    "infill_prompt", "token_freq", "build_vocab", "encode_ids", "infill_examples", "encdec_examples", "chunks",
     "padded_batches", "ngram_counts", "topp", "batch_loss", "epoch_loss", "infill_loss", "bpe_merges", "bpe_encode",
     "infill_generate", "subset", "shards",
 ]

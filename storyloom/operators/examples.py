@@ -36,6 +36,11 @@ def blank_id_column(blank_id: int):
     return F.array(F.lit(blank_id).cast("bigint"))
 
 
+def prompt_length(max_length: int):
+    """Length of ``first <blank> last`` after truncation, from the lengths of its parts."""
+    return F.least(F.size("first") + 1 + F.size("last"), F.lit(max_length))
+
+
 def infill_examples(docs: DataFrame, tokenizer: Tokenizer, max_length: int = 512, min_length: int = 5) -> DataFrame:
     """Decoder-only examples: prompt ids ``first <blank> last`` and the ids of the whole story."""
     cut = segmented(keyed(docs)).select("doc_id", "first_sentence", "last_sentence", F.col("text").alias("full_story"))
@@ -44,10 +49,9 @@ def infill_examples(docs: DataFrame, tokenizer: Tokenizer, max_length: int = 512
         {"first": F.col("first_sentence"), "last": F.col("last_sentence"), "target_ids": F.col("full_story")},
         max_length,
     )
+    kept = ids.filter((prompt_length(max_length) >= min_length) & (F.size("target_ids") >= min_length))
     prompt = F.concat("first", blank_id_column(tokenizer.vocab.blank_id), "last")
-    built = ids.select("doc_id", arrays.truncate(prompt, max_length).alias("input_ids"), "target_ids").filter(
-        (F.size("input_ids") >= min_length) & (F.size("target_ids") >= min_length)
-    )
+    built = kept.select("doc_id", arrays.truncate(prompt, max_length).alias("input_ids"), "target_ids")
     return built.join(cut, "doc_id")
 
 
@@ -65,13 +69,14 @@ def encoder_decoder_examples(
         },
         max_length,
     )
+    kept = ids.filter((prompt_length(max_length) >= min_length) & (F.size("decoder_target_ids") >= min_length))
     prompt = F.concat("first", blank_id_column(tokenizer.vocab.blank_id), "last")
-    built = ids.select(
+    built = kept.select(
         "doc_id",
         arrays.truncate(prompt, max_length).alias("encoder_input_ids"),
         arrays.decoder_shift(F.col("decoder_target_ids"), BOS_ID).alias("decoder_input_ids"),
         "decoder_target_ids",
-    ).filter((F.size("encoder_input_ids") >= min_length) & (F.size("decoder_target_ids") >= min_length))
+    )
     return built.join(cut, "doc_id")
 
 

@@ -20,8 +20,6 @@ MAX_TOKENS = 1_000_000
 # Ids follow frequency, so ids below this bound are the most frequent tokens; their number is fixed.
 HEAD_IDS = 100_000
 HEAD_TOKEN_BYTES = 256
-# Stands between token lists that are encoded together. No tokenizer makes a token of a blank.
-SEPARATOR, SEPARATOR_ID = " ", -1
 
 
 @dataclass(frozen=True)
@@ -98,34 +96,37 @@ def extend_vocabulary(vocab: DataFrame, tokens: list[str]) -> DataFrame:
 def encode_tokens(
     docs: DataFrame, tokens: Column, vocab: Vocabulary, out: str = "ids", key: str = "doc_id", limit: int | None = None
 ) -> DataFrame:
-    """``key`` and the ids of its tokens, unknown ones as ``<unk>``.
-
-    With the vocabulary broadcast, tokens are looked up where they are and the only shuffle is the one that
-    brings a key together, which falls away when ``docs`` is already partitioned by ``key``.
-    """
-    rows = docs.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    found = lookup_join(rows, vocab.table.select("token", "id"), ["token"], [key, "pos"], vocab.head(), limit=limit)
-    known = F.coalesce("id", F.when(F.col("token") == SEPARATOR, F.lit(SEPARATOR_ID)).otherwise(F.lit(UNK_ID)))
-    entry = F.struct("pos", known.cast("bigint").alias("id"))
-    gathered = found.groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), entry)).alias("_entries"))
-    return gathered.select(key, F.sort_array("_entries")["id"].alias(out))
+    """``key`` and the ids of its tokens, unknown ones as ``<unk>``."""
+    return encode_columns(docs, {out: tokens}, vocab, key, limit)
 
 
 def encode_columns(
     docs: DataFrame, columns: dict[str, Column], vocab: Vocabulary, key: str = "doc_id", limit: int | None = None
 ) -> DataFrame:
-    """Several token lists of a row encoded in one pass: joined with separators, looked up once, cut apart again."""
+    """``key`` and the ids of several token lists, encoded in one pass.
+
+    The lists are taken apart end to end with the places where each one ends; ids are gathered into one list for each.
+    With the vocabulary broadcast, tokens are looked up where they are and the only shuffle is the one that brings a
+    key together, which falls away when ``docs`` is already partitioned by ``key``.
+    """
     names = list(columns)
-    lists = [F.concat(columns[n], F.array(F.lit(SEPARATOR))) for n in names]
-    rest = encode_tokens(docs, F.concat(*lists), vocab, "_rest", key, limit)
+    lists = docs.select(key, *[c.alias(n) for n, c in columns.items()])
+    ends, upto = [], F.lit(0)
+    for n in names[:-1]:
+        upto = upto + F.size(n)
+        ends.append(upto.alias(f"_end_{n}"))
+    rows = lists.select(key, *ends, F.posexplode_outer(F.concat(*names)).alias("pos", "token"))
+    found = lookup_join(rows, vocab.table.select("token", "id"), ["token"], [key, "pos"], vocab.head(), limit=limit)
+    entry = F.struct("pos", F.coalesce("id", F.lit(UNK_ID).cast("bigint")).alias("id"))
+    gathers, start = [], F.lit(0)
     for n in names:
-        at = F.array_position("_rest", F.lit(SEPARATOR_ID).cast("bigint")).cast("int")
-        rest = rest.withColumn("_at", at).select(
-            *[c for c in rest.columns if c != "_rest"],
-            F.slice("_rest", F.lit(1), F.col("_at") - 1).alias(n),
-            F.slice("_rest", F.col("_at") + 1, F.size("_rest")).alias("_rest"),
-        )
-    return rest.drop("_rest")
+        mine = F.col("pos") >= start
+        if n != names[-1]:
+            mine = mine & (F.col("pos") < F.col(f"_end_{n}"))
+            start = F.col(f"_end_{n}")
+        gathers.append(F.collect_list(F.when(mine, entry)).alias(n))
+    gathered = found.groupBy(key).agg(*gathers)
+    return gathered.select(key, *[F.sort_array(n)["id"].alias(n) for n in names])
 
 
 def decode_ids(
