@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm.exact_dedup import exact_groups
+from storyloom.llm.near_dedup import near_components
 from storyloom.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
@@ -35,3 +36,31 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 )
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder), keep="largest")
+
+
+@query(
+    "op10_near_dedup",
+    f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    shingles AS (
+        SELECT doc_id, unnest(CASE WHEN len(w) >= 5
+            THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+    reach AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT links.a, reach.other FROM reach JOIN links ON links.b = reach.doc_id),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM least LEFT JOIN sizes USING (doc_id)
+    """,
+)
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_components(documents(spark, folder))
