@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm.exact_dedup import exact_groups
+from storyloom.llm.language_id import fit, predict
 from storyloom.llm.near_dedup import near_components
+from storyloom.llm.packing import pack_documents
+from storyloom.llm.secret_scan import scan, span_digests
 from storyloom.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
@@ -64,3 +67,26 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(documents(spark, folder))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file for packing; it stays where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), tokenizer_path())
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return span_digests(scan(documents(spark, folder)))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    return predict(docs, fit(docs))

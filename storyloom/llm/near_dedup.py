@@ -114,8 +114,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             sketches.append(registers(found).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["_id", "_n", "_node", "_regs"],
+            [batch.column("_id"), batch.column("_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["_id", "_hash", "_n", "_node", "_regs"],
         )
 
 
@@ -215,12 +215,13 @@ def _hidden_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, thres
     return found.distinct()
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
-    """One row for each input row: identifier, ``n_shingles``, ``component_id``, ``kept``."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """For each row ``_id``, a hash of its text, the size of its set, its component and whether it is the one that stays."""
     ready(docs.sparkSession)
     id_type = type_of(docs, id_col)
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).alias("_text"))
-    sketched = source.mapInArrow(_sketch, schema_of(("_id", id_type), ("_n", "bigint"), ("_node", "binary"), ("_regs", "binary")))
+    hashed = source.select("_id", F.xxhash64("_text").alias("_hash"), "_text")
+    sketched = hashed.mapInArrow(_sketch, schema_of(("_id", id_type), ("_hash", "bigint"), ("_n", "bigint"), ("_node", "binary"), ("_regs", "binary")))
     rows = store(sketched, "sketch").df
     per_node = rows.filter("_n > 0").groupBy("_node").agg(
         F.first("_n").alias("_n"), F.first("_regs").alias("_regs"), F.min("_id").alias("_id")
@@ -243,9 +244,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("label").agg(F.min("_id").alias("_least"))
     named = linked.join(least, "label").select(F.col("node").alias("_node"), "_least")
     known = nodes.select("_node", "_id").join(named, "_node", "left").select("_node", F.coalesce("_least", "_id").alias("_component"))
-    placed = rows.select("_id", "_n", "_node").join(known, "_node", "left")
+    placed = rows.select("_id", "_hash", "_n", "_node").join(known, "_node", "left")
     component = F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("_component"))
-    return placed.select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"),
-        F.col("_id").eqNullSafe(component).alias("kept"),
+    return placed.select("_id", "_hash", "_n", component.alias("_component"), F.col("_id").eqNullSafe(component).alias("_kept"))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+    """One row for each input row: identifier, ``n_shingles``, ``component_id``, ``kept``."""
+    return _judged(docs, id_col, text_col, threshold).select(
+        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept")
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component those with its identifier."""
+    judged = _judged(docs, id_col, text_col, threshold)
+    gone = store(judged.filter(~F.col("_kept")).select("_id", "_hash").distinct(), "dropped").df
+    same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")
