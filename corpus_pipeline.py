@@ -18,7 +18,7 @@ from storyloom.llm.secret_scan import redact
 from storyloom.scratch import store
 
 # Texts whose best language scores less are rejected, as are those without letters.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from storyloom.llm.language_id import fit, predict
 from storyloom.llm.near_dedup import near_components
 from storyloom.llm.packing import pack_documents
 from storyloom.llm.secret_scan import scan, span_digests
+from storyloom.llm.substring_dedup import drop_repeated_passages
 from storyloom.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
@@ -90,3 +91,25 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
     return predict(docs, fit(docs))
+
+
+@query(
+    "op7_substring_dedup",
+    r"""
+    WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (
+        SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM texts)),
+    firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+    covered AS (
+        SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM windows JOIN firsts USING (h) WHERE doc_id > least),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+    kept AS (
+        SELECT doc_id, count(covered.i) AS n, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (covered.i IS NULL), '') AS t
+        FROM words LEFT JOIN covered USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_passages(documents(spark, folder)).drop("removed")
