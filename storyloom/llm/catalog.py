@@ -10,7 +10,9 @@ from storyloom.llm.near_dedup import near_components
 from storyloom.llm.packing import pack_documents
 from storyloom.llm.secret_scan import scan, span_digests
 from storyloom.llm.substring_dedup import drop_repeated_passages
+from storyloom.llm.warc import archive_pages
 from storyloom.plans.registry import Query
+from storyloom.scratch import new_path
 
 REGISTRY: dict[str, Query] = {}
 
@@ -113,3 +115,27 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_repeated_passages(documents(spark, folder)).drop("removed")
+
+
+# The base 32 digits of a SHA-1, five bits at a time from two of its hexadecimal digits.
+_HEX = "(strpos('0123456789abcdef', substr(h || '0', (5 * i) // 4 + {}, 1)) - 1)"
+_BASE32 = f"""
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((16 * {_HEX.format(1)} + {_HEX.format(2)})::INT >> (3 - (5 * i) % 4)::INT) & 31), 1)), 'string_agg', '')"""
+
+
+@query(
+    "op6_warc",
+    f"""
+    WITH payloads AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+    judged AS (SELECT page_id, t, h, max(page_id) OVER (PARTITION BY t) AS top FROM payloads)
+    SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM judged
+    """,
+)
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    read = archive_pages(pages, new_path(spark, "warc"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
