@@ -9,9 +9,10 @@
 4. A pair is dropped when the joint likelihood of all its registers speaks against 0.75 by six standard deviations
    (or the sizes of the sets alone rule it out). What is left is confirmed on the full sets, recomputed from the texts.
 5. Confirmed links are contracted to components. Only buckets whose members still lie in different components can hide
-   a link that no hub saw. Their members are compared in blocks of at most ``BLOCK`` against each other inside numpy, with
-   registers alone; pairs that pass are confirmed as before. So no bucket is capped and no link between different texts
-   that shares a bucket is skipped.
+   a link that no hub saw. Buckets that share members form a cluster; its members are dealt into blocks of about ``BLOCK``,
+   and every two blocks meet in one task. There pairs of different components that share a band and are plausible
+   are confirmed on their full sets, and each link found merges two components, so a task emits fewer links than it has
+   members and never the pairs. So no bucket is capped and no pair that shares a bucket is skipped.
 
 Defined results: null or empty texts and texts of blanks have no shingle and are linked with nothing; one to four words
 make one shingle, the whole sequence; a null identifier is never a component's identifier unless all its members have
@@ -41,8 +42,9 @@ BANDS = REGISTERS // BAND_ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 # Natural-log likelihood ratio beyond which a pair is given up: six standard deviations.
 GIVE_UP = 18.0
-# Bucket members that are compared with one another in one task.
+# Members and shingles of a block; two blocks are compared with one another in one task.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 _ROWS = 512
 
 _numbers = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(BASES[0]))
@@ -130,73 +132,82 @@ def _keep_plausible(threshold: float):
             if batch.num_rows:
                 sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("_na", "_nb")]
                 ok = plausible(_matrix(batch.column("_ra")), _matrix(batch.column("_rb")), *sizes, threshold)
-                yield batch.filter(pa.array(ok)).select(["_a", "_ida", "_b", "_idb"])
+                yield batch.filter(pa.array(ok)).select(["_xa", "_xb"])
 
     return read
 
 
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that make the node they were fetched for, and not another one under the same identifier."""
+    for batch in batches:
+        found = shingle_sets(batch.column("_text"))
+        own = [xxhash.xxh3_128_digest(f.tobytes()) == node for f, node in zip(found, batch.column("_node").to_pylist())]
+        yield batch.filter(pa.array(own, pa.bool_()))
+
+
+def _similar(left: np.ndarray, right: np.ndarray, threshold: float) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= round(100 * threshold) * (len(left) + len(right) - both)
+
+
 def _confirm(threshold: float):
-    """Pairs whose full sets are similar enough. Texts that do not belong to the pair's nodes are passed over."""
-    bound = round(100 * threshold)
+    """Pairs whose full sets are similar enough."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            lefts, rights = shingle_sets(batch.column("_ta")), shingle_sets(batch.column("_tb"))
-            for a, b, left, right in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), lefts, rights):
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                own = xxhash.xxh3_128_digest(left.tobytes()) == a and xxhash.xxh3_128_digest(right.tobytes()) == b
-                ok.append(own and 100 * both >= bound * (len(left) + len(right) - both))
-            chosen = batch.filter(pa.array(ok, pa.bool_()))
+            sides = zip(shingle_sets(batch.column("_ta")), shingle_sets(batch.column("_tb")))
+            chosen = batch.filter(pa.array([_similar(a, b, threshold) for a, b in sides], pa.bool_()))
             yield pa.RecordBatch.from_arrays([chosen.column("_a"), chosen.column("_b")], names=["a", "b"])
 
     return read
 
 
-def _block_pairs(threshold: float):
+def _block_links(threshold: float):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of two blocks of a bucket (or within one) that lie in different components and are plausible."""
+        """Links between components among the members of two blocks, or within one."""
         _, i, j = key
-        x, label, block, n = (rows[c].to_numpy() for c in ("_x", "_label", "_block", "_n"))
-        regs, n = _matrix(rows["_regs"]), n.astype(np.float64)
-        ours = np.flatnonzero(block == i)
-        theirs = np.flatnonzero(block == j)
-        found: list[np.ndarray] = []
-        for k in ours:
+        rows = rows.sort_values(["_x", "_node"]).reset_index(drop=True)
+        block, n = rows["_block"].to_numpy(), rows["_n"].to_numpy().astype(np.float64)
+        part = np.unique(rows["_label"].to_numpy(), return_inverse=True)[1]
+        regs, nodes = _matrix(rows["_regs"]), rows["_node"].tolist()
+        bands = regs.reshape(len(rows), BANDS, BAND_ROWS)
+        sets = list(shingle_sets(pa.array(rows["_text"], pa.string())))
+        theirs, found = np.flatnonzero(block == j), []
+        for k in np.flatnonzero(block == i).tolist():
             others = theirs[theirs > k] if i == j else theirs
-            others = others[label[others] != label[k]]
-            others = others[np.minimum(n[others], n[k]) >= threshold * np.maximum(n[others], n[k])]
-            if len(others):
-                left = np.broadcast_to(regs[k], (len(others), REGISTERS))
-                good = others[plausible(left, regs[others], np.full(len(others), n[k]), n[others], threshold)]
-                found.append(np.stack([np.full(len(good), x[k]), x[good]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"_xa": pairs.min(axis=1) if len(pairs) else pairs[:, 0], "_xb": pairs.max(axis=1) if len(pairs) else pairs[:, 1]})
+            others = others[(part[others] != part[k]) & (np.minimum(n[others], n[k]) >= threshold * np.maximum(n[others], n[k]))]
+            others = others[(bands[others] == bands[k]).all(axis=2).any(axis=1)]
+            if not len(others):
+                continue
+            left = np.broadcast_to(regs[k], (len(others), REGISTERS))
+            others = others[plausible(left, regs[others], np.full(len(others), n[k]), n[others], threshold)]
+            # Likely links first: each merges a component, whose other members need no look any more.
+            alike = (regs[others] == regs[k]).sum(axis=1)
+            for m in others[np.argsort(-alike, kind="stable")].tolist():
+                if part[m] != part[k] and _similar(sets[k], sets[m], threshold):
+                    part[part == part[m]] = part[k]
+                    found.append((nodes[k], nodes[m]))
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return compare
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Confirmed links (``a``, ``b``) among pairs (``_xa``, ``_xb``) of node hashes."""
-    id_type = type_of(nodes, "_id")
-    side = lambda s: nodes.select(
-        F.col("_x").alias(f"_x{s}"), F.col("_node").alias(f"_{s}"), F.col("_id").alias(f"_id{s}"),
-        F.col("_n").alias(f"_n{s}"), F.col("_regs").alias(f"_r{s}"),
-    )
-    scored = pairs.join(side("a"), "_xa").join(side("b"), "_xb").mapInArrow(
-        _keep_plausible(threshold), schema_of(("_a", "binary"), ("_ida", id_type), ("_b", "binary"), ("_idb", id_type))
-    )
-    likely = store(scored, "likely").df
-    wanted = likely.select(F.col("_ida").alias("_want")).unionByName(likely.select(F.col("_idb").alias("_want"))).distinct()
-    texts = store(docs.join(wanted, F.col("_id").eqNullSafe(F.col("_want")), "left_semi"), "texts").df
-    second = likely.join(texts.select(F.col("_id").alias("_i"), F.col("_text").alias("_tb")), F.col("_idb").eqNullSafe(F.col("_i"))).drop("_i")
-    both = second.join(texts.select(F.col("_id").alias("_i"), F.col("_text").alias("_ta")), F.col("_ida").eqNullSafe(F.col("_i")))
-    confirmed = both.select("_a", "_b", "_ta", "_tb").mapInArrow(_confirm(threshold), "a binary, b binary")
-    return store(confirmed.distinct(), "confirmed").df
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of node hashes whose registers allow a link."""
+    side = lambda s: nodes.select(F.col("_x").alias(f"_x{s}"), F.col("_n").alias(f"_n{s}"), F.col("_regs").alias(f"_r{s}"))
+    scored = pairs.join(side("a"), "_xa").join(side("b"), "_xb").mapInArrow(_keep_plausible(threshold), "_xa bigint, _xb bigint")
+    return store(scored, "likely").df
+
 
+def _star_links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Confirmed links (``a``, ``b``) among pairs of members and hubs."""
+    side = lambda s: texts.select(F.col("_x").alias(f"_x{s}"), F.col("_node").alias(f"_{s}"), F.col("_text").alias(f"_t{s}"))
+    both = pairs.join(side("b"), "_xb").join(side("a"), "_xa").select("_a", "_b", "_ta", "_tb")
+    return store(both.mapInArrow(_confirm(threshold), "a binary, b binary").distinct(), "confirmed").df
 
-def _hidden_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame | None:
-    """Plausible pairs that share a bucket, lie in different components and met no hub; None where there is no such bucket."""
+
+def _hidden_links(members: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame | None:
+    """Confirmed links that no hub saw; None where every bucket lies in one component."""
     of = labels.select(F.xxhash64("node").alias("_x"), F.xxhash64("label").alias("_label"))
     placed = members.filter("_size > 2").join(of, "_x", "left").withColumn("_label", F.coalesce("_label", "_x"))
     placed = store(placed, "members").df
@@ -204,15 +215,18 @@ def _hidden_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, thres
     still = store(placed.join(mixed.select("_bucket"), "_bucket"), "open")
     if not still.rows:
         return None
-    count = F.ceil(F.col("_size") / BLOCK).cast("int")
-    blocks = still.df.withColumn("_block", F.pmod(F.xxhash64("_x", F.lit(1)), count).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), count - 1))
-    dealt = blocks.withColumn("_other", other).join(nodes.select("_x", "_n", "_regs"), "_x")
-    dealt = dealt.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other"))
-    found = dealt.select("_bucket", "_i", "_j", "_x", "_label", "_block", "_n", "_regs").groupBy("_bucket", "_i", "_j").applyInPandas(
-        _block_pairs(threshold), "_xa bigint, _xb bigint"
-    )
-    return found.distinct()
+    clusters = components(still.df.select(F.col("_hub").alias("a"), F.col("_x").alias("b")))
+    clusters = clusters.select(F.col("node").alias("_x"), F.col("label").alias("_cluster"))
+    # A hub is a member of its bucket, so every open member has a cluster.
+    lengths = texts.select("_x", F.col("_n").alias("_length"))
+    open_nodes = store(still.df.select("_x", "_label").distinct().join(clusters, "_x").join(lengths, "_x"), "clusters").df
+    fill = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("_length") / BLOCK_SHINGLES)
+    sizes = open_nodes.groupBy("_cluster").agg(F.ceil(fill).cast("int").alias("_blocks"))
+    blocks = open_nodes.join(sizes, "_cluster").withColumn("_block", F.pmod(F.xxhash64("_x", F.lit(1)), F.col("_blocks")).cast("int"))
+    dealt = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).join(texts, "_x")
+    found = dealt.select("_cluster", "_i", "_j", "_x", "_label", "_block", "_node", "_n", "_regs", "_text")
+    return store(found.groupBy("_cluster", "_i", "_j").applyInPandas(_block_links(threshold), "a binary, b binary"), "hidden").df
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -234,12 +248,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     members = store(bands.join(shared, "_bucket"), "buckets").df
     stars = members.filter("_x <> _hub").select(F.col("_hub").alias("_xa"), F.col("_x").alias("_xb")).distinct()
     stars = store(stars, "stars").df
-    links = _links(stars, nodes, source, threshold)
+    wanted = members.select("_x").distinct().join(nodes, "_x").withColumnRenamed("_id", "_want")
+    fetched = source.join(wanted, F.col("_id").eqNullSafe(F.col("_want"))).select("_x", "_node", "_n", "_regs", "_text")
+    texts = store(fetched.mapInArrow(_own_texts, fetched.schema), "texts").df
+    links = _star_links(_likely(stars, nodes, threshold), texts, threshold)
     labels = components(links)
-    hidden = _hidden_pairs(members, nodes, labels, threshold)
+    hidden = _hidden_links(members, texts, labels, threshold)
     if hidden is not None:
-        unseen = hidden.join(stars, ["_xa", "_xb"], "left_anti")
-        labels = components(links.unionByName(_links(unseen, nodes, source, threshold)))
+        labels = components(links.unionByName(hidden))
     linked = labels.join(nodes.select(F.col("_node").alias("node"), "_id"), "node")
     least = linked.groupBy("label").agg(F.min("_id").alias("_least"))
     named = linked.join(least, "label").select(F.col("node").alias("_node"), "_least")
