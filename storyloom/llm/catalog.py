@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm.exact_dedup import exact_groups
+from storyloom.llm.fingerprints import fingerprints
 from storyloom.llm.language_id import fit, predict
 from storyloom.llm.near_dedup import near_components
 from storyloom.llm.packing import pack_documents
@@ -139,3 +140,8 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
     read = archive_pages(pages, new_path(spark, "warc"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_fingerprints")
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(documents(spark, folder))
