@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.llm.exact_dedup import exact_groups
 from storyloom.llm.fingerprints import fingerprints
 from storyloom.llm.language_id import fit, predict
+from storyloom.llm.line_templates import drop_recurring_lines
 from storyloom.llm.near_dedup import near_components
 from storyloom.llm.packing import pack_documents
+from storyloom.llm.piece_transducer import round_trips
 from storyloom.llm.secret_scan import scan, span_digests
 from storyloom.llm.substring_dedup import drop_repeated_passages
 from storyloom.llm.warc import archive_pages
@@ -73,11 +76,11 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(documents(spark, folder))
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file for packing; it stays where it is installed."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file; it stays where it is installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op2_packing")
@@ -145,3 +148,42 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_fingerprints")
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(documents(spark, folder))
+
+
+@query(
+    "op3_line_dedup",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, t, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS no
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    masked AS (
+        SELECT doc_id, t, line, no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+            lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM lines),
+    leaves AS (SELECT *, {'n': len(w), 'lead': w[1:3]} AS leaf FROM masked WHERE len(w) > 0),
+    common AS (SELECT leaf, count(*) AS n FROM leaves GROUP BY leaf HAVING count(DISTINCT t) >= 10),
+    held AS (SELECT leaves.*, common.n FROM leaves JOIN common USING (leaf)),
+    tokens AS (SELECT leaf, n, unnest(w) AS token, unnest(range(len(w))) AS place FROM held),
+    constants AS (SELECT leaf, token, place FROM tokens WHERE place >= 3 GROUP BY leaf, token, place HAVING count(*) >= 0.1 * any_value(n)),
+    general AS (
+        SELECT doc_id, t, no, w, x.leaf, list(CASE WHEN place < 3 OR c.token IS NOT NULL THEN x.token ELSE '<*>' END ORDER BY place) AS g
+        FROM (SELECT doc_id, t, no, leaf, w, unnest(w) AS token, unnest(range(len(w))) AS place FROM held) x
+        LEFT JOIN constants c USING (leaf, token, place) GROUP BY doc_id, t, no, w, x.leaf),
+    templates AS (
+        SELECT doc_id, t, no, leaf, CASE WHEN len(list_filter(g, lambda x: x <> '<*>')) >= 0.5 * len(g) THEN g ELSE w END AS template
+        FROM general),
+    gone AS (
+        SELECT doc_id, no FROM templates JOIN (
+            SELECT leaf, template FROM templates GROUP BY leaf, template HAVING count(DISTINCT t) >= 10) USING (leaf, template))
+    SELECT doc_id, count(*) AS n_lines, count(gone.no) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (gone.no IS NULL), '')) AS kept_sha256
+    FROM lines LEFT JOIN gone USING (doc_id, no) GROUP BY doc_id
+    """,
+)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = drop_recurring_lines(documents(spark, folder))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trips(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
