@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import WORD_END, whitespace_words
+from storyloom.functions.text import BLANK_MARK, WORD_END, whitespace_words
 from storyloom.operators.lookup import lookup_join
+from storyloom.operators.vocabulary import SPECIALS, UNK_ID, Vocabulary
 from storyloom.scratch import StoredTable, store
 
 # Leading pairs looked at in a round of training.
@@ -35,8 +36,14 @@ def pattern(left: str | Column, right: str | Column):
     return F.concat(F.lit(" "), left, F.lit("  "), right, F.lit(" "))
 
 
+# A word that spells out the word end gets this character in it, so that no merge can make the mark from letters. It is
+# a noncharacter, which no text may hold.
+_APART = "\uFDD0"
+
+
 def symbol_string(word: Column) -> Column:
-    return F.concat(F.regexp_replace(word, "(?s)(.)", " $1 "), F.lit(f" {WORD_END} "))
+    apart = F.replace(word, F.lit(WORD_END), F.lit(WORD_END[0] + _APART + WORD_END[1:]))
+    return F.concat(F.regexp_replace(apart, "(?s)(.)", " $1 "), F.lit(f" {WORD_END} "))
 
 
 def symbols_of(packed: Column) -> Column:
@@ -178,20 +185,23 @@ def encode_words(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     return words.withColumn("symbols", symbols_of(encode_packed(symbol_string(F.col("word")), merges)))
 
 
+def _head_words(table: StoredTable) -> Column:
+    """Words that make up at least 1 / HEAD_WORDS of all, so at most that many, and of bounded length."""
+    total = table.df.agg(F.sum("freq")).first()[0] or 0
+    return (F.col("freq") >= max(1, -(-total // HEAD_WORDS))) & (F.octet_length("word") <= HEAD_WORD_BYTES)
+
+
 def encode_docs(
     docs: DataFrame, merges: list[tuple[str, str]], key: str = "doc_id", limit: int | None = None
 ) -> DataFrame:
     """``key`` and the symbols of all its words in order.
 
-    Merges run once for each distinct word; stories then look their words up. Words that make up at least
-    1 / HEAD_WORDS of all are the head, so there are at most that many.
+    Merges run once for each distinct word; stories then look their words up.
     """
     words = whitespace_words(F.col("text"))
     table = store(encode_words(word_counts(docs), merges), "bpe-encoded")
-    total = table.df.agg(F.sum("freq")).first()[0] or 0
-    head = (F.col("freq") >= max(1, -(-total // HEAD_WORDS))) & (F.octet_length("word") <= HEAD_WORD_BYTES)
     placed = docs.repartition(F.col(key)).select(key, F.posexplode_outer(words).alias("pos", "word"))
-    joined = lookup_join(placed, table, ["word"], [key, "pos"], head, limit=limit)
+    joined = lookup_join(placed, table, ["word"], [key, "pos"], _head_words(table), limit=limit)
     entry = F.struct("pos", "symbols")
     gathered = joined.groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), entry)).alias("_entries"))
     return gathered.select(key, F.flatten(F.sort_array("_entries")["symbols"]).alias("symbols"))
@@ -199,4 +209,62 @@ def encode_docs(
 
 def decode_symbols(symbols: Column) -> Column:
     """Symbols back to text: glued together, a space where a word ended."""
-    return F.rtrim(F.replace(F.array_join(symbols, ""), F.lit(WORD_END), F.lit(" ")))
+    spaced = F.replace(F.array_join(symbols, ""), F.lit(WORD_END), F.lit(" "))
+    return F.rtrim(F.replace(spaced, F.lit(_APART), F.lit("")))
+
+
+def bpe_vocabulary(model: BpeModel) -> Vocabulary:
+    """Specials, then the symbols of the training words before any merge in byte order, then merged symbols as learned.
+
+    There are as many rows as characters in use and merges, so the driver may hold them.
+    """
+    spark = model.words.sparkSession
+    single = model.words.select(F.explode(symbols_of(symbol_string(F.col("word")))).alias("s")).distinct()
+    base = sorted((r["s"] for r in single.collect()), key=str.encode)
+    tokens = [t for t in dict.fromkeys([*base, *(m[3] for m in model.merges)]) if t not in SPECIALS]
+    rows = [(t, i, 0) for i, t in enumerate([*SPECIALS, *tokens])]
+    table = store(spark.createDataFrame(rows, "token string, id bigint, freq bigint"), "bpe-vocabulary")
+    return Vocabulary(table, len(rows))
+
+
+def word_ids(words: DataFrame, merges: list[tuple[str, str]], vocab: Vocabulary) -> DataFrame:
+    """``ids`` of each distinct ``word``; symbols the vocabulary lacks are ``<unk>``."""
+    symbols = encode_words(words, merges).select("word", "freq", F.posexplode("symbols").alias("pos", "token"))
+    found = lookup_join(symbols, vocab.table.select("token", "id"), ["token"], ["word", "pos"])
+    entry = F.struct("pos", F.coalesce("id", F.lit(UNK_ID).cast("bigint")).alias("id"))
+    gathered = found.groupBy("word").agg(F.first("freq").alias("freq"), F.collect_list(entry).alias("_e"))
+    return gathered.select("word", "freq", F.sort_array("_e")["id"].alias("ids"))
+
+
+def encode_id_columns(
+    docs: DataFrame, texts: dict[str, Column], merges: list[tuple[str, str]], vocab: Vocabulary, max_length: int | None = None,
+    key: str = "doc_id", limit: int | None = None,
+) -> DataFrame:
+    """``key`` and the ids of several texts. Each distinct word is merged once; a text is cut after it is encoded."""
+    names = list(texts)
+    lists = docs.select(key, *[whitespace_words(text).alias(n) for n, text in texts.items()])
+    words = lists.select(F.explode(F.concat(*names)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    table = store(word_ids(words, merges, vocab), "bpe-words")
+    ends, upto = [], F.lit(0)
+    for n in names:
+        upto = upto + F.size(n)
+        ends.append(upto.alias(f"_end_{n}"))
+    rows = lists.select(key, *ends, F.posexplode_outer(F.concat(*names)).alias("pos", "word"))
+    found = lookup_join(rows, table.select("word", "freq", "ids"), ["word"], [key, "pos"], _head_words(table), limit=limit)
+    entry, gathers, start = F.struct("pos", "ids"), [], F.lit(0)
+    for n in names:
+        mine = (F.col("pos") >= start) & (F.col("pos") < F.col(f"_end_{n}"))
+        gathers.append(F.collect_list(F.when(mine, entry)).alias(n))
+        start = F.col(f"_end_{n}")
+    gathered = found.groupBy(key).agg(*gathers)
+    ids = {n: F.flatten(F.sort_array(n)["ids"]) for n in names}
+    return gathered.select(key, *[(c if max_length is None else F.slice(c, 1, max_length)).alias(n) for n, c in ids.items()])
+
+
+def decode_id_symbols(rows: DataFrame, ids: Column, vocab: Vocabulary, out: str = "text", key: str = "doc_id", limit: int | None = None) -> DataFrame:
+    """``key`` and the text of its ids; special tokens are left out."""
+    places = rows.select(key, F.posexplode_outer(ids).alias("pos", "id"))
+    found = lookup_join(places, vocab.table.select("id", "token"), ["id"], [key, "pos"], limit=limit)
+    shown = F.col("token").isNotNull() & ~F.col("token").isin(*SPECIALS, BLANK_MARK)
+    gathered = found.groupBy(key).agg(F.collect_list(F.when(shown, F.struct("pos", "token"))).alias("_e"))
+    return gathered.select(key, decode_symbols(F.sort_array("_e")["token"]).alias(out))

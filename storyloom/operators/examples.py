@@ -21,7 +21,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def segmented(docs: DataFrame, at_least: int = 3) -> DataFrame:
     """Stories of enough sentences with ``first_sentence``, ``last_sentence`` and ``middle_part``."""
-    cut = docs.withColumn("_parts", text.sentences(F.col("text"))).filter(F.size("_parts") >= at_least)
+    # Taken out of an array of one, the sentences are cut once; as a plain column the filter would cut them again.
+    cut = docs.select("*", F.explode(F.array(text.sentences(F.col("text")))).alias("_parts")).filter(F.size("_parts") >= at_least)
     parts = F.col("_parts")
     return cut.select(
         "doc_id",

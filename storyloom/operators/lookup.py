@@ -16,35 +16,33 @@ def fits_broadcast(table: StoredTable, limit: int | None = None) -> bool:
 
 
 def lookup_join(
-    rows: DataFrame,
-    table: StoredTable,
-    keys: list[str],
-    salt_by: list[str],
-    head: Column | None = None,
-    salts: int = 8,
-    limit: int | None = None,
+    rows: DataFrame, table: StoredTable, keys: list[str], scatter_by: list[str], head: Column | None = None, limit: int | None = None
 ) -> DataFrame:
     """Left join of ``rows`` with ``table``, which holds each key once.
 
     A table of checked size is broadcast, so no row moves. A larger one is split: its ``head`` (a predicate that
-    can hold for a bounded number of keys only, those that occur most) is broadcast and serves most rows in place;
-    the rows it does not know are shuffled to the rest of the table. Those rows are salted with ``salt_by`` so that
-    one key missing from the head, or from the whole table, cannot pile up in one task.
+    can hold for a bounded number of keys only, those that occur most) is broadcast and serves most rows in place. All rows
+    then meet the rest of the table in one shuffled join; rows that the head served, and rows without a key, have a key
+    there that cannot match and are scattered by a hash of ``scatter_by``. So ``rows`` are read once, and chained lookups stay
+    a chain. A key that is neither in the head nor rare, such as one the whole table lacks, is left to Spark's
+    handling of skewed joins.
     """
     if fits_broadcast(table, limit):
         return rows.join(F.broadcast(table.df), keys, "left")
     values = [c for c in table.df.columns if c not in keys]
-    if head is None:
-        return _salted(rows, table.df, keys, salt_by, salts)
-    top = table.df.filter(head).withColumn("_known", F.lit(True))
-    tried = rows.join(F.broadcast(top), keys, "left")
-    known = tried.filter(F.col("_known")).drop("_known")
-    unknown = tried.filter(F.col("_known").isNull()).drop("_known", *values)
-    rest = _salted(unknown, table.df.filter(~head), keys, salt_by, salts)
-    return known.unionByName(rest.select(*known.columns))
-
-
-def _salted(rows: DataFrame, table: DataFrame, keys: list[str], salt_by: list[str], salts: int) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
+    absent = F.lit(False)
+    for key in keys:
+        absent = absent | F.col(key).isNull()
+    served = rows
+    if head is not None:
+        top = table.df.filter(head).select(*keys, *(F.col(v).alias(f"_top_{v}") for v in values), F.lit(True).alias("_known"))
+        served = rows.join(F.broadcast(top), keys, "left")
+        absent = absent | F.col("_known").isNotNull()
+    placed = served.withColumn("_away", F.when(absent, F.xxhash64(*scatter_by)))
+    asked = [F.when(F.col("_away").isNull(), F.col(k)).alias(f"_key_{k}") for k in keys]
+    placed = placed.select("*", *asked, F.coalesce("_away", F.lit(0).cast("bigint")).alias("_spot"))
+    rest = table.df if head is None else table.df.filter(~F.coalesce(head, F.lit(False)))
+    rest = rest.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(F.col(v).alias(f"_rest_{v}") for v in values), F.lit(0).cast("bigint").alias("_spot"))
+    found = placed.join(rest, [*(f"_key_{k}" for k in keys), "_spot"], "left")
+    given = [F.coalesce(f"_top_{v}", f"_rest_{v}").alias(v) if head is not None else F.col(f"_rest_{v}").alias(v) for v in values]
+    return found.select(*keys, *(c for c in rows.columns if c not in keys), *given)

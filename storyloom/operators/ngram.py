@@ -105,7 +105,7 @@ def negative_log(p: Column) -> Column:
 
 
 def score_pairs(
-    pairs: DataFrame, model: NgramModel, smoothing: float = 0.0, limit: int | None = None, salts: int = 8
+    pairs: DataFrame, model: NgramModel, smoothing: float = 0.0, limit: int | None = None
 ) -> DataFrame:
     """Add ``nll``, the loss of ``target`` after ``context``.
 
@@ -115,8 +115,8 @@ def score_pairs(
     """
     alpha, v = F.lit(model.alpha), F.lit(float(model.vocab_size))
     salt_by = ["doc_id", "pos"]
-    found = lookup_join(pairs, model.pairs, ["context", "target"], salt_by, model.head(), salts, limit)
-    found = lookup_join(found, model.contexts, ["context"], salt_by, F.col("total") >= _context_cut(model), salts, limit)
+    found = lookup_join(pairs, model.pairs, ["context", "target"], salt_by, model.head(), limit)
+    found = lookup_join(found, model.contexts, ["context"], salt_by, F.col("total") >= _context_cut(model), limit)
     total = F.coalesce("total", F.lit(0)) + alpha * v
     p = F.when(total == 0, F.lit(float("nan"))).otherwise((F.coalesce("freq", F.lit(0)) + alpha) / total)
     loss = negative_log(p)

@@ -39,14 +39,31 @@ def softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "p")
 
 
 def top_k(df: DataFrame, by: list[str], k: Column | int, ties: bool, score: str = "score") -> DataFrame:
-    """The best ``k`` by score: with ``ties`` all that equal the k-th, otherwise exactly ``k``, lower token first."""
+    """The best ``k`` by score: with ``ties`` all that equal the k-th, otherwise exactly ``k``, lower token first.
+
+    ``k`` of zero or less keeps all.
+    """
+    if isinstance(k, int) and k <= 0:
+        return df
     group = Window.partitionBy(*by)
     place = (
         F.rank().over(group.orderBy(F.desc(score)))
         if ties
         else F.row_number().over(group.orderBy(F.desc(score), F.asc("token")))
     )
-    return df.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+    kept = F.col("_place") <= k if isinstance(k, int) else (k <= 0) | (F.col("_place") <= k)
+    return df.withColumn("_place", place).filter(kept).drop("_place")
+
+
+def best_of_all(scores: DataFrame, k: Column | int, ties: bool) -> DataFrame:
+    """``top_k`` of a table without groups. A fixed ``k`` is taken by a top-n in every task, never by one window."""
+    if not isinstance(k, int) or k <= 0:
+        return scores
+    first = scores.orderBy(F.desc("score"), F.asc("token")).limit(k)
+    if not ties:
+        return first
+    edge = first.agg(F.min("score")).first()[0]
+    return scores.filter(F.lit(False)) if edge is None else scores.filter(F.col("score") >= edge)
 
 
 def top_p(df: DataFrame, by: list[str], limit: Column | float, p: str = "p") -> DataFrame:
@@ -97,6 +114,8 @@ class DrawTable:
 
 
 def _chunked(bounded: DataFrame) -> DataFrame:
+    """Candidates of a context in rows of bounded length. The last row's stretch has no upper end, as a sum of
+    probabilities may stop short of one, and every row knows the likeliest token."""
     cut = bounded.withColumn("chunk", F.floor((F.col("place") - 1) / CHUNK_ENTRIES))
     rows = cut.groupBy("context", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("high", "token"))).alias("entries")
@@ -104,7 +123,11 @@ def _chunked(bounded: DataFrame) -> DataFrame:
     order = Window.partitionBy("context").orderBy("chunk")
     top = F.element_at("entries", -1)["high"]
     return rows.select(
-        "context", F.coalesce(F.lag(top).over(order), F.lit(0.0)).alias("low"), top.alias("upto"), "entries"
+        "context",
+        F.coalesce(F.lag(top).over(order), F.lit(0.0)).alias("low"),
+        F.when(F.lead("chunk").over(order).isNull(), float("inf")).otherwise(top).alias("upto"),
+        "entries",
+        F.first(F.element_at("entries", 1)["token"]).over(order).alias("likeliest"),
     )
 
 
@@ -122,9 +145,12 @@ def draw_table(pair_counts: DataFrame, **settings) -> DrawTable:
         F.col("target").alias("token"),
         F.log("freq").alias("score"),
     )
-    loose = with_bounds(candidates(start, ["context"], **settings), ["context"])
-    fallback = _chunked(loose).select(F.lit(1).alias("back"), F.col("low").alias("b_low"), F.col("upto").alias("b_upto"),
-                                      F.col("entries").alias("b_entries"))
+    # Temperature does not change the order, so the best are the same before it.
+    best = best_of_all(start, settings.get("k", 50), settings.get("ties", True))
+    loose = with_bounds(candidates(best, ["context"], **settings), ["context"])
+    fallback = _chunked(loose).select(
+        F.lit(1).alias("back"), *(F.col(c).alias(f"b_{c}") for c in ("low", "upto", "entries", "likeliest"))
+    )
     return DrawTable(store(_chunked(known), "draws"), store(fallback, "fallback"))
 
 
@@ -133,25 +159,19 @@ def draw(
 ) -> DataFrame:
     """Add the candidate of ``context`` whose stretch holds ``u``.
 
-    A context of very many candidates has several rows, of which one holds ``u``, so each state row leaves as one.
+    A context of very many candidates has several rows, of which one holds ``u``, so each state row leaves as one. Where
+    rounding leaves no stretch for ``u`` the likeliest candidate is taken.
     """
     located = lookup_join(state.withColumn("_u", u), table.chunks, ["context"], salt_by, limit=limit)
-    located = located.filter(
-        F.col("entries").isNull() | ((F.col("low") <= F.col("_u")) & (F.col("_u") < F.col("upto")))
+    located = located.filter(F.col("entries").isNull() | ((F.col("low") <= F.col("_u")) & (F.col("_u") < F.col("upto"))))
+    located = located.withColumn("back", F.when(F.col("entries").isNull(), F.lit(1)))
+    located = lookup_join(located, table.fallback, ["back"], salt_by, limit=limit)
+    located = located.filter(F.col("b_entries").isNull() | ((F.col("b_low") <= F.col("_u")) & (F.col("_u") < F.col("b_upto"))))
+    offered = located.select(
+        *state.columns, "_u", F.coalesce("entries", "b_entries").alias("_entries"), F.coalesce("likeliest", "b_likeliest").alias("_likeliest")
     )
-    if table.fallback.rows == 1:
-        # One row of candidates needs no join.
-        entries = F.coalesce("entries", table.fallback.df.select("b_entries").scalar())
-    else:
-        located = located.withColumn("back", F.when(F.col("entries").isNull(), F.lit(1)))
-        located = lookup_join(located, table.fallback, ["back"], salt_by, limit=limit)
-        located = located.filter(
-            F.col("b_entries").isNull() | ((F.col("b_low") <= F.col("_u")) & (F.col("_u") < F.col("b_upto")))
-        )
-        entries = F.coalesce("entries", "b_entries")
-    offered = located.select(*state.columns, "_u", entries.alias("_entries"))
-    chosen = F.element_at(F.filter("_entries", lambda e: e["high"] > F.col("_u")), 1)["token"]
-    return offered.select(*state.columns, chosen.alias(out))
+    chosen = F.try_element_at(F.filter("_entries", lambda e: e["high"] > F.col("_u")), F.lit(1))["token"]
+    return offered.select(*state.columns, F.coalesce(chosen, "_likeliest").alias(out))
 
 
 def prompt_draw(seed: int, key: str, step: Column | int) -> Column:

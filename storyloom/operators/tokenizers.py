@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import simple_tokens
+from storyloom.operators import bpe
 from storyloom.operators.vocabulary import Vocabulary, decode_ids, encode_columns
 
 
@@ -40,3 +41,23 @@ class WordTokenizer:
 
     def decode(self, rows: DataFrame, ids: Column, out: str = "text") -> DataFrame:
         return decode_ids(rows, ids, self.vocab, out, limit=self.limit)
+
+
+@dataclass(frozen=True)
+class BpeTokenizer:
+    """Byte-pair tokenizer with ids, from a trained model; builds the same examples as the word tokenizer."""
+
+    vocab: Vocabulary
+    merges: list[tuple[str, str]]
+    limit: int | None = None
+
+    @classmethod
+    def train(cls, docs: DataFrame, num_merges: int = bpe.DEFAULT_MERGES) -> "BpeTokenizer":
+        model = bpe.train_bpe(docs, num_merges)
+        return cls(bpe.bpe_vocabulary(model), [(m[1], m[2]) for m in model.merges])
+
+    def encode(self, docs: DataFrame, texts: dict[str, Column], max_length: int | None = None) -> DataFrame:
+        return bpe.encode_id_columns(docs, texts, self.merges, self.vocab, max_length, limit=self.limit)
+
+    def decode(self, rows: DataFrame, ids: Column, out: str = "text") -> DataFrame:
+        return bpe.decode_id_symbols(rows, ids, self.vocab, out, limit=self.limit)

@@ -15,8 +15,6 @@ from storyloom.scratch import StoredTable
 # Special tokens and their ids.
 SPECIALS = [PAD, UNK, BOS, EOS]
 PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
-# Fixed value: largest number of learned tokens a vocabulary keeps unless told otherwise.
-MAX_TOKENS = 1_000_000
 # Ids follow frequency, so ids below this bound are the most frequent tokens; their number is fixed.
 HEAD_IDS = 100_000
 HEAD_TOKEN_BYTES = 256
@@ -63,34 +61,44 @@ def counts_with_first(docs: DataFrame, tokens: Column, key: str = "doc_id") -> D
 
 
 def build_vocabulary(
-    docs: DataFrame, tokens: Column, max_size: int = MAX_TOKENS, min_freq: int = 1, key: str = "doc_id"
+    docs: DataFrame, tokens: Column, max_size: int | None = None, min_freq: int = 1, key: str = "doc_id"
 ) -> Vocabulary:
-    """Specials first, then tokens by falling frequency, earliest first occurrence first."""
-    counts = counts_with_first(docs, tokens, key)
+    """Specials first, then tokens by falling frequency, earliest first occurrence first; all of them unless
+    ``max_size`` says how many to keep.
+
+    A text may hold the string of a special token; it then has that token's id and no second one.
+    """
+    counts = counts_with_first(docs, tokens, key).filter(~F.col("token").isin(*SPECIALS))
     if min_freq > 1:
         counts = counts.filter(F.col("freq") >= min_freq)
     ranked, total = ordered_table(counts, [F.desc("freq"), F.asc("first_place")], "rank")
-    learned = ranked.df.filter(F.col("rank") <= max_size).select(
-        "token", (F.col("rank") + len(SPECIALS) - 1).alias("id"), "freq"
-    )
+    kept = ranked.df if max_size is None else ranked.df.filter(F.col("rank") <= max_size)
+    learned = kept.select("token", (F.col("rank") + len(SPECIALS) - 1).alias("id"), "freq")
     spark = docs.sparkSession
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id bigint, freq bigint")
-    size = len(SPECIALS) + min(total, max_size)
+    size = len(SPECIALS) + (total if max_size is None else min(total, max_size))
     return Vocabulary(StoredTable(specials.unionByName(learned), ranked.path, size, ranked.memory_bytes + 1024), size)
 
 
-def extend_vocabulary(vocab: DataFrame, tokens: list[str]) -> DataFrame:
-    """Register special tokens that are not there yet, with ids after the largest."""
-    spark = vocab.sparkSession
-    wanted = spark.createDataFrame([(t, i) for i, t in enumerate(dict.fromkeys(tokens))], "token string, ord int")
-    # The other side holds at most one row for each wanted token.
-    present = vocab.filter(F.col("token").isin(tokens)).select("token")
-    missing = [r["token"] for r in wanted.join(F.broadcast(present), "token", "left_anti").orderBy("ord").collect()]
-    start = int(vocab.agg(F.max("id")).first()[0]) + 1
-    added = spark.createDataFrame(
-        [(t, start + i, 0) for i, t in enumerate(missing)], "token string, id bigint, freq bigint"
-    )
-    return vocab.unionByName(added)
+def extend_vocabulary(vocab: Vocabulary, tokens: list[str]) -> Vocabulary:
+    """Register special tokens that are not there yet, with the ids after the largest, in the order given."""
+    spark = vocab.df.sparkSession
+    wanted = list(dict.fromkeys(tokens))
+    # At most one row for each wanted token comes back.
+    present = {r["token"] for r in vocab.df.filter(F.col("token").isin(wanted)).select("token").collect()}
+    missing = [t for t in wanted if t not in present]
+    if not missing:
+        return vocab
+    added = spark.createDataFrame([(t, vocab.size + i, 0) for i, t in enumerate(missing)], "token string, id bigint, freq bigint")
+    room = vocab.table.memory_bytes + sum(len(t.encode()) + 128 for t in missing)
+    size = vocab.size + len(missing)
+    return Vocabulary(StoredTable(vocab.df.unionByName(added), vocab.table.path, size, room), size)
+
+
+def pad_id(vocab: Vocabulary, pad: str = PAD, eos: str = EOS) -> int | None:
+    """Id of the padding token; a vocabulary without one pads with the end of the sequence."""
+    ids = {r["token"]: r["id"] for r in vocab.df.filter(F.col("token").isin(pad, eos)).select("token", "id").collect()}
+    return ids.get(pad, ids.get(eos))
 
 
 def encode_tokens(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as tx
-from storyloom.operators import bpe
+from storyloom.operators import bpe, examples
+from storyloom.operators.tokenizers import BpeTokenizer
 from storyloom.plans.registry import query
-from storyloom.plans.sql import sql, words
+from storyloom.plans.sql import flat, sql, toks, words
 from storyloom.scratch import store
 from storyloom.sources import corpus
 
@@ -106,3 +107,83 @@ def compare_bpe(spark, sf):
     return encoded.agg(F.sum(F.size("symbols")).cast("bigint").alias("total"), F.max(F.size("symbols")).cast("bigint").alias("longest")).select(
         F.lit("bpe").alias("tokenizer"), "total", "longest"
     )
+
+
+# Ids: every word of the texts and of the sentences cut from them is merged by the rules learned on train.
+_PIECES = {
+    "bp": f"SELECT doc_id, {words('text')} AS t, {words('first_sentence')} AS f, {words('last_sentence')} AS l, {words('middle_part')} AS m FROM seg",
+    "bd": f"SELECT doc_id, {words('text')} AS t FROM docs",
+}
+_ID_TRAINING = _training(MERGES)
+_ID_TRAINING["w0"] = """SELECT word, sum(tr)::BIGINT AS freq, array_to_string([' ' || c || ' ' for c in regexp_extract_all(word, '(?s).')], '') || ' </w> ' AS w
+    FROM (SELECT unnest(t) AS word, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS tr FROM bd
+    UNION ALL SELECT unnest(f || l || m), 0 FROM bp) GROUP BY word"""
+_ID_VOCAB = {
+    "bv": f"""SELECT token, (row_number() OVER (ORDER BY kind, place, token) + 3)::BIGINT AS id FROM (SELECT token, min(kind) AS kind, min(place) AS place FROM (
+        SELECT 0 AS kind, 0 AS place, unnest(string_split(w[2:length(w) - 1], '  ')) AS token FROM w0 WHERE freq > 0
+        UNION ALL SELECT 1, rank, merged FROM ({_ALL})) GROUP BY token)""",
+    "bn": "SELECT count(*) + 4 AS v FROM bv",
+    "syms": f"SELECT word, string_split(w[2:length(w) - 1], '  ') AS s FROM w{MERGES}",
+    "wid": """SELECT word, list(coalesce(bv.id, 1) ORDER BY k) AS ids FROM (SELECT word, unnest(s) AS token, generate_subscripts(s, 1) AS k FROM syms)
+        LEFT JOIN bv USING (token) GROUP BY word""",
+}
+
+
+def _bpe_ids(source: str, column: str) -> str:
+    return f"""SELECT b.doc_id, coalesce(e.ids, []::BIGINT[])[1:512] AS ids FROM {source} b LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids
+        FROM (SELECT doc_id, unnest({column}) AS word, generate_subscripts({column}, 1) AS pos FROM {source}) JOIN wid USING (word) GROUP BY doc_id) e
+        ON e.doc_id = b.doc_id"""
+
+
+_ID_PARTS = {**_PIECES, **_ID_TRAINING, **_ID_VOCAB}
+_ID_SIDES = {f"i_{c}": _bpe_ids("bp", c) for c in "flmt"}
+_ID_PROMPT = "(i_f.ids || [(SELECT v FROM bn)::BIGINT] || i_l.ids)[1:512]"
+
+
+def _bpe_tokenizer(docs):
+    return BpeTokenizer.train(docs.filter("split = 'train'"), MERGES)
+
+
+def _flat_ids(column):
+    return F.array_join(column.cast("array<string>"), " ")
+
+
+@query("encode_ids_bpe", sql("docs", "seg", extra={**_ID_PARTS, "ib": _bpe_ids("bd", "t")}, body=f"SELECT doc_id, {flat('ids')} AS ids FROM ib"))
+def encode_ids_bpe(spark, sf):
+    docs = corpus.stories(spark, sf)
+    ids = _bpe_tokenizer(docs).encode(examples.keyed(docs), {"ids": F.col("text")}, 512)
+    return ids.select("doc_id", _flat_ids(F.col("ids")).alias("ids"))
+
+
+@query("infill_examples_bpe", sql("docs", "seg", extra={**_ID_PARTS, **_ID_SIDES}, body=f"""SELECT doc_id, {flat(_ID_PROMPT)} AS input_ids, {flat('i_t.ids')} AS target_ids,
+    first_sentence, last_sentence, text AS full_story FROM seg JOIN i_f USING (doc_id) JOIN i_l USING (doc_id) JOIN i_t USING (doc_id)
+    WHERE len({_ID_PROMPT}) >= 5 AND len(i_t.ids) >= 5"""))
+def infill_examples_bpe(spark, sf):
+    docs = corpus.stories(spark, sf)
+    built = examples.infill_examples(docs, _bpe_tokenizer(docs))
+    return built.withColumn("input_ids", _flat_ids(F.col("input_ids"))).withColumn("target_ids", _flat_ids(F.col("target_ids")))
+
+
+@query("encdec_examples_bpe", sql("docs", "seg", extra={**_ID_PARTS, **_ID_SIDES}, body=f"""SELECT doc_id, {flat(_ID_PROMPT)} AS encoder_input_ids,
+    {flat('([2::BIGINT] || i_m.ids)[1:len(i_m.ids)]')} AS decoder_input_ids, {flat('i_m.ids')} AS decoder_target_ids,
+    first_sentence, last_sentence, middle_part, text AS full_story FROM seg JOIN i_f USING (doc_id) JOIN i_l USING (doc_id) JOIN i_m USING (doc_id)
+    WHERE len({_ID_PROMPT}) >= 5 AND len(i_m.ids) >= 5"""))
+def encdec_examples_bpe(spark, sf):
+    docs = corpus.stories(spark, sf)
+    built = examples.encoder_decoder_examples(docs, _bpe_tokenizer(docs))
+    for name in ("encoder_input_ids", "decoder_input_ids", "decoder_target_ids"):
+        built = built.withColumn(name, _flat_ids(F.col(name)))
+    return built
+
+
+@query("compare_texts", sql("docs", extra={**_TRAIN_ON_TRAIN, "e": _ENCODED}, body=f"""SELECT doc_id, 'simple' AS tokenizer, len({toks('text')})::BIGINT AS n,
+    array_to_string({toks('text')}, ' ') AS tokens FROM docs UNION ALL SELECT doc_id, 'whitespace', len({words('text')})::BIGINT, array_to_string({words('text')}, ' ') FROM docs
+    UNION ALL SELECT doc_id, 'bpe', CASE WHEN joined IS NULL THEN 0 ELSE len(string_split(joined, '  ')) END::BIGINT, coalesce(replace(joined, '  ', ' '), '')
+    FROM docs LEFT JOIN e USING (doc_id)"""))
+def compare_texts(spark, sf):
+    """One row for every text and tokenizer."""
+    docs, encoded = _encoded(spark, sf)
+    simple, spaced = tx.simple_tokens(F.col("text")), tx.whitespace_words(F.col("text"))
+    row = lambda name, tokens: F.struct(F.lit(name).alias("tokenizer"), F.size(tokens).cast("bigint").alias("n"), F.array_join(tokens, " ").alias("tokens"))
+    texts = docs.select("doc_id", F.inline(F.array(row("simple", simple), row("whitespace", spaced))))
+    return texts.unionByName(encoded.select("doc_id", F.inline(F.array(row("bpe", F.col("symbols"))))))

@@ -27,18 +27,45 @@ def scan_parquet(spark, sf):
     return docs.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-@query("scan_jsonl", "SELECT doc_id, text FROM documents")
+# Fixed value: the columns of the corpus table.
+RECORD = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+_FIELDS = "doc_id, text, lang, source, n_chars"
+
+
+@query("scan_jsonl", f"SELECT {_FIELDS} FROM documents")
 def scan_jsonl(spark, sf):
     path = new_path(spark, "jsonl")
-    corpus.write_jsonl(corpus.stories(spark, sf).select("doc_id", "text"), path)
-    return corpus.read_jsonl(spark, path, corpus.KEYED_SCHEMA)
+    corpus.write_jsonl(corpus.records(spark, sf).drop("split"), path)
+    return corpus.read_jsonl(spark, path, RECORD)
+
+
+def _as_lines(spark, sf):
+    """The corpus as JSON lines in key order, none of which tells its key."""
+    path = new_path(spark, "lines")
+    corpus.write_jsonl(corpus.records(spark, sf).drop("split").orderBy("doc_id").withColumnRenamed("doc_id", "number"), path)
+    return path
+
+
+@query("keyed_jsonl", "SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, doc_id AS number, text, lang, source, n_chars FROM documents")
+def keyed_jsonl(spark, sf):
+    """Records without a key get their place in file order."""
+    return corpus.read_keyed_jsonl(spark, _as_lines(spark, sf), RECORD.replace("doc_id", "number"))
+
+
+@query("subset_lines", """SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || no::VARCHAR)) AS rn
+    FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS no FROM documents)) WHERE rn <= 75""")
+def subset_lines(spark, sf):
+    """Chosen lines are written as they were read, with all their fields."""
+    target = new_path(spark, "subset")
+    corpus.write_subset(spark, _as_lines(spark, sf), target, 75, SEED)
+    return corpus.read_jsonl(spark, target, RECORD.replace("doc_id", "number")).withColumnRenamed("number", "doc_id")
 
 
-@query("sink_by_split", sql("docs", body="SELECT doc_id, text, split FROM docs"))
+@query("sink_by_split", f"SELECT {_FIELDS}, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents")
 def sink_by_split(spark, sf):
     path = new_path(spark, "splits")
-    corpus.write_jsonl(corpus.stories(spark, sf), path, by_split=True)
-    return spark.read.schema("doc_id bigint, text string, split string").json(path)
+    corpus.write_jsonl(corpus.records(spark, sf), path, by_split=True)
+    return spark.read.schema(f"{RECORD}, split string").json(path)
 
 
 @query("split_layout", sql("docs", body="SELECT split, count(*) AS n, sum(length(text))::BIGINT AS chars FROM docs GROUP BY split"))
@@ -72,18 +99,19 @@ def subset(spark, sf):
     return positions.seeded_subset(corpus.stories(spark, sf), 50, SEED, by="split").select("doc_id", "split", "text")
 
 
-@query("sink_jsonl", sql("docs", body=_SUBSET))
+@query("sink_jsonl", f"""SELECT {_FIELDS}, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS rn
+    FROM (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents)) WHERE rn <= 50""")
 def sink_jsonl(spark, sf):
     path = new_path(spark, "subset")
-    corpus.write_jsonl(positions.seeded_subset(corpus.stories(spark, sf), 50, SEED, by="split"), path, by_split=True)
-    return spark.read.schema("doc_id bigint, text string, split string").json(path).select("doc_id", "split", "text")
+    corpus.write_jsonl(positions.seeded_subset(corpus.records(spark, sf), 50, SEED, by="split"), path, by_split=True)
+    return spark.read.schema(f"{RECORD}, split string").json(path)
 
 
-@query("convert_format", "SELECT doc_id, text FROM documents")
+@query("convert_format", f"SELECT {_FIELDS} FROM documents")
 def convert_format(spark, sf):
     table, lines = new_path(spark, "table"), new_path(spark, "lines")
-    corpus.convert(spark, f"{sf}/documents.parquet", lines, "json", corpus.KEYED_SCHEMA)
-    return corpus.convert(spark, lines, table, "parquet", corpus.KEYED_SCHEMA).select("doc_id", "text")
+    corpus.convert(spark, f"{sf}/documents.parquet", lines, "json", RECORD)
+    return corpus.convert(spark, lines, table, "parquet", RECORD)
 
 
 @query(

@@ -54,7 +54,7 @@ def vocab_size(spark, sf):
     UNION ALL SELECT '<blank>', (SELECT v FROM nv), 0 UNION ALL SELECT '<sep>', (SELECT v FROM nv) + 1, 0"""))
 def extend_vocab(spark, sf):
     vocab = train_vocabulary(corpus.stories(spark, sf))
-    return vocabulary.extend_vocabulary(vocab.df, ["<blank>", "<bos>", "<eos>", "<pad>", "<sep>"])
+    return vocabulary.extend_vocabulary(vocab, ["<blank>", "<bos>", "<eos>", "<pad>", "<sep>"]).df
 
 
 @query("encode_ids", sql("enc", body=f"SELECT doc_id, len(ids)::BIGINT AS n_ids, {flat('ids')} AS ids FROM enc"))
@@ -140,11 +140,11 @@ def padded_fixed(spark, sf):
 
 
 @query("pad_value_mask", sql("enc", body="""SELECT doc_id, array_to_string([CASE WHEN x = 3 THEN 'true' ELSE 'false' END for x in
-    (ids[1:64] || [3 for y in range(64 - len(ids[1:64]))])], ' ') AS mask FROM enc"""))
+    (ids[1:512] || [3 for y in range(512 - len(ids[1:512]))])], ' ') AS mask FROM enc"""))
 def pad_value_mask(spark, sf):
     docs = corpus.stories(spark, sf)
-    ids = tokenizer_for(docs).encode(examples.keyed(docs), {"ids": F.col("text")}, max_length=64)
-    padded = arrays.pad_to(F.col("ids"), 64, vocabulary.EOS_ID)
+    ids = tokenizer_for(docs).encode(examples.keyed(docs), {"ids": F.col("text")}, max_length=512)
+    padded = arrays.pad_to(F.col("ids"), 512, vocabulary.EOS_ID)
     return ids.select("doc_id", joined(arrays.value_mask(padded, vocabulary.EOS_ID)).alias("mask"))
 
 
@@ -199,27 +199,26 @@ def chunks_uniform(spark, sf):
     return pieces.withColumn("ids", joined(F.col("ids")))
 
 
-def sequence_lengths(docs, max_length=L):
+def sequence_lengths(docs):
     """Lengths of framed sequences follow from the words alone; no vocabulary is needed to plan batches."""
-    n = F.least(F.size(tx.simple_tokens(F.col("text"))) + 2, F.lit(max_length))
-    return docs.select("doc_id", n.cast("bigint").alias("n"))
+    return docs.select("doc_id", (F.size(tx.simple_tokens(F.col("text"))) + 2).cast("bigint").alias("n"))
 
 
-@query("batches", sql("seqs", "numbered", body="""SELECT doc_id, batch_id, len(ids)::BIGINT AS n,
-    (max(len(ids)) OVER (PARTITION BY batch_id))::BIGINT AS max_n FROM numbered JOIN seqs USING (doc_id)"""))
+@query("batches", sql("framed", "numbered", body="""SELECT doc_id, batch_id, len(ids)::BIGINT AS n,
+    (max(len(ids)) OVER (PARTITION BY batch_id))::BIGINT AS max_n FROM numbered JOIN framed USING (doc_id)"""))
 def batches(spark, sf):
     lengths = sequence_lengths(corpus.stories(spark, sf))
     return batching.assign_batches(lengths, BATCH, ["n"], [F.col("doc_id")])
 
 
-@query("padded_batches", sql("seqs", "numbered", body="""SELECT doc_id, batch_id,
+@query("padded_batches", sql("framed", "numbered", body="""SELECT doc_id, batch_id,
     array_to_string((a || [0 for x in range(m - len(a))])::VARCHAR[], ' ') AS input_ids,
     array_to_string((b || [0 for x in range(m - len(b))])::VARCHAR[], ' ') AS target_ids
     FROM (SELECT doc_id, batch_id, ids[1:len(ids) - 1] AS a, ids[2:] AS b, max(len(ids) - 1) OVER (PARTITION BY batch_id) AS m
-    FROM numbered JOIN seqs USING (doc_id))"""))
+    FROM numbered JOIN framed USING (doc_id))"""))
 def padded_batches(spark, sf):
     docs = corpus.stories(spark, sf)
-    pairs = examples.next_token_pairs(framed_sequences(docs, L))
+    pairs = examples.next_token_pairs(framed_sequences(docs))
     lengths = sequence_lengths(docs).withColumn("n", F.col("n") - 1)
     placed = batching.assign_batches(lengths, BATCH, ["n"], [F.col("doc_id")])
     padded = batching.pad_batches(pairs, placed, {"input_ids": "max_n", "target_ids": "max_n"})
@@ -257,8 +256,8 @@ def _padded_infill(spark, sf):
     return batching.pad_batches(built, placed, {"input_ids": "max_n_in", "target_ids": "max_n_out"})
 
 
-@query("padding_efficiency", sql("seqs", "numbered", body="""SELECT batch_id, sum(len(ids) - 1)::BIGINT AS real_cells,
-    (count(*) * max(len(ids) - 1))::BIGINT AS padded_cells FROM numbered JOIN seqs USING (doc_id) GROUP BY batch_id"""))
+@query("padding_efficiency", sql("framed", "numbered", body="""SELECT batch_id, sum(len(ids) - 1)::BIGINT AS real_cells,
+    (count(*) * max(len(ids) - 1))::BIGINT AS padded_cells FROM numbered JOIN framed USING (doc_id) GROUP BY batch_id"""))
 def padding_efficiency(spark, sf):
     lengths = sequence_lengths(corpus.stories(spark, sf)).withColumn("n", F.col("n") - 1)
     return batching.padding_efficiency(batching.assign_batches(lengths, BATCH, ["n"], [F.col("doc_id")]), "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import simple_tokens
 from storyloom.operators import batching, examples, metrics, ngram, sampling
 from storyloom.plans.corpus_queries import SEED
-from storyloom.plans.example_queries import BATCH, L, sequence_lengths, tokenizer_for
+from storyloom.plans.example_queries import BATCH, tokenizer_for
 from storyloom.plans.registry import query
 from storyloom.plans.sql import sql, unit
 from storyloom.scratch import store
@@ -21,15 +21,14 @@ def is_train():
 
 
 def framed_store(docs, tok):
-    """Ids of every story, stored: the model and the scored pairs both start from them."""
+    """Ids of every whole story, stored for scoring."""
     return store(examples.framed_ids(docs, tok), "framed").df
 
 
 def trained(spark, sf, alpha=1.0):
-    docs = corpus.stories(spark, sf)
-    tok = tokenizer_for(docs)
-    framed = framed_store(docs, tok)
-    return docs, tok, framed, ngram.train_ngram(framed.filter(is_train()), tok.vocab.size, alpha)
+    """Tokenizer and model; pairs are counted from the tokens, so no story is encoded for it."""
+    pairs, tok = train_pairs(spark, sf)
+    return corpus.stories(spark, sf), tok, ngram.model_from_pairs(pairs, tok.vocab.size, alpha, 2)
 
 
 def train_pairs(spark, sf):
@@ -96,6 +95,18 @@ def topk_exact(spark, sf):
     return sampling.top_k(bigram_scores(spark, sf), ["context"], 5, ties=False).select("context", "token", "freq")
 
 
+@query("topk_off", sql("scores", body="SELECT context, count(*) AS n, round(sum(freq)::DOUBLE, 3) AS mass FROM scores GROUP BY context"))
+def topk_off(spark, sf):
+    """A ``k`` of zero keeps every candidate, as does a mass of one."""
+    pairs, _ = train_pairs(spark, sf)
+    scores = pairs.df.select("context", F.col("target").alias("token"), F.log("freq").alias("score"))
+    kept = sampling.candidates(scores, ["context"], k=0, p_limit=1.0)
+    counts = pairs.df.select("context", F.col("target").alias("token"), "freq")
+    return kept.join(counts, ["context", "token"]).groupBy("context").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("freq").cast("double"), 3).alias("mass")
+    )
+
+
 def candidate_sql(source: str, by: str, t: str, k: str, p: str, ties: bool, guarded: bool = False) -> dict[str, str]:
     """Temperature, top-k, top-p and normalisation restated; leaves ``cand`` with token, p and high."""
     cooled = f"score / greatest({t}, 0.1)" if guarded else f"score / {t}"
@@ -203,12 +214,9 @@ def param_sweep(spark, sf):
 
 
 def _batched_losses(spark, sf, smoothing=0.0, alpha=1.0, batch=BATCH):
-    docs, tok, framed, model = trained(spark, sf, alpha)
-    from storyloom.functions.arrays import truncate
-
-    seqs = framed.select("doc_id", truncate(F.col("ids"), L).alias("ids"))
-    losses = ngram.document_losses(seqs, model, smoothing)
-    placed = batching.assign_batches(framed.select("doc_id"), batch, [], [F.col("doc_id")])
+    docs, tok, model = trained(spark, sf, alpha)
+    losses = ngram.document_losses(framed_store(docs, tok), model, smoothing)
+    placed = batching.assign_batches(docs.select("doc_id"), batch, [], [F.col("doc_id")])
     return ngram.batch_losses(losses, placed, ["batch_id"])
 
 
@@ -232,11 +240,11 @@ _RAW_BATCHES = {
         ELSE -ln(c.freq / x.total::DOUBLE) END) AS nll FROM seq_pairs p
         LEFT JOIN counts c ON c.context = p.context AND c.target = p.target LEFT JOIN ctx x ON x.context = p.context GROUP BY p.doc_id""",
     "small": """SELECT batch_id, sum(nll) / sum(n) AS loss FROM (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 4)::BIGINT
-        AS batch_id FROM seqs) JOIN raw USING (doc_id) GROUP BY batch_id""",
+        AS batch_id FROM framed) JOIN raw USING (doc_id) GROUP BY batch_id""",
 }
 
 
-@query("valid_losses", sql("seq_pairs", "counts", "ctx", extra=_RAW_BATCHES, body="""SELECT batch_id, round(loss, 9) AS loss FROM small
+@query("valid_losses", sql("framed", "seq_pairs", "counts", "ctx", extra=_RAW_BATCHES, body="""SELECT batch_id, round(loss, 9) AS loss FROM small
     WHERE NOT isnan(loss) AND NOT isinf(loss) AND loss <= 1000"""))
 def valid_losses(spark, sf):
     """Without smoothing, a pair never seen in training has infinite loss; those batches are dropped."""
@@ -259,10 +267,8 @@ def training_metrics(spark, sf):
 
     Stories are scored once; epochs only regroup them.
     """
-    docs, tok, framed, model = trained(spark, sf)
-    from storyloom.functions.arrays import truncate
-
-    train = framed.filter(is_train()).select("doc_id", truncate(F.col("ids"), L).alias("ids"))
+    docs, tok, model = trained(spark, sf)
+    train = framed_store(docs.filter(is_train()), tok)
     losses = store(ngram.document_losses(train, model), "losses").df
     order = batching.epoch_order(losses.select("doc_id"), SEED, EPOCHS)
     dealt = batching.shard_positions(order, WORLD).withColumn("batch_id", F.floor(F.col("slot") / BATCH).cast("bigint"))
@@ -308,7 +314,7 @@ _INFILL_LOSS = {
 
 
 def story_losses(spark, sf):
-    docs, tok, framed, model = trained(spark, sf)
+    docs, tok, model = trained(spark, sf)
     return ngram.infill_losses(examples.middle_truth(docs, tok), model)
 
 

@@ -75,12 +75,12 @@ CTES: dict[str, str] = {
     "counts": "SELECT context, target, count(*) AS freq FROM pairs WHERE NOT held GROUP BY context, target",
     "ctx": """SELECT context, sum(freq)::BIGINT AS total, count(*) AS seen, sum(ln(freq + 1)) AS log_sum
         FROM counts GROUP BY context""",
-    "seq_pairs": """SELECT doc_id, unnest(ids[1:len(ids) - 1]) AS context, unnest(ids[2:]) AS target FROM seqs""",
+    "seq_pairs": """SELECT doc_id, unnest(ids[1:len(ids) - 1]) AS context, unnest(ids[2:]) AS target FROM framed""",
     "doc_loss": """SELECT p.doc_id, count(*) AS n,
         sum(-ln((coalesce(c.freq, 0) + 1) / (coalesce(x.total, 0) + (SELECT v FROM nv))::DOUBLE)) AS nll
         FROM seq_pairs p LEFT JOIN counts c ON c.context = p.context AND c.target = p.target
         LEFT JOIN ctx x ON x.context = p.context GROUP BY p.doc_id""",
-    "numbered": "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::BIGINT AS batch_id FROM seqs",
+    "numbered": "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::BIGINT AS batch_id FROM framed",
     "scores": "SELECT context, target AS token, freq, ln(freq) AS score FROM counts",
 }
 
@@ -90,8 +90,8 @@ NEEDS: dict[str, list[str]] = {
     "pieces": ["seg"], "pf": ["pieces", "vocab"], "pl": ["pieces", "vocab"], "pm": ["pieces", "vocab"],
     "pt": ["pieces", "vocab"], "prompts": ["pf", "pl", "nv"], "pieces2": ["seg2"], "qf": ["pieces2", "vocab"],
     "ql": ["pieces2", "vocab"], "qt": ["pieces2", "vocab"], "sides": ["qf", "ql", "qt"], "mids": ["sides"],
-    "pairs": ["framed"], "counts": ["pairs"], "ctx": ["counts"], "seq_pairs": ["seqs"],
-    "doc_loss": ["seq_pairs", "counts", "ctx", "nv"], "numbered": ["seqs"], "scores": ["counts"],
+    "pairs": ["framed"], "counts": ["pairs"], "ctx": ["counts"], "seq_pairs": ["framed"],
+    "doc_loss": ["seq_pairs", "counts", "ctx", "nv"], "numbered": ["framed"], "scores": ["counts"],
 }
 
 
@@ -108,5 +108,7 @@ def sql(*needs: str, body: str, extra: dict[str, str] | None = None) -> str:
     for n in needs:
         visit(n)
     parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in order]
-    parts += [f"{n} AS MATERIALIZED ({text})" for n, text in (extra or {}).items()]
-    return (f"WITH {', '.join(parts)} " if parts else "") + body
+    # A piece that reads itself is a recursion and cannot be materialised.
+    again = {n for n, text in (extra or {}).items() if f"FROM {n} " in text}
+    parts += [f"{n} AS ({text})" if n in again else f"{n} AS MATERIALIZED ({text})" for n, text in (extra or {}).items()]
+    return (f"WITH {'RECURSIVE ' if again else ''}{', '.join(parts)} " if parts else "") + body

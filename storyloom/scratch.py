@@ -6,35 +6,65 @@ it, and knows its size, so a join can decide whether broadcasting it is safe.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_local_roots: dict[str, str] = {}
-
 # Row header and null bits of a Spark row, plus the hash slot that a broadcast relation keeps for it.
 _ROW_OVERHEAD = 48
+# Folder of the owner in charge; outside of any the application itself is.
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+# Application folders that are already marked for deletion when the application ends.
+_marked: set[str] = set()
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jpath
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only for a local master that sets none."""
+    """``spark.checkpoint.dir`` of the session, else the temporary folder of Hadoop's default file system."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="storyloom-")
-    return _local_roots[app]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(conf)
+    return fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(conf.get("hadoop.tmp.dir"))).toString()
+
+
+def application_folder(spark: SparkSession) -> str:
+    """The folder of all that this application stores. Hadoop deletes it when the application ends."""
+    folder = f"{scratch_root(spark)}/storyloom/{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        fs, path = _filesystem(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/storyloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{_folder.get() or application_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def owner(spark: SparkSession) -> Iterator[str]:
+    """Everything stored inside the block goes when it ends, so frames made there must be used or written before."""
+    folder = new_path(spark, "owner")
+    token = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(token)
+        fs, path = _filesystem(spark, folder)
+        fs.delete(path, True)
 
 
 @dataclass(frozen=True)
@@ -89,5 +119,5 @@ def store(df: DataFrame, tag: str) -> StoredTable:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application stored. Call it when no frame that reads stored tables is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/storyloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    fs, path = _filesystem(spark, application_folder(spark))
+    fs.delete(path, True)

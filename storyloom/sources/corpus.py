@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import PySparkException
 
-from storyloom.operators.positions import ordered_position
+from storyloom.operators.lookup import lookup_join
+from storyloom.operators.positions import first_rows, ordered_position, seeded_subset
+from storyloom.scratch import store
 
 STORY_SCHEMA = "text string"
 KEYED_SCHEMA = "doc_id bigint, text string"
@@ -25,25 +28,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def bytes_under(spark: SparkSession, path: str) -> int:
-    fs, jpath = _hadoop_path(spark, path)
-    return fs.getContentSummary(jpath).getLength()
-
-
-def spread(df: DataFrame, path: str, key: str | None = None) -> DataFrame:
-    """Give a small input one partition per core.
-
-    Only an input below one full read split per core is moved; larger ones already fill the cluster and are
-    left where they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    if bytes_under(spark, path) >= cores * split:
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
-
-
 def require_text(df: DataFrame) -> DataFrame:
     """A record without text stops the job when it is read."""
     checked = F.when(F.col("text").isNull(), F.raise_error(F.lit("story record without text"))).otherwise(F.col("text"))
@@ -55,6 +39,42 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = STOR
     return require_text(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
 
 
+def read_lines(spark: SparkSession, path: str, number: str = "line_no") -> DataFrame:
+    """``value``, a line as it is, and its 0-based ``number`` in the order of the files' names and of the lines in each.
+
+    Files are read in pieces by many tasks. Only how many lines each piece has is gathered; a line's number is the sum
+    for the pieces before its own and its place in the piece.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    pieces = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_lines"))
+    placed = ordered_position(store(pieces, "pieces").df, [F.col("_file"), F.col("_block")], "_piece")
+    # One row for each piece of a file, a few tens of bytes for every 128 MiB.
+    order = placed.orderBy("_piece").collect()
+    before, starts = 0, []
+    for r in order:
+        starts.append((r["_file"], r["_block"], before - r["_least"]))
+        before += r["_lines"]
+    table = store(spark.createDataFrame(starts, "_file string, _block bigint, _shift bigint"), "starts")
+    found = lookup_join(lines, table, ["_file", "_block"], ["_at"])
+    return found.select((F.col("_shift") + F.col("_at")).alias(number), "value")
+
+
+def read_keyed_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = STORY_SCHEMA, key: str = "doc_id") -> DataFrame:
+    """Records that bring no key of their own, with their place in file order as ``key``."""
+    lines = read_lines(spark, path, key)
+    parsed = lines.select(key, F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_record"))
+    return require_text(parsed.select(key, "_record.*"))
+
+
+def write_subset(spark: SparkSession, source: str, target: str, n: int, seed: int) -> None:
+    """Exactly ``n`` lines of a corpus in seeded choice, or all if there are no more, written unchanged, copies included."""
+    chosen = seeded_subset(read_lines(spark, source), n, seed, key="line_no")
+    chosen.select("value").write.mode("overwrite").text(target)
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
@@ -72,9 +92,25 @@ def resolve_split(spark: SparkSession, root: str, split: str) -> tuple[str, str]
     raise FileNotFoundError(f"neither {folder} nor {single} exists")
 
 
-def read_split(spark: SparkSession, root: str, split: str, schema: str = STORY_SCHEMA) -> DataFrame:
+def read_split(
+    spark: SparkSession, root: str, split: str, schema: str = STORY_SCHEMA, max_samples: int | None = None, key: str = "doc_id"
+) -> DataFrame:
+    """A split's records, whole or the first ``max_samples``: in file order for JSON lines, by key for tables.
+
+    JSON records get a key from their place where the schema names none.
+    """
     kind, path = resolve_split(spark, root, split)
-    df = read_jsonl(spark, path, schema) if kind == "json" else read_table(spark, path)
+    if kind == "json":
+        names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
+        if key in names and max_samples is None:
+            df = read_jsonl(spark, path, schema)
+        else:
+            df = read_keyed_jsonl(spark, path, schema, key if key not in names else "_line")
+            df = df if max_samples is None else df.filter(F.col("_line" if key in names else key) < max_samples)
+            df = df.drop("_line")
+    else:
+        df = require_text(read_table(spark, path))
+        df = df if max_samples is None else first_rows(df, max_samples, key)
     return df.withColumn("split", F.lit(split))
 
 
@@ -85,9 +121,12 @@ def split_of(key: str = "doc_id"):
 
 def stories(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
     """The story corpus of a table folder: ``doc_id``, ``text``, ``split``."""
-    path = f"{folder}/{table}.parquet"
-    df = read_table(spark, path, ["doc_id", "text"]).withColumn("split", split_of())
-    return spread(df, path, "doc_id")
+    return require_text(read_table(spark, f"{folder}/{table}.parquet", ["doc_id", "text"])).withColumn("split", split_of())
+
+
+def records(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
+    """The corpus with all its columns, and ``split``."""
+    return require_text(read_table(spark, f"{folder}/{table}.parquet")).withColumn("split", split_of())
 
 
 def conversation_stories(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,24 +168,63 @@ def cache_path(
     offline: bool = True,
     max_samples: int | None = None,
 ) -> str:
-    """A folder named after every setting that changes the processed examples."""
-    mode = "offline" if offline else "online"
-    samples = "all" if max_samples is None else str(max_samples)
-    tok = tokenizer.rstrip("/").rsplit("/", 1)[-1]
-    return (
-        f"{root.rstrip('/')}/processed/split={split}/mode={mode}/tok={tok}"
-        f"/maxlen={max_length}/minlen={min_length}/n={samples}"
-    )
+    """A folder named after every setting that changes the processed examples, in the order of their names."""
+    settings = {
+        "max_length": max_length, "max_samples": max_samples, "min_length": min_length, "offline": offline, "split": split,
+        "tokenizer": tokenizer,
+    }
+    return "/".join([root.rstrip("/"), "processed", *(f"{name}={quote(str(settings[name]), safe='')}" for name in sorted(settings))])
+
+
+_MANIFEST = "_manifest.json"
+
+
+def _files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Data files of a folder with their sizes."""
+    fs, jpath = _hadoop_path(spark, path)
+    found = fs.listFiles(jpath, True)
+    sizes = {}
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().toString().rpartition(path.rstrip("/").rpartition("/")[2] + "/")[2]
+        if not any(part.startswith(("_", ".")) for part in name.split("/")):
+            sizes[name] = status.getLen()
+    return sizes
+
+
+def _write_text(spark: SparkSession, path: str, content: str) -> None:
+    fs, jpath = _hadoop_path(spark, path)
+    out = fs.create(jpath, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, jpath = _hadoop_path(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """The folder holds just the files, of just the sizes, that its manifest lists; the manifest is written last."""
+    if not path_exists(spark, f"{path}/{_MANIFEST}"):
+        return False
+    try:
+        listed = json.loads(_read_text(spark, f"{path}/{_MANIFEST}"))["files"]
+    except (ValueError, KeyError):
+        return False
+    return listed == _files(spark, path)
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read a finished table at ``path``, or build and write it. An unfinished or unreadable one is rebuilt."""
-    if path_exists(spark, f"{path}/_SUCCESS"):
-        try:
-            return spark.read.parquet(path)
-        except PySparkException:
-            pass
-    build().write.mode("overwrite").parquet(path)
+    """Read a finished table at ``path``, or build and write it. One that is unfinished, or whose files were cut short,
+    taken away or added to, is rebuilt."""
+    if not is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
+        _write_text(spark, f"{path}/{_MANIFEST}", json.dumps({"files": _files(spark, path)}))
     return spark.read.parquet(path)
 
 

@@ -25,38 +25,25 @@ def encode(text, vocab):
     return [vocab.get(t, 1) for t in tokens(text)]
 
 
-def chunk_starts(n, size, overlap):
-    if n <= size:
-        return [0]
-    found, at = [], 0
-    while at < n:
-        end = min(at + size, n)
-        if end - at < size // 2:
-            break
-        found.append(at)
-        at += end - overlap
-    return found
-
-
 def draw(seed, *parts):
     return int(hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()[:8], 16) / 2**32
 
 
+def letters(word):
+    """A word's characters and its end; a word that spells the end mark is kept from making it."""
+    return [*word.replace("</w>", "<\ufdd0/w>"), "</w>"]
+
+
 def merge(symbols, pair):
-    out, i = [], 0
-    while i < len(symbols):
-        if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-            out.append(symbols[i] + symbols[i + 1])
-            i += 2
-        else:
-            out.append(symbols[i])
-            i += 1
-    return out
+    """Symbols as one string with a bar on each side; the pair's inner bars go, from left to right."""
+    left, right = map(re.escape, pair)
+    barred = "\0" + "\0".join(symbols) + "\0"
+    return re.sub(f"(?<=\0){left}\0{right}(?=\0)", lambda m: m[0].replace("\0", ""), barred)[1:-1].split("\0")
 
 
 def train_bpe(texts, limit):
     words = Counter(w for t in texts for w in t.split())
-    table = {w: list(w) + ["</w>"] for w in words}
+    table = {w: letters(w) for w in words}
     learned = []
     for _ in range(limit):
         pairs = Counter()

@@ -74,7 +74,7 @@ def test_encode_and_decode(spark, limit, monkeypatch):
     for i, text in enumerate(fresh):
         want = []
         for word in text.split():
-            symbols = [*word, "</w>"]
+            symbols = plain.letters(word)
             for m in merges:
                 symbols = plain.merge(symbols, m)
             want += symbols
@@ -84,3 +84,37 @@ def test_encode_and_decode(spark, limit, monkeypatch):
 def test_stops_when_no_pair_is_left(spark):
     model = bpe.train_bpe(frame(spark, ["ab"]), 50)
     assert [m[3] for m in model.merges] == ["ab", "ab</w>"] or len(model.merges) == 2
+
+
+def test_a_word_that_spells_the_end_mark(spark):
+    texts = ["a</w>b </w> x</w>", "a</w>b a</w>b </w>"]
+    docs = frame(spark, texts)
+    model = bpe.train_bpe(docs, 30)
+    encoded = bpe.encode_docs(docs, [(m[1], m[2]) for m in model.merges])
+    assert {r["t"] for r in encoded.select(bpe.decode_symbols(F.col("symbols")).alias("t")).collect()} == set(texts)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_tokenizer_with_ids(spark, limit):
+    from storyloom.operators.tokenizers import BpeTokenizer
+
+    texts = ["the cat sat on the mat", "the other thing then", ""]
+    docs = frame(spark, texts)
+    trained = BpeTokenizer.train(docs, 8)
+    tok = BpeTokenizer(trained.vocab, trained.merges, limit)
+    table = {r["token"]: r["id"] for r in tok.vocab.df.collect()}
+    assert len(table) == tok.vocab.size and sorted(table.values()) == list(range(tok.vocab.size))
+    rows = {r["doc_id"]: r for r in tok.encode(docs, {"a": F.col("text"), "b": F.lit("the zebra")}).collect()}
+    for i, text in enumerate(texts):
+        symbols = []
+        for word in text.split():
+            parts = plain.letters(word)
+            for m in tok.merges:
+                parts = plain.merge(parts, m)
+            symbols += parts
+        assert rows[i]["a"] == [table[s] for s in symbols]
+        assert 1 in rows[i]["b"]
+    cut = tok.encode(docs, {"a": F.col("text")}, 4)
+    assert all(len(r["a"]) <= 4 and r["a"] == rows[r["doc_id"]]["a"][:4] for r in cut.collect())
+    back = tok.decode(tok.encode(docs, {"a": F.col("text")}), F.col("a"))
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))

@@ -130,6 +130,25 @@ def test_draws(spark, chunk, limit, monkeypatch):
         assert r["token"] == token
 
 
+def test_top_k_of_zero_keeps_all(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "context string, token bigint, score double")
+    assert sampling.top_k(df, ["context"], 0, True).count() == sampling.top_k(df, ["context"], -1, False).count() == 9
+    assert sampling.top_k(df.withColumn("k", F.lit(0)), ["context"], F.col("k"), True).count() == 9
+    assert sampling.candidates(df, ["context"], k=0, p_limit=1.0).count() == 9
+
+
+def test_no_row_is_lost_where_a_stretch_ends_early(spark):
+    """Stretches that stop short of one, as sums of probabilities may: the likeliest token is drawn."""
+    counts = spark.createDataFrame([(1, t, 5 - t) for t in range(4)], "context bigint, target bigint, freq bigint")
+    table = sampling.draw_table(counts)
+    short = F.transform("entries", lambda e: F.struct((e["high"] * 0.5).alias("high"), e["token"].alias("token")))
+    halved = sampling.DrawTable(sampling.StoredTable(table.chunks.df.withColumn("entries", short), "", 1, 1), table.fallback)
+    state = spark.createDataFrame([(i, 1) for i in range(20)], "prompt_id bigint, context bigint")
+    for limit in (None, 0):
+        drawn = sampling.draw(state, halved, F.lit(0.9), ["prompt_id"], limit=limit).collect()
+        assert len(drawn) == 20 and {r["token"] for r in drawn} == {0}
+
+
 def test_decode_settings(spark):
     rows = sampling.decode_settings(spark.range(3), [{"top_k": 2}, {"top_p": 0.5}]).collect()
     assert len(rows) == 6 and {(r["setting"], r["top_k"], r["top_p"]) for r in rows} == {(0, 2, 0.9), (1, 50, 0.5)}

@@ -38,10 +38,24 @@ def test_subsets(spark):
 
 def test_first_rows(spark):
     keys = spark.range(200).select((F.col("id") * 3).alias("doc_id"))
-    for small in (10_000, 0):
-        got = sorted(r["doc_id"] for r in positions.first_rows(keys, 17, small=small).collect())
-        assert got == [3 * i for i in range(17)]
-    assert positions.first_rows(keys, 500, small=0).count() == 200
+    got = sorted(r["doc_id"] for r in positions.first_rows(keys, 17).collect())
+    assert got == [3 * i for i in range(17)]
+    assert positions.first_rows(keys, 500).count() == 200 and positions.first_rows(keys, 0).count() == 0
+
+
+def test_repeated_and_null_keys_give_exactly_n(spark):
+    rows = [(1, "a"), (1, "b"), (2, "c"), (2, "c"), (2, "c"), (3, "d"), (None, "e"), (None, "f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for n in range(1, 10):
+        first = positions.first_rows(df, n).collect()
+        assert len(first) == min(n, 8)
+        assert sum(r.doc_id is None for r in first) == min(n, 2)
+        assert {r.doc_id for r in first if r.doc_id is not None} == {k for k in (1, 2, 3) if n > {1: 2, 2: 4, 3: 7}[k]}
+        chosen = positions.seeded_subset(df, n, 7).collect()
+        assert len(chosen) == min(n, 8) and sorted(map(str, chosen)) == sorted(map(str, positions.seeded_subset(df.repartition(3), n, 7).collect()))
+    by = df.withColumn("split", F.when(F.col("doc_id") == 2, "x").when(F.col("doc_id").isNotNull(), "y"))
+    counts = {r["split"]: r["count"] for r in positions.seeded_subset(by, 2, 7, by="split").groupBy("split").count().collect()}
+    assert counts == {"x": 2, "y": 2, None: 2}
 
 
 @pytest.mark.parametrize("n, world", [(10, 4), (12, 4), (3, 7), (1, 4)])

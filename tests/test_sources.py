@@ -54,8 +54,63 @@ def test_materialize_builds_once_and_repairs(spark, tmp_path):
 
     assert corpus.materialize(spark, path, build).count() == corpus.materialize(spark, path, build).count() == 5
     assert len(calls) == 1
-    os.remove(f"{path}/_SUCCESS")
-    assert corpus.materialize(spark, path, build).count() == 5 and len(calls) == 2
+    parts = lambda: [f"{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet")]
+    harms = [
+        lambda: os.remove(f"{path}/_manifest.json"), lambda: os.remove(parts()[0]), lambda: os.truncate(parts()[-1], 10),
+        lambda: open(f"{path}/part-x.parquet", "w").close(), lambda: open(f"{path}/_manifest.json", "w").close(),
+    ]
+    for n, harm in enumerate(harms, 2):
+        harm()
+        assert corpus.materialize(spark, path, build).count() == 5 and len(calls) == n
+
+
+def test_cache_paths_keep_tokenizers_of_one_base_name_apart():
+    base = dict(split="train", max_length=128, min_length=5)
+    assert corpus.cache_path("/r", tokenizer="a/gpt", **base) != corpus.cache_path("/r", tokenizer="b/gpt", **base)
+
+
+def test_null_text_stops_tables_too(spark, tmp_path):
+    spark.createDataFrame([(1, "A."), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(Exception, match="without text"):
+        corpus.stories(spark, str(tmp_path)).collect()
+
+
+def test_lines_without_keys(spark, tmp_path):
+    for name, low in (("a", 0), ("b", 400)):
+        write(f"{tmp_path}/in/{name}.json", [f'{{"text": "story {i}"}}' for i in range(low, low + 400)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r["doc_id"]: r["text"] for r in corpus.read_keyed_jsonl(spark, f"{tmp_path}/in").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: f"story {i}" for i in range(800)}
+    write(f"{tmp_path}/train.jsonl", ['{"text": "x"}'] * 7)
+    assert corpus.read_split(spark, str(tmp_path), "train", max_samples=3).count() == 3
+
+
+def test_subset_of_lines_is_unchanged(spark, tmp_path):
+    lines = ['{"text":  "a", "b": 1}', '{"text": "a"}', '{"text": "a"}', '{"text": "é"}'] * 5
+    write(f"{tmp_path}/in.jsonl", lines)
+    for n in (1, 9, 20, 50):
+        corpus.write_subset(spark, f"{tmp_path}/in.jsonl", f"{tmp_path}/out{n}", n, 3)
+        got = [r["value"] for r in spark.read.text(f"{tmp_path}/out{n}").collect()]
+        assert len(got) == min(n, 20) and set(got) <= set(lines)
+    assert sorted(got) == sorted(lines)
+
+
+def test_owner_takes_its_tables_along(spark):
+    from storyloom.plans.catalog import REGISTRY
+
+    with scratch.owner(spark) as folder:
+        assert REGISTRY["keyed_jsonl"].run(spark, "/root/testdata/sf0.001").count() == 200
+        assert corpus.path_exists(spark, folder)
+    assert not corpus.path_exists(spark, folder)
+
+
+def test_scratch_without_a_setting_is_hadoops(spark, monkeypatch):
+    real = spark.conf.get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *rest: None if key == "spark.checkpoint.dir" else real(key, *rest))
+    assert scratch.scratch_root(spark).startswith("file:/")
 
 
 def test_convert_and_split_sink(spark, tmp_path):

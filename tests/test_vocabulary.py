@@ -61,10 +61,30 @@ def test_columns_encoded_together(docs, limit):
 
 def test_extension_skips_known(docs):
     vocab = V.build_vocabulary(docs, tokens())
-    grown = V.extend_vocabulary(vocab.df, ["<blank>", "<eos>", "<blank>", "<x>"])
-    added = {r["token"]: r["id"] for r in grown.filter(F.col("id") >= vocab.size).collect()}
+    grown = V.extend_vocabulary(vocab, ["<blank>", "<eos>", "<blank>", "<x>"])
+    added = {r["token"]: r["id"] for r in grown.df.filter(F.col("id") >= vocab.size).collect()}
     assert added == {"<blank>": vocab.size, "<x>": vocab.size + 1}
-    assert V.extend_vocabulary(grown, ["<blank>"]).count() == grown.count()
+    assert V.extend_vocabulary(grown, ["<blank>"]) is grown and grown.size == grown.df.count() == vocab.size + 2
+
+
+def test_special_tokens_in_a_text_have_one_id(spark):
+    docs = spark.createDataFrame([(1, "a <pad> b <unk> a")], "doc_id bigint, text string")
+    words = F.split("text", " ")
+    vocab = V.build_vocabulary(docs, words)
+    assert vocab.size == vocab.df.count() == vocab.df.select("token").distinct().count() == 6
+    assert V.encode_tokens(docs, words, vocab).first()["ids"] == [4, 0, 5, 1, 4]
+
+
+def test_vocabulary_size_is_a_parameter_only(docs):
+    whole = V.build_vocabulary(docs, tokens())
+    cut = V.build_vocabulary(docs, tokens(), max_size=2)
+    assert cut.size == cut.df.count() == 6 and whole.size == whole.df.count() > 6
+
+
+def test_padding_falls_back_to_the_end(docs):
+    vocab = V.build_vocabulary(docs, tokens())
+    bare = V.Vocabulary(V.StoredTable(vocab.df.filter("token <> '<pad>'"), "", vocab.size - 1, 0), vocab.size - 1)
+    assert (V.pad_id(vocab), V.pad_id(bare)) == (0, 3)
 
 
 def test_unknown_tokens(docs):
