@@ -10,9 +10,9 @@
    (or the sizes of the sets alone rule it out). What is left is confirmed on the full sets, recomputed from the texts.
 5. Confirmed links are contracted to components. Only buckets whose members still lie in different components can hide
    a link that no hub saw. Buckets that share members form a cluster; its members are dealt into blocks of about ``BLOCK``,
-   and every two blocks meet in one task. There pairs of different components that share a band and are plausible
-   are confirmed on their full sets, and each link found merges two components, so a task emits fewer links than it has
-   members and never the pairs. So no bucket is capped and no pair that shares a bucket is skipped.
+   and every two blocks meet in one task. There the full sets of all members are intersected by matrix products, and
+   each link found merges two components, so a task emits fewer links than it has members and never the pairs. So no
+   bucket is capped and no pair that shares a bucket is skipped.
 
 Defined results: null or empty texts and texts of blanks have no shingle and are linked with nothing; one to four words
 make one shingle, the whole sequence; a null identifier is never a component's identifier unless all its members have
@@ -45,6 +45,8 @@ GIVE_UP = 18.0
 # Members and shingles of a block; two blocks are compared with one another in one task.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
+# Shingles of a presence matrix.
+_SHINGLES = 4096
 _ROWS = 512
 
 _numbers = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(BASES[0]))
@@ -162,31 +164,51 @@ def _confirm(threshold: float):
     return read
 
 
+def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some sets with some others, by products of presence matrices.
+
+    Only shingles of two sets or more can be shared; they are taken some thousands at a time, so the matrices stay small.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    fresh = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=bool)
+    number = np.cumsum(fresh) - 1
+    often = np.bincount(number)[number] > 1 if len(number) else fresh
+    owner, number = owner[often], number[often]
+    _, number = np.unique(number, return_inverse=True)
+    total = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for low in range(0, int(number.max()) + 1 if len(number) else 0, _SHINGLES):
+        here = (number >= low) & (number < low + _SHINGLES)
+        present = np.zeros((len(sets), _SHINGLES), dtype=np.float32)
+        present[owner[here], number[here] - low] = 1
+        total += present[rows] @ present[columns].T
+    return total.astype(np.int64)
+
+
 def _block_links(threshold: float):
+    bound = round(100 * threshold)
+
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links between components among the members of two blocks, or within one."""
         _, i, j = key
         rows = rows.sort_values(["_x", "_node"]).reset_index(drop=True)
-        block, n = rows["_block"].to_numpy(), rows["_n"].to_numpy().astype(np.float64)
+        block, nodes = rows["_block"].to_numpy(), rows["_node"].tolist()
         part = np.unique(rows["_label"].to_numpy(), return_inverse=True)[1]
-        regs, nodes = _matrix(rows["_regs"]), rows["_node"].tolist()
-        bands = regs.reshape(len(rows), BANDS, BAND_ROWS)
         sets = list(shingle_sets(pa.array(rows["_text"], pa.string())))
-        theirs, found = np.flatnonzero(block == j), []
-        for k in np.flatnonzero(block == i).tolist():
-            others = theirs[theirs > k] if i == j else theirs
-            others = others[(part[others] != part[k]) & (np.minimum(n[others], n[k]) >= threshold * np.maximum(n[others], n[k]))]
-            others = others[(bands[others] == bands[k]).all(axis=2).any(axis=1)]
-            if not len(others):
-                continue
-            left = np.broadcast_to(regs[k], (len(others), REGISTERS))
-            others = others[plausible(left, regs[others], np.full(len(others), n[k]), n[others], threshold)]
-            # Likely links first: each merges a component, whose other members need no look any more.
-            alike = (regs[others] == regs[k]).sum(axis=1)
-            for m in others[np.argsort(-alike, kind="stable")].tolist():
-                if part[m] != part[k] and _similar(sets[k], sets[m], threshold):
-                    part[part == part[m]] = part[k]
-                    found.append((nodes[k], nodes[m]))
+        sizes = np.array([len(x) for x in sets])
+        ours, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        both = intersections(sets, ours, theirs)
+        linked = 100 * both >= bound * (sizes[ours][:, None] + sizes[theirs][None, :] - both)
+        found = []
+        for k, hits in zip(ours.tolist(), linked):
+            others = theirs[hits]
+            others = others[part[others] != part[k]]
+            # One link for each other component; it then belongs to this one.
+            for m in others[np.unique(part[others], return_index=True)[1]].tolist():
+                part[part == part[m]] = part[k]
+                found.append((nodes[k], nodes[m]))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return compare

@@ -97,3 +97,13 @@ def test_components_of_a_chain_and_a_star(spark):
     rows = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = {r.node: r.label for r in components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(201)} == {got[0]} and {got[1000 + i] for i in range(300)} == {got[1000]} and got[0] != got[1000]
+
+
+def test_intersections_are_those_of_the_sets(monkeypatch):
+    monkeypatch.setattr(near_dedup, "_SHINGLES", 16)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 200, rng.integers(0, 90)).astype(np.uint64)) for _ in range(40)]
+    rows, columns = np.arange(0, 40, 2), np.arange(40)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in columns] for i in rows]
+    assert near_dedup.intersections(sets, rows, columns).tolist() == want
+    assert near_dedup.intersections([], np.arange(0), np.arange(0)).shape == (0, 0)
