@@ -33,7 +33,7 @@ NODE_ITEMS = 65_536
 # A bin with less room than this is final; a share of the capacity.
 NEARLY_FULL = 1 / 256
 # Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 # Fixed value: the word pattern of the vocabulary file.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -89,30 +89,41 @@ class WordEncoder:
             for word in words:
                 self.words[word] = self._pack(self.whole.encode(word, add_special_tokens=False).ids)
 
+    def _split(self, text: str) -> tuple[str, ...] | None:
+        """Lower-cased words of a run; None where the whole tokenizer is needed."""
+        if not (text.isascii() and text.isprintable()) and not _PLAIN.fullmatch(text):
+            return None
+        if "<" in text and any(s in text for s in self.special):
+            return None
+        low = text.lower()
+        if low.isalpha():
+            return (low,)
+        if low[:-1].isalpha():
+            return low[:-1], low[-1]
+        return tuple(_WORDS.findall(low))
+
     def learn(self, runs: set[bytes]) -> None:
-        parts: dict[bytes, list[str]] = {}
+        words, parts = self.words, {}
         for run in runs:
             text = run.decode()
-            if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                low = text.lower()
-                parts[run] = [low] if low.isalpha() else _WORDS.findall(low)
-            else:
+            split = self._split(text)
+            if split is None:
                 self.runs[run] = self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        self._learn_words(list({w for ws in parts.values() for w in ws if w not in self.words}))
+            else:
+                parts[run] = split
+        if len(words) > REMEMBERED:
+            words.clear()
+        self._learn_words([*{w for ws in parts.values() for w in ws}.difference(words)])
         for run, ws in parts.items():
-            self.runs[run] = b"".join([self.words[w] for w in ws])
+            self.runs[run] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
         known = self.runs
-        new = {run for runs in split for run in runs if run not in known}
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = {run for runs in split for run in runs}
-            self.learn(new)
+        seen = set().union(*split)
+        if len(known) > REMEMBERED:
+            known.clear()
+        self.learn(seen.difference(known))
         return [b"".join(map(known.__getitem__, runs)) for runs in split]
 
 
