@@ -33,6 +33,8 @@ def ready(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (home, env.get("PYTHONPATH", "")) if p)
+    # The allocator of the C library gives memory back that Arrow's own keeps for a worker's lifetime.
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     # Rows hold whole texts: a thousand of them, not the default ten, stay within some megabytes.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
