@@ -34,7 +34,7 @@ MARK = "▁"
 # Fixed values of the model format: kinds of pieces and models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -101,7 +101,9 @@ class Transducer:
         self.packed = [struct.pack("<I", i) for i in range(len(pieces))]
         self.output = [self._shown(text, kind) for text, _, kind in pieces]
         self.follows: dict[tuple[str, str], bool] = {}
+        # Ids of stretches: those met lately, and before they were too many those met before.
         self.stretches: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _shown(text: str, kind: int) -> bytes:
@@ -162,16 +164,19 @@ class Transducer:
         return path
 
     def _stretch(self, text: str) -> bytes:
-        """Ids of a stretch not met before, which is cut where its characters are neighbours in no piece."""
-        known, packed = self.stretches, self.packed
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
+        """Ids of a stretch not met lately, which is cut where its characters are neighbours in no piece."""
+        if len(self.stretches) > REMEMBERED:
+            self.older, self.stretches = self.stretches, {"": b""}
+        known, older, packed = self.stretches, self.older, self.packed
+        ids = older.get(text)
+        if ids is not None:
+            known[text] = ids
+            return ids
         out, low = [], 0
         for high in range(1, len(text) + 1):
             if high == len(text) or text[high - 1 : high + 1] not in self.neighbours:
                 part = text[low:high]
-                ids = known.get(part)
+                ids = known.get(part) or older.get(part)
                 if ids is None:
                     ids = known[part] = b"".join([packed[i] for i in self.shortest_path(part)])
                 out.append(ids)
@@ -191,7 +196,10 @@ class Transducer:
         out = []
         for stretch in stretches:
             ids = known.get(stretch)
-            out.append(self._stretch(stretch) if ids is None else ids)
+            if ids is None:
+                ids = self._stretch(stretch)
+                known = self.stretches
+            out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
