@@ -34,8 +34,6 @@ VERSION = b"WARC/1.0"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 CAPTURED = "1970-01-01T00:00:00Z"
 END = b"\r\n\r\n"
-# Compressed bytes that a reader gathers before it inflates them.
-_CHUNK = 1 << 16
 
 INDEX = T.StructType(
     [
@@ -136,16 +134,24 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
 
-def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, list[bytes]]]:
-    """Runs of lines of one file; a None at the end."""
+def _by_file(batches: Iterator[pa.RecordBatch], separator: bytes) -> Iterator[tuple[str | None, bytes]]:
+    """Runs of lines of one file, with their separators; a None at the end.
+
+    The lines of a file follow one another, so a batch that begins and ends with one file holds no other.
+    """
     for batch in batches:
-        files, values = batch.column("file").to_pylist(), batch.column("value").to_pylist()
-        low = 0
+        if not batch.num_rows:
+            continue
+        files, values = batch.column("file"), batch.column("value").to_pylist()
+        if files[0] == files[-1]:
+            yield files[0].as_py(), separator.join(values) + separator
+            continue
+        files, low = files.to_pylist(), 0
         for k in range(1, len(files) + 1):
             if k == len(files) or files[k] != files[low]:
-                yield files[low], values[low:k]
+                yield files[low], separator.join(values[low:k]) + separator
                 low = k
-    yield None, []
+    yield None, b""
 
 
 def _member(record: bytes) -> bytes:
@@ -167,7 +173,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([m[:-1] for m in members], pa.binary())], names=["bytes"])
 
     now, stream, members, held = None, RecordStream(), [], 0
-    for file, values in _by_file(batches):
+    for file, data in _by_file(batches, b"\n"):
         if file != now:
             try:
                 members += map(_member, stream.finish())
@@ -175,7 +181,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"{now}: {error}") from error
             now, stream = file, RecordStream()
         try:
-            for record in (r for v in values for r in stream.feed(v + b"\n")):
+            for record in stream.feed(data):
                 members.append(_member(record))
                 held += len(members[-1])
                 if held > 1 << 22:
@@ -230,20 +236,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([e[n] for e in entries], t) for n, t in kinds], names=INDEX.names)
 
     kinds = [(f.name, pa.int64() if f.dataType.typeName() == "long" else pa.string()) for f in INDEX.fields]
-    now, stream, pending, size, entries = None, MemberStream(), [], 0, []
-    for file, values in _by_file(batches):
+    now, stream, entries = None, MemberStream(), []
+    for file, data in _by_file(batches, b"\0"):
         if file != now:
-            if now is not None:
-                _add_entries(entries, now, stream.feed(b"".join(pending)))
-                if stream.offset != stream.start:
-                    raise ValueError(f"{now}: ends inside a member")
-            now, stream, pending, size = file, MemberStream(), [], 0
-        for value in values:
-            pending += (value, b"\0")
-            size += len(value) + 1
-            if size >= _CHUNK:
-                _add_entries(entries, now, stream.feed(b"".join(pending)))
-                pending, size = [], 0
+            if stream.offset != stream.start:
+                raise ValueError(f"{now}: ends inside a member")
+            now, stream = file, MemberStream()
+        _add_entries(entries, now, stream.feed(data))
         if len(entries) > 10_000:
             # The last entry may still grow by an empty member.
             yield rows(entries[:-1])
