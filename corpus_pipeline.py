@@ -17,13 +17,14 @@ from storyloom.llm.packing import pack_documents
 from storyloom.llm.secret_scan import redact
 from storyloom.scratch import store
 
-# Texts whose best language scores less are rejected, as are those without letters.
+# Texts whose best language scores less are rejected, as are those without letters and those with fewer n-grams known of that
+# language than the fit derives from its texts.
 LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; the rest goes."""
-    return identified(docs, fit(docs), LEAST_SCORE)
+    return identified(docs, fit(docs), LEAST_SCORE, placed=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

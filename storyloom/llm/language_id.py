@@ -17,7 +17,7 @@ from; a null identifier counts as held out; rows that share an identifier are ju
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,9 @@ LANGUAGES = 64
 SAMPLE = 4096
 RIDGE = 0.05
 UNKNOWN = "und"
+# Of the share of known n-grams that all but LOWEST of a language's texts reach, a text must reach TOLERANCE.
+LOWEST = 0.01
+TOLERANCE = 2 / 3
 _BATCH = 256
 
 _letters: np.ndarray | None = None
@@ -79,6 +82,12 @@ class Model:
     columns: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
+    # The slots that texts of each language use, as bits, and the least share of a text's slots that must be among them.
+    known: np.ndarray | None = None
+    least: np.ndarray | None = None
+
+    def known_share(self, slots: np.ndarray, language: int) -> float:
+        return float(((self.known[language, slots >> 3] >> (slots & 7)) & 1).mean())
 
     def scores(self, found: list[np.ndarray]) -> np.ndarray:
         rows = np.zeros((len(found), self.landmarks.shape[1]), dtype=np.float32)
@@ -118,6 +127,42 @@ def fit_model(found: list[np.ndarray], labels: list[str]) -> Model | None:
     return Model(languages, columns, marks, solved.astype(np.float32))
 
 
+def _as_score(values: np.ndarray) -> np.ndarray:
+    return np.clip((values.astype(np.float64) + 1) / 2, 0, 1).round(6)
+
+
+def _with_known(model: Model, found: list[np.ndarray], labels: list[str]) -> Model:
+    at = {lang: k for k, lang in enumerate(model.languages)}
+    known = np.zeros((len(at), 1 << (SLOT_BITS - 3)), dtype=np.uint8)
+    for slots, lang in zip(found, labels):
+        np.bitwise_or.at(known[at[lang]], slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return replace(model, known=known)
+
+
+def with_evidence(model: Model, found: list[np.ndarray], labels: list[str]) -> Model:
+    """The model with what a text must share with the texts of a language to count as placed.
+
+    Scores do not tell: short clean texts score as low as random letters. The share of a text's n-grams that are known of its
+    language does. Each half of the texts is judged by a model of the other half, and rightly placed texts count; a language
+    without any takes the least bound of the others.
+    """
+    shares: dict[str, list[float]] = {lang: [] for lang in model.languages}
+    for part in (0, 1):
+        half = fit_model(found[1 - part :: 2], labels[1 - part :: 2])
+        if half is None:
+            continue
+        half = _with_known(half, found[1 - part :: 2], labels[1 - part :: 2])
+        own, names = found[part::2], labels[part::2]
+        for k in range(0, len(own), _BATCH):
+            best = half.scores(own[k : k + _BATCH]).argmax(axis=1).tolist()
+            for slots, lang, b in zip(own[k : k + _BATCH], names[k : k + _BATCH], best):
+                if half.languages[b] == lang:
+                    shares[lang].append(half.known_share(slots, b))
+    lows = [np.quantile(x, LOWEST) if x else np.nan for x in shares.values()]
+    least = np.nan_to_num(lows, nan=0.0 if np.isnan(lows).all() else float(np.nanmin(lows)))
+    return replace(_with_known(model, found, labels), least=TOLERANCE * least)
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slots = [presence(t) for t in batch.column("_text").to_pylist()]
@@ -150,10 +195,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sampled = source.join(F.broadcast(ranked.withColumnRenamed("_lang", "_as")), (F.col("_id") == F.col("_pick")) & (F.col("_lang") == F.col("_as")))
     rows = sampled.select("_rank", "_lang", "_text").mapInArrow(_featurise, "_rank int, _lang string, _slots array<int>").collect()
     rows = sorted((r for r in rows if r["_slots"]), key=lambda r: (r["_lang"], r["_rank"], r["_slots"]))
-    return fit_model([np.array(r["_slots"], dtype=np.int32) for r in rows], [r["_lang"] for r in rows])
+    found, labels = [np.array(r["_slots"], dtype=np.int32) for r in rows], [r["_lang"] for r in rows]
+    model = fit_model(found, labels)
+    return model and with_evidence(model, found, labels)
 
 
-def _predict(shared):
+def _predict(shared, placed: bool = False):
+    """Names and scores; with ``placed``, texts that share too little with those of their language are unknown."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
         for batch in batches:
@@ -165,9 +214,10 @@ def _predict(shared):
                 part = known[k : k + _BATCH]
                 values = model.scores([found[i] for i in part])
                 best = values.argmax(axis=1)
-                scored[part] = np.clip((values[np.arange(len(part)), best].astype(np.float64) + 1) / 2, 0, 1).round(6)
+                scored[part] = _as_score(values[np.arange(len(part)), best])
                 for i, b in zip(part, best.tolist()):
-                    named[i] = model.languages[b]
+                    if not placed or model.known_share(found[i], b) >= model.least[b]:
+                        named[i] = model.languages[b]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in batch.schema.names if c != "_text"), pa.array(named), pa.array(scored)],
                 names=[*(c for c in batch.schema.names if c != "_text"), "lang_pred", "score"],
@@ -187,13 +237,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return source.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema).withColumnRenamed("_id", id_col)
 
 
-def identified(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language with at least ``least`` of score, with all their columns."""
+def identified(docs: DataFrame, model: Model | None, least: float, text_col: str = "text", placed: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose text has a language with at least ``least`` of score, with all their columns.
+
+    With ``placed`` the text must also share as many n-grams with those of the language as ``fit`` derives from them.
+    """
     spark = ready(docs.sparkSession)
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)))
     kinds = [(f"_c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
     scored = source.mapInArrow(
-        _predict(spark.sparkContext.broadcast(model)), schema_of(*kinds, ("lang_pred", "string"), ("score", "double"))
+        _predict(spark.sparkContext.broadcast(model), placed), schema_of(*kinds, ("lang_pred", "string"), ("score", "double"))
     )
     kept = scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))

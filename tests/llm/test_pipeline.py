@@ -39,6 +39,24 @@ def test_language_stage_rejects_only_what_it_cannot_place(spark, corpus, stages)
     assert language_id.identified(junk, model, corpus_pipeline.LEAST_SCORE).count() == 0
 
 
+def test_language_stage_rejects_what_shows_no_evidence(spark, corpus):
+    rng = np.random.default_rng(3)
+    letters = lambda k: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(k))
+    foreign = [
+        "我们今天去公园散步然后回家吃饭 " * 20, "Сегодня мы гуляли в парке а потом пошли домой ужинать " * 20,
+        "σήμερα πήγαμε μια βόλτα στο πάρκο " * 20, "오늘 우리는 공원에서 산책했다 " * 20, letters(300), letters(60),
+        "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 2000)),
+    ]
+    clean = [
+        "The children walked through the old garden and told each other stories about the house until it was dark.",
+        "Les enfants traversaient le vieux jardin et se racontaient des histoires sur la maison jusqu'à la nuit.",
+    ]
+    rows = [(9100 + i, t, None, "s", len(t)) for i, t in enumerate(foreign + clean)]
+    planted = corpus.unionByName(spark.createDataFrame(rows, corpus.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, planted, FOLDER).select("doc_id").collect()}
+    assert {k for k in kept if k >= 9100} == {9100 + len(foreign) + i for i in range(len(clean))}
+
+
 def test_exact_stage(stages):
     before, after = stages["exact_dedup"]
     lowered = before.text.map(lambda t: "".join(c.lower() if c.isascii() else c for c in t))
