@@ -45,8 +45,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their place in the packed sequences."""
-    return pack_documents(docs, tokenizer_path())
+    """Pieces of at most 4096 tokens with their token ids and their place in the packed sequences."""
+    return pack_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [

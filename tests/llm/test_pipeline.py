@@ -92,6 +92,17 @@ def test_packing_stage(stages):
     assert not held
 
 
+def test_packed_rows_hold_their_ids(stages):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    before, after = stages["packing"]
+    for r in after.itertuples():
+        assert len(r.ids) == r.length and zlib.crc32(np.asarray(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
+    whole = {k: np.concatenate(list(g.sort_values("piece").ids)).tolist() for k, g in after.groupby("doc_id")}
+    assert whole == {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, packing.END_ID] for r in before.itertuples()}
+
+
 def test_run_applies_all_stages(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER).toPandas()
     want = stages["packing"][1]
