@@ -6,9 +6,10 @@ sizes. Nyström landmarks, a fixed number for each language, span the feature sp
 against the rest is fitted in it. A batch of whole texts is scored by two matrix products: presence by landmarks, then
 kernel values by coefficients.
 
-Fitting reads a bounded sample: at most ``PER_LANGUAGE`` texts of each of the ``LANGUAGES`` most frequent labels, chosen by
-a hash of the identifier; only their slots reach the driver. The model has at most LANDMARKS rows of 2**17 bits and is
-broadcast. Everything else runs over all rows.
+Fitting learns every label from a sample: at most ``PER_LANGUAGE`` texts of each, chosen by a hash of the identifier, and where
+that makes more than ``SAMPLE`` texts an equal part for each, at least ``LEAST_EACH``; only their slots reach the driver. The
+model has LANDMARKS rows of 2**17 bits, or one for each language if there are more, and is broadcast; so sample and model grow with the
+number of labels, not with that of texts. Everything else runs over all rows.
 
 Defined results: a null text or one without letters is ``und`` with score 0, as is every text if there is nothing to learn
 from; a null identifier counts as held out; rows that share an identifier are judged each; no rows give no rows.
@@ -30,9 +31,9 @@ SLOT_BITS = 17
 LONGEST = 3
 LANDMARKS = 192
 PER_LANGUAGE = 400
-LANGUAGES = 64
-# All texts of the sample together.
+# All texts of the sample together, unless so many languages have LEAST_EACH.
 SAMPLE = 4096
+LEAST_EACH = 16
 RIDGE = 0.05
 UNKNOWN = "und"
 # Of the share of known n-grams that all but LOWEST of a language's texts reach, a text must reach TOLERANCE.
@@ -184,15 +185,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.col(f"`{lang_col}`").cast("string").alias("_lang"),
     )
     labelled = source.filter(F.col("_lang").isNotNull() & ~held_out(F.col("_id")) & F.col("_text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
-    if not counts:
+    languages = labelled.select("_lang").distinct().count()
+    if not languages:
         return None
-    each = min(PER_LANGUAGE, SAMPLE // len(counts))
+    each = min(PER_LANGUAGE, max(LEAST_EACH, SAMPLE // languages))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    keys = labelled.select("_id", "_lang").filter(F.col("_lang").isin([r["_lang"] for r in counts]))
-    ranked = keys.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= each).withColumnRenamed("_id", "_pick")
-    # At most SAMPLE rows, so this can be broadcast.
-    sampled = source.join(F.broadcast(ranked.withColumnRenamed("_lang", "_as")), (F.col("_id") == F.col("_pick")) & (F.col("_lang") == F.col("_as")))
+    ranked = labelled.select("_id", "_lang").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= each)
+    picked = ranked.withColumnRenamed("_id", "_pick").withColumnRenamed("_lang", "_as")
+    if languages * each <= SAMPLE:
+        picked = F.broadcast(picked)
+    sampled = source.join(picked, (F.col("_id") == F.col("_pick")) & (F.col("_lang") == F.col("_as")))
     rows = sampled.select("_rank", "_lang", "_text").mapInArrow(_featurise, "_rank int, _lang string, _slots array<int>").collect()
     rows = sorted((r for r in rows if r["_slots"]), key=lambda r: (r["_lang"], r["_rank"], r["_slots"]))
     found, labels = [np.array(r["_slots"], dtype=np.int32) for r in rows], [r["_lang"] for r in rows]

@@ -39,6 +39,19 @@ def test_nothing_to_learn_from(spark):
     assert language_id.predict(empty, language_id.fit(empty)).count() == 0
 
 
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang in range(70):
+        words = ["".join(chr(0x4E00 + 40 * lang + k) for k in rng.integers(0, 40, 3)) for _ in range(30)]
+        rows += [(100 * lang + k, " ".join(rng.choice(words, 40)), f"l{lang:02}") for k in range(20 + lang % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 70
+    named = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert all(named[k] == lang for k, _, lang in rows)
+
+
 def test_presence_counts_whole_texts_once():
     short, long = language_id.presence("abc"), language_id.presence("abc " * 5000)
     assert len(short) == len(language_id.presence("ABC!")) and set(short) <= set(long) and len(long) < 2 * len(short)
