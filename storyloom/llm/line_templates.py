@@ -2,8 +2,9 @@
 
 A tree of fixed depth sorts lines: first by the number of their tokens, then by the leading tokens, where a token with a digit
 stands as a variable field. Within a leaf a position keeps a token that at least a tenth of the leaf's lines have there, and is
-a variable field for all other lines. A line's template is what is left of it; where fewer than half of the tokens are kept, the
-lines of a leaf merely begin alike, and the line with its digits masked is its own template. Lines whose template occurs in
+a variable field for all other lines. A line's template is what is left of it; where fewer than half of the tokens are kept, or of
+those after the leading ones that have no digit, the lines of a leaf merely begin alike, and the line with its digits masked is its
+own template. Lines whose template occurs in
 ``min_documents`` different texts go. Copies of a text count as one, so the lines of copied documents are not taken for
 boilerplate.
 
@@ -35,7 +36,7 @@ DEPTH = 3
 MIN_DOCUMENTS = 10
 # A token is part of a template if this share of a leaf's lines have it at the place.
 SHARE = 0.1
-# The least share of tokens that a generalised template keeps.
+# The least share of tokens that a generalised template keeps, of all and of those without digits after the leading ones.
 KEPT = 0.5
 LEAF_BITS = 26
 # Fixed value: Spark's bitmap aggregates hold this many bits.
@@ -150,7 +151,9 @@ def drop_recurring_lines(
     general = F.transform("_tokens", lambda t, i: F.when(stays(t, i), t).otherwise(F.lit(VARIABLE).cast("bigint")))
     named = named.withColumn("_general", general)
     fixed = F.size(F.filter("_general", lambda t: t != VARIABLE))
-    template = F.when(fixed >= KEPT * F.size("_tokens"), F.col("_general")).otherwise(F.col("_tokens"))
+    later = lambda tokens: F.size(F.filter(tokens, lambda t, i: (i >= DEPTH) & (t != VARIABLE)))
+    alike = (fixed >= KEPT * F.size("_tokens")) & (later("_general") >= KEPT * later("_tokens"))
+    template = F.when(alike, F.col("_general")).otherwise(F.col("_tokens"))
     judged = store(named.select("_id", "_hash", "_line", F.xxhash64("_leaf", template).alias("_template")), "templates").df
     gone = judged.join(_recurring(judged, "_template", min_documents), "_template", "left_semi")
     gone = gone.groupBy(F.col("_id").alias("_key"), F.col("_hash").alias("_of")).agg(F.collect_set("_line").alias("_gone"))

@@ -30,6 +30,15 @@ def test_lines_that_only_begin_alike_stay(spark):
     assert all(g[1] == 0 for g in kept(spark, rows, min_documents=5).values())
 
 
+def test_short_lines_that_only_begin_alike_stay(spark):
+    word = lambda i, k: "w" + "".join(chr(97 + (i // 26**j + k) % 26) for j in range(3))
+    for n in (1, 2, 3):
+        rows = [(i, "it was a " + " ".join(word(i, 5 * k) + "xyz"[k] for k in range(n))) for i in range(60)]
+        assert all(g[1] == 0 for g in kept(spark, rows).values())
+    # One field among as many words stays a template.
+    assert all(g[1] == 1 for g in kept(spark, [(i, f"sent to you by {word(i, 0)} on 2024-01-{i}") for i in range(60)]).values())
+
+
 def test_copies_count_once(spark):
     rows = [(i, "a line of a much copied text\nand another one of it") for i in range(50)] + [(99, "a line of a much copied text")]
     assert all(g[1] == 0 for g in kept(spark, rows, min_documents=3).values())
