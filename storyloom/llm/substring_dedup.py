@@ -231,8 +231,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text once the words under its covered windows are gone."""
     range_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        gone, digests, ranges = [], [], []
-        for raw, starts in zip(batch.column("_text").to_pylist(), batch.column("_starts").to_pylist()):
+        own, gone, digests, ranges = [], [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("_text", "_s", "_starts"))
+        for i, (raw, tag, starts) in enumerate(zip(*columns)):
+            data = np.frombuffer(raw.encode(), dtype=np.uint8)
+            _, begins, ends, _ = words_of(data, np.array([0, len(data)]), lower=False)
+            if _short(_sequence(hash_words(data, begins, ends, BASES[0]))) != tag:
+                continue  # Another text of the same identifier.
+            own.append(i)
             words = raw.encode().split()
             places = np.array(starts, dtype=np.int64)
             depth = np.zeros(len(words) + 1, dtype=np.int64)
@@ -244,7 +250,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone.append(int(covered.sum()))
             digests.append(hashlib.sha256(b" ".join([w for w, c in zip(words, covered[1:-1].tolist()) if not c])).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), batch.column("_s"), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(ranges, range_type)],
+            [*(batch.column(c).take(pa.array(own, pa.int64())) for c in ("_id", "_s")), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(ranges, range_type)],
             names=["_id", "_s", "_gone", "_left", "_ranges"],
         )
 
@@ -276,10 +282,10 @@ def drop_repeated_passages(
     covered = windows.join(earliest.select("_h", "_g", "_least"), ["_h", "_g"]).filter("_id > _least")
     starts = covered.groupBy("_id", F.shiftright("_at", 32).alias("_tag")).agg(F.collect_list(F.col("_at").bitwiseAND(F.lit((1 << 32) - 1))).alias("_starts"))
     tag = F.shiftright("_s", 33).bitwiseAND(F.lit(0x7FFFFFFF))
-    cut = texts.select("_id", "_s", "_text").dropDuplicates(["_id", "_s"]).withColumn("_tag", tag).join(starts, ["_id", "_tag"])
+    cut = texts.select("_id", "_s", "_text").withColumn("_tag", tag).join(starts, ["_id", "_tag"])
     parts = cut.select("_id", "_s", "_text", "_starts").mapInArrow(
         _remove, schema_of(("_id", id_type), ("_s", "bigint"), ("_gone", "bigint"), ("_left", "string"), ("_ranges", RANGES))
-    )
+    ).dropDuplicates(["_id", "_s"])
     judged = rows.join(firsts, "_seq", "left").join(parts, ["_id", "_s"], "left")
     copy = F.coalesce(F.col("_id") > F.col("_first"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_n").alias("end")))

@@ -62,6 +62,15 @@ def test_agrees_with_a_plain_version(spark):
     assert found(substring_dedup.drop_repeated_passages(messy(spark, rows))) == plain(rows)
 
 
+def test_one_of_two_texts_of_an_identifier_loses_a_passage(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(0, passage)]
+    for i in range(1, 21):
+        own = " ".join(f"a{i}x{k}" for k in range(80))
+        rows += [(i, " ".join(f"b{i}x{k}" for k in range(55))), (i, f"{own} {passage}")][:: 1 if i % 2 else -1]
+    assert found(substring_dedup.drop_repeated_passages(messy(spark, rows))) == plain(rows)
+
+
 def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     """With 64 cells nearly every value passes the filter; the result is the same."""
     monkeypatch.setattr(substring_dedup, "FAN_IN", 2)
