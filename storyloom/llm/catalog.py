@@ -9,6 +9,7 @@ from storyloom.llm.exact_dedup import exact_groups
 from storyloom.llm.fingerprints import fingerprints
 from storyloom.llm.language_id import fit, predict
 from storyloom.llm.line_templates import drop_recurring_lines
+from storyloom.llm.merkle_manifest import audit, manifest
 from storyloom.llm.near_dedup import near_components
 from storyloom.llm.packing import pack_documents
 from storyloom.llm.piece_transducer import round_trips
@@ -187,3 +188,77 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return round_trips(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
+
+
+# The unsigned crc32 of a list of bytes, by its table of 256 remainders.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda x, k: CASE WHEN x & 1 = 1
+    THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc_t FROM range(256) r(i))"""
+
+
+def _crc32(bytes_: str) -> str:
+    return f"""xor(list_reduce(list_concat([4294967295], {bytes_}), lambda c, b:
+        xor(c >> 8, crc_t[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree_sql(start: str, tree: str, levels: int = 6) -> str:
+    """Levels of 16-ary trees over ``start`` (g, i, h, n), and for each of its nodes the siblings and the folded hash."""
+    parts = [f"{tree}0 AS (SELECT g, i, h, n FROM {start})"]
+    for k in range(levels):
+        parts.append(f"""{tree}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h,
+            any_value((n + 15) // 16) AS n, string_agg(h, '' ORDER BY i) AS run FROM (SELECT g, i, h, n FROM {tree}{k}) GROUP BY g, i // 16)""")
+    return ", ".join(parts)
+
+
+def _climb_sql(rows: str, tree: str, out: str, levels: int = 6) -> str:
+    """``rows`` (g, i, proof, node) folded upwards through the levels of ``tree``."""
+    parts = [f"{out}0 AS (SELECT * FROM {rows})"]
+    for k in range(levels):
+        at = f"64 * ((r.i // {16**k}) % 16)"
+        left, right = f"substr(u.run, 1, {at})", f"substr(u.run, {at} + 65)"
+        parts.append(f"""{out}{k + 1} AS (SELECT r.* REPLACE (CASE WHEN d.n > 1 THEN r.proof || {left} || {right} ELSE r.proof END AS proof,
+            CASE WHEN d.n > 1 THEN sha256({left} || r.node || {right}) ELSE r.node END AS node)
+            FROM {out}{k} r JOIN {tree}{k + 1} u ON u.g = r.g AND u.i = r.i // {16 ** (k + 1)} JOIN {tree}{k} d ON d.g = r.g AND d.i = r.i // {16**k})""")
+    return ", ".join(parts)
+
+
+_LOWERED_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH {_CRC_TABLE},
+    marks AS (SELECT doc_id, {_crc32("list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j::INT, 1)))")} % 5 = 0 AS hit FROM documents, crc_table),
+    leaves AS (
+        SELECT doc_id, coalesce('=' || source, '-') AS g, source, {_leaf_sql('text')} AS h, CASE WHEN hit THEN {_leaf_sql(_LOWERED_TEXT)} ELSE {_leaf_sql('text')} END AS seen
+        FROM documents JOIN marks USING (doc_id)),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+    {_tree_sql('placed', 'a')},
+    subs AS (
+        SELECT '' AS g, a6.g AS tree, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, a6.h, count(*) OVER () AS n
+        FROM a6 JOIN (SELECT g, any_value(source) AS s FROM leaves GROUP BY g) USING (g)),
+    {_tree_sql('subs', 'b')},
+    low AS (SELECT doc_id, g, i, h AS leaf, '' AS proof, seen AS node FROM placed),
+    {_climb_sql('low', 'a', 'c')},
+    mid AS (SELECT c6.doc_id, '' AS g, subs.i, c6.leaf, subs.h AS subroot, c6.proof, c6.node FROM c6 JOIN subs ON subs.tree = c6.g),
+    {_climb_sql('mid', 'b', 'd')}
+    SELECT doc_id, leaf, subroot, b6.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = b6.h AS verified FROM d6, b6
+    """,
+)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return audit(manifest(docs, altered={"text": _lower_ascii}, altered_where=tampered))
+
+
+def _lower_ascii(text):
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
