@@ -14,6 +14,7 @@ from storyloom.llm.near_dedup import near_components
 from storyloom.llm.packing import pack_documents
 from storyloom.llm.piece_transducer import round_trips
 from storyloom.llm.secret_scan import scan, span_digests
+from storyloom.llm.spelling_variants import frequent_words, lowered_runs, spelling_groups, thinned
 from storyloom.llm.substring_dedup import drop_repeated_passages
 from storyloom.llm.warc import archive_pages
 from storyloom.plans.registry import Query
@@ -262,3 +263,42 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _lower_ascii(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+# The UTF-8 bytes of letters up to U+00FF and of digits and the colon.
+_RUN_BYTES = """flatten(list_transform(range(1, length(s) + 1), lambda j: CASE WHEN unicode(substr(s, j::INT, 1)) < 128
+    THEN [unicode(substr(s, j::INT, 1))::BIGINT] ELSE [195, unicode(substr(s, j::INT, 1))::BIGINT - 64] END))"""
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+    lowered AS (
+        SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c FROM runs WHERE length(r) >= 7 GROUP BY 1, 2),
+    hashed AS (SELECT r, c, doc_id || ':' || r AS s FROM lowered),
+    keyed AS (SELECT r, c, {_crc32(_RUN_BYTES)} AS h FROM hashed, crc_table),
+    thin AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, c FROM keyed),
+    words AS (SELECT word, sum(c)::BIGINT AS n FROM thin WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+    cuts AS (
+        SELECT word, n, unnest(range(0, length(word) + 1)) AS j FROM words),
+    parts AS (SELECT word, n, j, CASE WHEN j = 0 THEN word ELSE substr(word, 1, j::INT - 1) || substr(word, j::INT + 1) END AS v FROM cuts),
+    pairs AS (
+        SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM parts a JOIN parts b USING (v)
+        WHERE a.word <> b.word AND (a.j = b.j OR a.j * b.j = 0)),
+    best AS (
+        SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM pairs GROUP BY word),
+    judged AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+        FROM words LEFT JOIN best USING (word)),
+    chain AS (
+        SELECT word, word AS last, 0 AS step FROM judged
+        UNION ALL SELECT chain.word, judged.form, step + 1 FROM chain JOIN judged ON judged.word = chain.last WHERE judged.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word) USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups(frequent_words(thinned(lowered_runs(documents(spark, folder)))))
