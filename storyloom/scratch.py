@@ -79,6 +79,11 @@ class StoredTable:
     def select(self, *columns) -> "StoredTable":
         return StoredTable(self.df.select(*columns), self.path, self.rows, self.memory_bytes)
 
+    def discard(self) -> None:
+        """Delete the files. Only for a table that no frame in use reads any more."""
+        fs, path = _filesystem(self.df.sparkSession, self.path)
+        fs.delete(path, True)
+
 
 def _variable_bytes(field: T.StructField):
     column = F.col(f"`{field.name}`")
