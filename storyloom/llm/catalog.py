@@ -16,6 +16,7 @@ from storyloom.llm.piece_transducer import round_trips
 from storyloom.llm.secret_scan import scan, span_digests
 from storyloom.llm.spelling_variants import frequent_words, lowered_runs, spelling_groups, thinned
 from storyloom.llm.substring_dedup import drop_repeated_passages
+from storyloom.llm.suffix_dedup import drop_repeated_bytes
 from storyloom.llm.warc import archive_pages
 from storyloom.plans.registry import Query
 from storyloom.scratch import new_path
@@ -302,3 +303,8 @@ _RUN_BYTES = """flatten(list_transform(range(1, length(s) + 1), lambda j: CASE W
 )
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_groups(frequent_words(thinned(lowered_runs(documents(spark, folder)))))
+
+
+@query("op13_suffix_dedup")
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_bytes(documents(spark, folder)).drop("removed")
