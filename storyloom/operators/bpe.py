@@ -2,13 +2,18 @@
 
 A word's symbols are one string with a space on each side of every symbol: ``" t  h  e  </w> "``. Words hold no
 blanks, so ``" t  h "`` can only match two whole neighbouring symbols, and replacing it left to right is exactly a
-merge. All merges are plain string replacements inside Spark.
+merge. A single merge is such a replacement inside Spark; a list of merges runs over each distinct word once, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +22,10 @@ from storyloom.operators.lookup import lookup_join
 from storyloom.operators.vocabulary import SPECIALS, UNK_ID, Vocabulary
 from storyloom.scratch import StoredTable, store
 
-# Leading pairs looked at in a round of training.
-PAIRS_PER_ROUND = 64
-# Merges applied on the fly before the words are written again.
-MERGES_PER_STORE = 24
+# Leading pairs of a round of training, and the most segments of words that the driver reads merges off.
+LEADING_PAIRS = 1024
+SEGMENTS = 65_536
+SEGMENT_BYTES = 64 * 1024 * 1024
 # Bounds of the part of the word table that is broadcast when the whole is too large.
 HEAD_WORDS = 200_000
 HEAD_WORD_BYTES = 128
@@ -81,28 +86,134 @@ def merge_words(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("packed", apply_merges(F.col("packed"), [(left, right)]))
 
 
-def safe_round(leading: list, room: int, known: set[str]) -> list:
-    """The leading pairs that one round can merge with the same outcome as one after another.
+class Segments:
+    """Stretches of words in which only leading pairs stand next to each other, with their counts, as merges change them.
 
-    Pairs that share no symbol do not change each other's counts. A pair made by a merge cannot be more frequent
-    than some pair outside the round, because its parts stood next to each other before. So a run of leading pairs
-    is safe while symbols differ and the next pair outside is strictly less frequent. Two kinds may only come last:
-    a pair of equal symbols, which overlaps itself, and one whose result is already a symbol (``known``), which adds
-    to counts that are there.
+    A word is cut between any two neighbours that are no leading pair, so all occurrences of a leading pair are inside
+    segments, and what lies across a cut is a pair that occurs at most ``outside`` times. A symbol that one merge makes has one
+    first and one last part that stood in the word before; then a pair's occurrences are all inside or all across cuts, and those
+    across number at most ``outside``. Where several merges make the same symbol, the bound is multiplied by the ways.
     """
-    best, used, made = 1, set(), set(known)
-    for i, pair in enumerate(leading[:room]):
-        symbols, merged = {pair["left"], pair["right"]}, pair["left"] + pair["right"]
-        if used & symbols:
-            break
-        used |= symbols
-        outside = leading[i + 1]["freq"] if i + 1 < len(leading) else (0 if len(leading) < PAIRS_PER_ROUND else None)
-        if outside is not None and outside < pair["freq"]:
-            best = i + 1
-        if len(symbols) == 1 or merged in made:
-            break
-        made.add(merged)
-    return leading[:best]
+
+    def __init__(self, counted: list[tuple[list[str], int]], leading: set[tuple[str, str]], outside: int, known: set[str]):
+        self.leading, self.outside, self.known = leading, outside, known
+        self.symbols = [symbols for symbols, _ in counted]
+        self.freq = [freq for _, freq in counted]
+        self.count: dict[tuple[str, str], int] = {}
+        self.held: dict[tuple[str, str], set[int]] = {}
+        self.first: dict[str, set[str]] = {}
+        self.last: dict[str, set[str]] = {}
+        self.beside: dict[str, set[tuple[str, str]]] = {}
+        self.ends, self.several = [1, 1], set()
+        for i, symbols in enumerate(self.symbols):
+            for s in symbols:
+                self.first.setdefault(s, {s})
+                self.last.setdefault(s, {s})
+            self._add(i, symbols, 1)
+        self.queue = [(-n, *pair) for pair, n in self.count.items()]
+        heapq.heapify(self.queue)
+
+    def _add(self, i: int, symbols: list[str], sign: int) -> set[tuple[str, str]]:
+        pairs = list(zip(symbols, symbols[1:]))
+        for pair in pairs:
+            self.count[pair] = self.count.get(pair, 0) + sign * self.freq[i]
+        for pair in set(pairs):
+            if pair not in self.held:
+                self.held[pair] = set()
+                for s in pair:
+                    self.beside.setdefault(s, set()).add(pair)
+            self.held[pair].add(i) if sign > 0 else self.held[pair].discard(i)
+        return set(pairs)
+
+    def best(self) -> tuple[int, str, str] | None:
+        """The most frequent pair, ties by left then right symbol."""
+        while self.queue:
+            n, left, right = self.queue[0]
+            if self.count.get((left, right), 0) == -n and n:
+                return -n, left, right
+            heapq.heappop(self.queue)
+        return None
+
+    def _across(self, left: str, right: str) -> int:
+        """Ways in which occurrences of a pair may lie across cuts."""
+        return sum((p, q) not in self.leading for p in self.last[left] for q in self.first[right])
+
+    def certain(self, n: int, left: str, right: str) -> bool:
+        """Whether no pair can be as frequent as this one, whatever lies across cuts."""
+        if n <= self.outside * self.ends[0] * self.ends[1] or self._across(left, right):
+            return False
+        for a, b in {pair for s in self.several for pair in self.beside.get(s, ())}:
+            if (seen := self.count[a, b]) and (ways := self._across(a, b)) and seen + ways * self.outside >= n:
+                return False
+        return True
+
+    def merge(self, left: str, right: str) -> None:
+        made, touched = left + right, set()
+        for k, (parts, of) in enumerate(((self.first, left), (self.last, right))):
+            # A symbol that stands in words already, in segments or not, is a part of its own.
+            parts.setdefault(made, {made} if made in self.known else set()).update(parts[of])
+            if len(parts[made]) > 1:
+                self.several.add(made)
+                self.ends[k] = max(self.ends[k], len(parts[made]))
+        for i in list(self.held[(left, right)]):
+            touched |= self._add(i, self.symbols[i], -1)
+            self.symbols[i] = merged(self.symbols[i], left, right)
+            touched |= self._add(i, self.symbols[i], 1)
+        for pair in touched:
+            if self.count[pair]:
+                heapq.heappush(self.queue, (-self.count[pair], *pair))
+
+
+def merged(symbols: list[str], left: str, right: str) -> list[str]:
+    """All occurrences of a pair merged, from left to right."""
+    out, i = [], 0
+    while i < len(symbols):
+        if i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right:
+            out.append(left + right)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
+def rule_ranks(merges: list[tuple[str, str]]) -> dict[tuple[str, str], list[int]]:
+    """Where in the list a pair stands; it can be learned again after other merges have made it anew."""
+    ranks: dict[tuple[str, str], list[int]] = {}
+    for rank, pair in enumerate(merges):
+        ranks.setdefault(pair, []).append(rank)
+    return ranks
+
+
+def segmented(symbols: list[str], ranks: dict[tuple[str, str], list[int]]) -> list[str]:
+    """All merges in learned order, each once over the word. Takes n log n steps for n symbols, however many merges there are."""
+    after, before, symbols = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1)), list(symbols)
+    queue: list[tuple[int, int]] = []
+
+    def offer(at: int, past: int) -> None:
+        right = after[at]
+        if right < len(symbols):
+            places = ranks.get((symbols[at], symbols[right]))
+            if places and places[-1] > past:
+                heapq.heappush(queue, (places[bisect_right(places, past)], at))
+
+    for at in range(len(symbols) - 1):
+        offer(at, -1)
+    while queue:
+        rank, at = heapq.heappop(queue)
+        right = after[at]
+        places = ranks.get((symbols[at], symbols[right])) if symbols[at] is not None and right < len(symbols) else None
+        if not places or rank not in places:
+            continue
+        symbols[at] += symbols[right]
+        symbols[right] = None
+        after[at] = after[right]
+        if after[at] < len(symbols):
+            before[after[at]] = at
+        offer(at, rank)
+        if before[at] >= 0:
+            offer(before[at], rank)
+    return [s for s in symbols if s is not None]
 
 
 @dataclass
@@ -122,67 +233,84 @@ class BpeModel:
 def train_bpe(docs: DataFrame, num_merges: int = DEFAULT_MERGES) -> BpeModel:
     """Merge the most frequent pair, ties by left then right symbol, until ``num_merges`` or no pair is left.
 
-    Works on distinct words. Pair counts are kept as a base and changes: a round reads only the words that hold a
-    merged pair and adds the difference between their counts after and before. The driver sees the leading pairs of
-    a round and the merge list, nothing else.
+    A round counts the pairs of all distinct words that still have one, takes the leading ones, and cuts the words to segments
+    of these, added up by content. The next merges are read off the segments, as long as no pair outside can be as frequent;
+    hundreds of merges pass in a round. Segments are few, because frequent pairs combine in few ways; where they are more than
+    ``SEGMENTS``, the same is done with fewer leading pairs. The driver sees leading pairs, segments and the merge list,
+    all bounded.
     """
-    start = word_counts(docs).withColumn("packed", symbol_string(F.col("word")))
-    words: StoredTable = store(start, "bpe-words")
-    base = store(pair_counts(words.df), "bpe-pairs").df
-    changes: list[DataFrame] = []
-    pending: list[tuple[str, str]] = []
+    counted = store(word_counts(docs), "bpe-words").df
+    words = store(counted.select(symbol_string(F.col("word")).alias("packed"), "freq"), "bpe-packed")
     merges: list[tuple[int, str, str, str, int]] = []
     while len(merges) < num_merges:
-        counts = base
-        for change in changes:
-            counts = counts.unionByName(change)
-        if changes:
-            counts = counts.groupBy("left", "right").agg(F.sum("freq").alias("freq")).filter("freq > 0")
-            if len(changes) >= 8:
-                base, changes = store(counts, "bpe-pairs").df, []
-                counts = base
-        leading = counts.orderBy(F.desc("freq"), "left", "right").limit(PAIRS_PER_ROUND).collect()
+        leading = pair_counts(words.df).orderBy(F.desc("freq"), "left", "right").limit(LEADING_PAIRS + 1).collect()
         if not leading:
             break
-        chosen = safe_round(leading, num_merges - len(merges), {WORD_END, *(m[3] for m in merges)})
-        for pair in chosen:
-            left, right = pair["left"], pair["right"]
-            merges.append((len(merges) + 1, left, right, left + right, pair["freq"]))
-        fresh = [(pair["left"], pair["right"]) for pair in chosen]
+        outside = leading.pop()["freq"] if len(leading) > LEADING_PAIRS else 0
+        segments = _segments(words.df, leading)
+        while (segments.rows > SEGMENTS or segments.memory_bytes > SEGMENT_BYTES) and len(leading) > 1:
+            half = len(leading) // 2
+            outside, leading = leading[half]["freq"], leading[:half]
+            segments = _segments(segments.df, leading)
+        found = Segments(
+            [(r["packed"][1:-1].split("  "), r["freq"]) for r in segments.df.collect()], {(r["left"], r["right"]) for r in leading}, outside,
+            {m[3] for m in merges},
+        )
+        fresh = []
+        while len(merges) + len(fresh) < num_merges and (best := found.best()):
+            # The first of the leading pairs is the next merge in any case.
+            if fresh and not found.certain(*best):
+                break
+            n, left, right = best if fresh else (leading[0]["freq"], leading[0]["left"], leading[0]["right"])
+            found.merge(left, right)
+            fresh.append((left, right, n))
+        merges += [(len(merges) + k + 1, left, right, left + right, n) for k, (left, right, n) in enumerate(fresh)]
         if len(merges) < num_merges:
-            changes.append(store(_count_changes(words.df, pending, fresh), "bpe-change").df)
-        pending += fresh
-        if len(pending) >= MERGES_PER_STORE:
-            words, pending = store(words.df.withColumn("packed", apply_merges(F.col("packed"), pending)), "bpe-words"), []
-    return BpeModel(merges, words.df.withColumn("packed", apply_merges(F.col("packed"), pending)))
-
-
-def _count_changes(words: DataFrame, pending: list, fresh: list) -> DataFrame:
-    now = words.select(apply_merges(F.col("packed"), pending).alias("packed"), "freq")
-    holds = F.lit(False)
-    for left, right in fresh:
-        holds = holds | F.contains(F.col("packed"), F.lit(pattern(left, right)))
-    # Each held word stands once as it was, counted off, and once merged, counted on.
-    sides = F.array(
-        F.struct(F.col("packed"), (-F.col("freq")).alias("freq")),
-        F.struct(apply_merges(F.col("packed"), fresh).alias("packed"), F.col("freq")),
-    )
-    return pair_counts(now.filter(holds).select(F.inline(sides))).filter(F.col("freq") != 0)
+            grown = _merged_words(words.df, [(left, right) for left, right, _ in fresh])
+            following = store(grown.filter(F.contains(F.col("packed"), F.lit("  "))), "bpe-packed")
+            words.discard()
+            words = following
+    rules = [(m[1], m[2]) for m in merges]
+    return BpeModel(merges, encode_words(counted, rules).withColumn("packed", F.concat(F.lit(" "), F.array_join("symbols", "  "), F.lit(" "))))
 
 
-def encode_packed(packed: Column, merges: list[tuple[str, str]]) -> Column:
-    """All merges in learned order as one fold over a literal list of patterns."""
-    if not merges:
-        return packed
-    rules = F.array(
-        *[F.struct(F.lit(pattern(a, b)).alias("of"), F.lit(f" {a}{b} ").alias("to")) for a, b in merges]
-    )
-    return F.aggregate(rules, packed, lambda s, rule: F.replace(s, rule["of"], rule["to"]))
+def _segments(words: DataFrame, leading: list) -> StoredTable:
+    """Words cut between neighbours that are no leading pair; equal segments added up."""
+    pairs = {(r["left"], r["right"]) for r in leading}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for packed, freq in zip(batch.column("packed").to_pylist(), batch.column("freq").to_pylist()):
+                symbols, start = packed[1:-1].split("  "), 0
+                for i in range(1, len(symbols) + 1):
+                    if i == len(symbols) or (symbols[i - 1], symbols[i]) not in pairs:
+                        if i - start > 1:
+                            found[" " + "  ".join(symbols[start:i]) + " "] += freq
+                        start = i
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["packed", "freq"])
+
+    parts = words.select("packed", "freq").mapInArrow(cut, "packed string, freq bigint")
+    return store(parts.groupBy("packed").agg(F.sum("freq").alias("freq")), "bpe-segments")
+
+
+def _merged_words(words: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``packed`` after more merges, other columns as they are."""
+    ranks = rule_ranks(rules)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [" " + "  ".join(segmented(p[1:-1].split("  "), ranks)) + " " for p in batch.column("packed").to_pylist()]
+            at = batch.schema.get_field_index("packed")
+            yield batch.set_column(at, "packed", pa.array(done, pa.string()))
+
+    return words.mapInArrow(merge, words.schema)
 
 
 def encode_words(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """``symbols`` for each ``word``; pass distinct words."""
-    return words.withColumn("symbols", symbols_of(encode_packed(symbol_string(F.col("word")), merges)))
+    packed = words.withColumn("packed", symbol_string(F.col("word")))
+    return _merged_words(packed, merges).withColumn("symbols", symbols_of(F.col("packed"))).drop("packed")
 
 
 def _head_words(table: StoredTable) -> Column:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ CORPORA = {
 
 
 @pytest.mark.parametrize("name", list(CORPORA))
-def test_training_follows_the_plain_rule(spark, name, monkeypatch):
-    monkeypatch.setattr(bpe, "MERGES_PER_STORE", 3)
+@pytest.mark.parametrize("leading", [4, 1024])
+def test_training_follows_the_plain_rule(spark, name, leading, monkeypatch):
+    monkeypatch.setattr(bpe, "LEADING_PAIRS", leading)
     texts = CORPORA[name]
     learned, table = plain.train_bpe(texts, 15)
     model = bpe.train_bpe(frame(spark, texts), 15)
@@ -53,14 +55,69 @@ def test_training_on_random_words(spark):
         assert [(m[1], m[2], m[4]) for m in bpe.train_bpe(frame(spark, texts), 12).merges] == learned
 
 
-def test_rounds_are_safe():
-    pair = lambda left, right, freq: {"left": left, "right": right, "freq": freq}
-    lead = [pair("t", "h", 9), pair("e", "r", 8), pair("i", "n", 8), pair("h", "x", 3)]
-    assert len(bpe.safe_round(lead, 10, set())) == 3
-    assert len(bpe.safe_round(lead, 2, set())) == 1
-    assert len(bpe.safe_round([pair("a", "a", 9), pair("e", "r", 8), pair("x", "y", 1)], 10, set())) == 1
-    assert len(bpe.safe_round(lead, 10, {"th"})) == 1
-    assert len(bpe.safe_round([pair("t", "he", 9), pair("th", "e", 8), pair("i", "n", 7), pair("q", "z", 1)], 10, set())) == 2
+def read_off(texts, leading, limit):
+    """Merges read off segments of the ``leading`` most frequent pairs in one round, without Spark."""
+    words = Counter(w for t in texts for w in t.split())
+    pairs = Counter()
+    for w, n in words.items():
+        for pair in zip(plain.letters(w), plain.letters(w)[1:]):
+            pairs[pair] += n
+    ranked = sorted(pairs, key=lambda p: (-pairs[p], p))
+    chosen, outside = set(ranked[:leading]), pairs[ranked[leading]] if len(ranked) > leading else 0
+    segments = Counter()
+    for w, n in words.items():
+        part = []
+        for s in plain.letters(w):
+            if part and (part[-1], s) not in chosen:
+                segments[tuple(part)] += n
+                part = []
+            part.append(s)
+        segments[tuple(part)] += n
+    found = bpe.Segments([(list(s), n) for s, n in segments.items()], chosen, outside, set())
+    out = []
+    while len(out) < limit and (best := found.best()) and found.certain(*best):
+        found.merge(*best[1:])
+        out.append((best[1], best[2], best[0]))
+    return out
+
+
+def test_what_segments_tell_is_what_all_words_tell():
+    """Merges that the bound lets pass are those of the whole table, also where a symbol is made in several ways."""
+    rng, passed = random.Random(3), 0
+    for turn in range(400):
+        letters = "abc" if turn % 2 else "abcdef"
+        texts = [" ".join("".join(rng.choices(letters, weights=range(1, len(letters) + 1), k=rng.randint(1, 9))) for _ in range(rng.randint(5, 60)))]
+        learned, _ = plain.train_bpe(texts, 20)
+        got = read_off(texts, rng.randint(1, 12), 20)
+        assert got == learned[: len(got)]
+        passed += len(got)
+    assert passed > 800
+
+
+def test_words_are_segmented_as_merges_in_order_do():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(rng.choices("aab", k=rng.randint(2, 8))) for _ in range(8)]
+        rules = [(a, b) for a, b, _ in plain.train_bpe(texts, 12)[0]]
+        rules += rng.sample(rules, min(2, len(rules)))
+        word = plain.letters("".join(rng.choices("aabc", k=rng.randint(1, 30))))
+        want = word
+        for rule in rules:
+            want = plain.merge(want, rule)
+        assert bpe.segmented(word, bpe.rule_ranks(rules)) == want
+
+
+@pytest.mark.parametrize("segments", [200, 65_536])
+def test_a_thousand_merges(spark, segments, monkeypatch):
+    """The full length on stories of many words, in rounds of few segments and of many."""
+    monkeypatch.setattr(bpe, "SEGMENTS", segments)
+    rng = random.Random(21)
+    parts = ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(1, 4))) for _ in range(150)]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(100)) for _ in range(20)]
+    learned, table = plain.train_bpe(texts, 1000)
+    model = bpe.train_bpe(frame(spark, texts))
+    assert len(learned) == 1000 and [(m[1], m[2], m[4]) for m in model.merges] == learned
+    assert {r["word"]: r["s"] for r in model.words.select("word", bpe.symbols_of(F.col("packed")).alias("s")).collect()} == table
 
 
 @pytest.mark.parametrize("limit", [None, 0])
