@@ -114,17 +114,35 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
+def _values_at(places: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A pseudo-random value for each byte at its place in a word."""
+    return mix(((places.astype(np.uint64) << np.uint64(8)) | data) * np.uint64(BASES[1]) + np.uint64(BASES[0]))
+
+
+# The values of the first places, which nearly all words stay within.
+_NEAR = 64
+_NEAR_VALUES = _values_at(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256, dtype=np.uint8), _NEAR))
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes modulo 2**64, finished with its length."""
+    """A 64-bit hash of each word: the sum of pseudo-random values of its bytes at their places, finished with its length.
+
+    Unlike a polynomial modulo 2**64 it has no words that meet by their structure, whatever the letters repeat.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
     places = np.arange(int(lengths.sum()), dtype=np.int64)
     heads = np.cumsum(lengths) - lengths
     inside = places - np.repeat(heads, lengths)
-    values = data[inside + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
-    values *= powers(base, int(lengths.max()))[inside]
-    return mix(np.add.reduceat(values, heads) + lengths.astype(np.uint64) * np.uint64(BASES[2]))
+    own = data[inside + np.repeat(starts, lengths)]
+    if int(lengths.max()) <= _NEAR:
+        values = _NEAR_VALUES[(inside << 8) | own]
+    else:
+        values, far = np.empty(len(own), dtype=np.uint64), inside >= _NEAR
+        values[~far] = _NEAR_VALUES[(inside[~far] << 8) | own[~far]]
+        values[far] = _values_at(inside[far], own[far])
+    return mix(np.add.reduceat(values, heads) * np.uint64(base) + lengths.astype(np.uint64) * np.uint64(BASES[2]))
 
 
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:

@@ -260,9 +260,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     sketched = hashed.mapInArrow(_sketch, schema_of(("_id", id_type), ("_hash", "bigint"), ("_n", "bigint"), ("_node", "binary"), ("_regs", "binary")))
     rows = store(sketched, "sketch").df
     per_node = rows.filter("_n > 0").groupBy("_node").agg(
-        F.first("_n").alias("_n"), F.first("_regs").alias("_regs"), F.min("_id").alias("_id")
+        F.first("_n").alias("_n"), F.first("_regs").alias("_regs"),
+        F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))).alias("_pick"),
     )
-    nodes = store(per_node.withColumn("_x", F.xxhash64("_node")), "nodes").df
+    picked = per_node.select("_node", "_n", "_regs", F.col("_pick.id").alias("_id"), F.col("_pick.hash").alias("_text_hash"))
+    nodes = store(picked.withColumn("_x", F.xxhash64("_node")), "nodes").df
     band = lambda k: F.xxhash64(k, F.expr(f"substring(_regs, band * {2 * BAND_ROWS} + 1, {2 * BAND_ROWS})"))
     bands = nodes.select("_x", "_regs", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     bands = bands.select("_x", band(F.col("band")).alias("_bucket"))
@@ -271,7 +273,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     stars = members.filter("_x <> _hub").select(F.col("_hub").alias("_xa"), F.col("_x").alias("_xb")).distinct()
     stars = store(stars, "stars").df
     wanted = members.select("_x").distinct().join(nodes, "_x").withColumnRenamed("_id", "_want")
-    fetched = source.join(wanted, F.col("_id").eqNullSafe(F.col("_want"))).select("_x", "_node", "_n", "_regs", "_text")
+    # By identifier and text, so rows without one, or with the same, meet their own node only.
+    own = F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_hash") == F.col("_text_hash"))
+    fetched = hashed.join(wanted, own).select("_x", "_node", "_n", "_regs", "_text")
     texts = store(fetched.mapInArrow(_own_texts, fetched.schema), "texts").df
     links = _star_links(_likely(stars, nodes, threshold), texts, threshold)
     labels = components(links)

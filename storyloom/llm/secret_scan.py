@@ -123,9 +123,12 @@ def scan(
     schema = schema_of(("_blob", "binary"), ("spans", SPANS), ("regions", REGIONS))
     if path_exists(spark, folder):
         unseen = unseen.join(spark.read.schema(schema).parquet(folder).select("_blob"), "_blob", "left_anti")
-    texts = source.join(unseen, F.col("_id").eqNullSafe(F.col("_pick"))).select("_blob", "_text")
+    # By blob and identifier, so rows without one, or with the same, meet their own text only.
+    named = source.withColumn("_own", F.unhex(F.sha2("_text", 256)))
+    texts = named.join(unseen, (F.col("_own") == F.col("_blob")) & F.col("_id").eqNullSafe(F.col("_pick"))).select("_blob", "_text")
     texts.mapInArrow(_scan(rules), schema).dropDuplicates(["_blob"]).write.mode("append").parquet(folder)
-    known = spark.read.schema(schema).parquet(folder).filter(F.size("spans") > 0)
+    # Two runs at once may both have added a blob; their findings are the same.
+    known = spark.read.schema(schema).parquet(folder).filter(F.size("spans") > 0).dropDuplicates(["_blob"])
     joined = paths.join(known, "_blob", "left")
     return joined.select(
         F.col("_id").alias(id_col), F.col("_blob").alias("blob"),

@@ -49,3 +49,8 @@ def messy(spark, rows, schema="doc_id bigint, text string"):
     for name in ("_id", "_text", "kept", "keep_id", "group_size", "component_id", "sequence_id", "spans", "fingerprint", "Kept Rows"):
         df = df.withColumn(name, F.lit("other"))
     return df
+
+
+def thue_morse(n, letters="ab"):
+    """A word in which no polynomial modulo a power of two tells the two letters apart."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))

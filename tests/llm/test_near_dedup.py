@@ -107,3 +107,20 @@ def test_intersections_are_those_of_the_sets(monkeypatch):
     want = [[len(np.intersect1d(sets[i], sets[j])) for j in columns] for i in rows]
     assert near_dedup.intersections(sets, rows, columns).tolist() == want
     assert near_dedup.intersections([], np.arange(0), np.arange(0)).shape == (0, 0)
+
+
+def test_words_of_like_structure_are_no_copies(spark):
+    """A Thue-Morse word and its complement meet under polynomial hashes modulo a power of two."""
+    from tests.llm.conftest import thue_morse
+
+    rows = [(1, thue_morse(1024)), (2, thue_morse(1024, "ba")), (3, "x " + thue_morse(2048)), (4, "x " + thue_morse(2048, "ba"))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_rows_without_identifier_meet_their_own_text_only(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(None, " ".join(base[:150] + [f"v{i}"])) for i in range(40)] + [(None, f"alone {i} " * 9) for i in range(300)] + [(5, " ".join(base[:150]))]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    assert sum(r.component_id == 5 for r in got) == 41

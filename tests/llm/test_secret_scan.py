@@ -129,3 +129,12 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     fewer = secret_scan.RULES[:3]
     assert secret_scan.scan(second, folder, fewer).count() == 5
     assert ledger().groupBy("rules").count().count() == 2 and ledger().count() == 6
+
+
+def test_a_ledger_with_repeated_blobs_gives_each_row_once(spark, tmp_path):
+    df = spark.createDataFrame([(None, f"token = abcdef{i}") for i in range(50)] + [(1, "token = abcdef0")], "doc_id bigint, text string")
+    first = secret_scan.scan(df, str(tmp_path / "ledger")).collect()
+    folder = f"{tmp_path}/ledger/rules={secret_scan.rules_version(secret_scan.RULES)}"
+    spark.read.parquet(folder).write.mode("append").parquet(f"{folder}")
+    again = secret_scan.scan(df, str(tmp_path / "ledger")).collect()
+    assert len(first) == len(again) == 51 and all(len(r.spans) == 1 for r in again)

@@ -88,3 +88,13 @@ def test_window_minima_are_sliding_minima():
     parts = substring_dedup.rolling(hashed, 25, substring_dedup.BASES[1])
     want = [parts[p : p + 26].min() for p in range(300 - 49)]
     assert (substring_dedup.window_minima(hashed) == np.array(want)).all()
+
+
+def test_windows_of_like_words_stay(spark):
+    """One word of the window is a Thue-Morse word in one text and its complement in the other."""
+    from tests.llm.conftest import thue_morse
+
+    words = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*words, thue_morse(1024)])), (2, " ".join([*words, thue_morse(1024, "ba")])), (3, " ".join([*words, thue_morse(1024)]))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
