@@ -12,6 +12,7 @@ from storyloom.plans.sql import flat, sql, toks, words
 from storyloom.scratch import store
 from storyloom.sources import corpus
 
+# Merges of the queries that SQL checks, which takes one pass over all words for each of them.
 MERGES = 12
 
 _WORDS = f"""SELECT word, count(*) AS freq, array_to_string([' ' || c || ' ' for c in regexp_extract_all(word, '(?s).')], '') || ' </w> ' AS w
@@ -70,13 +71,26 @@ def bpe_vocab(spark, sf):
     return bpe.train_bpe(corpus.stories(spark, sf), MERGES).symbols()
 
 
+@query("bpe_merges_full")
+def bpe_merges_full(spark, sf):
+    """The whole list of merges. SQL would take one pass over all words for each; tests compare with a plain trainer."""
+    return bpe.train_bpe(corpus.stories(spark, sf)).merge_table(spark)
+
+
+@query("bpe_encode_full")
+def bpe_encode_full(spark, sf):
+    """Symbols of every text by all merges learned on the training split."""
+    _, encoded = _encoded(spark, sf, bpe.DEFAULT_MERGES)
+    return encoded.select("doc_id", F.size("symbols").cast("bigint").alias("n_symbols"), F.array_join("symbols", " ").alias("symbols"))
+
+
 _ENCODED = f"""SELECT doc_id, string_agg(w[2:length(w) - 1], '  ' ORDER BY pos) AS joined FROM (SELECT doc_id, unnest(x) AS word,
     generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {words('text')} AS x FROM documents)) JOIN w{MERGES} USING (word) GROUP BY doc_id"""
 
 
-def _encoded(spark, sf):
+def _encoded(spark, sf, merges=MERGES):
     docs = corpus.stories(spark, sf)
-    merges = bpe.train_bpe(docs.filter("split = 'train'"), MERGES).merges
+    merges = bpe.train_bpe(docs.filter("split = 'train'"), merges).merges
     return docs, bpe.encode_docs(docs, [(m[1], m[2]) for m in merges])
 
 
