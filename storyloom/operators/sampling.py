@@ -1,11 +1,13 @@
 """Scores, filtered candidate distributions and draws, grouped by context.
 
-A context has at most one row for each token of the vocabulary, which bounds every window here; top-k limits
-are applied by Spark on both sides of the shuffle.
+A context has at most one row for each token of the vocabulary. Ordinary contexts are windows, and Spark applies top-k limits on
+both sides of the shuffle. A context of very many rows is cut to slices, in order of score, on which the same windows run; sums and
+maxima are added up over the slices, and running sums are shifted by those of the slices before. No task holds such a context.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,9 @@ from storyloom.scratch import StoredTable, store
 MASS_EPSILON = 1e-9
 # Candidates of a context are kept in array rows of at most this many entries.
 CHUNK_ENTRIES = 1024
+# A context with more rows is cut to slices; so many contexts at most, the largest.
+SLICE_ROWS = 1_000_000
+MOST_LARGE = 10_000
 
 
 def sanitize(score: Column, low: float = -50.0, high: float = 50.0) -> Column:
@@ -32,10 +37,93 @@ def tempered(score: Column, temperature: Column | float, floor: float | None = N
     return score / (t if floor is None else F.greatest(t, F.lit(floor)))
 
 
+def _order(score: str = "score") -> list[Column]:
+    return [F.desc(score), F.asc("token")]
+
+
+def _same(by: list[str], other: str) -> Column:
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{other}{c}"))
+    return on
+
+
+def sliced_parts(df: DataFrame, by: list[str], score: str = "score") -> list[DataFrame]:
+    """The rows of ordinary contexts, and those of contexts with more than ``SLICE_ROWS`` rows, which get a ``_slice``.
+
+    Large contexts are laid out by range of context, falling score and token, so one of any size spreads over as many
+    tasks as its rows fill; its slices follow one another in that order. At most ``MOST_LARGE`` contexts are large.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > SLICE_ROWS)
+    large = store(sizes.orderBy(F.desc("_size")).limit(MOST_LARGE).select(*(F.col(c).alias(f"_large_{c}") for c in by)), "large-contexts")
+    if not large.rows:
+        return [df]
+    found = F.broadcast(large.df)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.join(found, _same(by, "_large_"), "left_semi").repartitionByRange(parts, *by, *_order(score))
+    return [df.join(found, _same(by, "_large_"), "left_anti"), store(rows.withColumn("_slice", F.spark_partition_id()), "slices").df]
+
+
+def _group(df: DataFrame, by: list[str]) -> list[str]:
+    return [*by, "_slice"] if "_slice" in df.columns else by
+
+
+def _whole(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """An aggregate of each row's context: by one window, or added up over the slices, one row for each large context."""
+    if "_slice" not in df.columns:
+        return df.withColumn(name, value.over(Window.partitionBy(*by)))
+    kept = store(df, "slices").df
+    of_all = kept.groupBy(*by).agg(value.alias(name)).select(*(F.col(c).alias(f"_of_{c}") for c in by), name)
+    return kept.join(F.broadcast(of_all), _same(by, "_of_"), "left").select(*df.columns, name)
+
+
+def _before(df: DataFrame, by: list[str], value: Column, order: list[Column], name: str) -> DataFrame:
+    """The sum over the rows of the context before this one: inside its slice, and of all slices before."""
+    inside = Window.partitionBy(*_group(df, by)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0).cast("double")))
+    if "_slice" not in df.columns:
+        return local
+    kept = store(local, "slices").df
+    # One row for each large context and slice.
+    totals = kept.groupBy(*by, "_slice").agg(F.sum(value).cast("double").alias("_total"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, "_slice"]), F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_shift"))
+    moved = kept.join(F.broadcast(shifts), _same([*by, "_slice"], "_of_"), "left")
+    return moved.select(*df.columns, (F.col(name) + F.col("_shift")).alias(name))
+
+
+def _over_parts(df: DataFrame, by: list[str], change: Callable[[DataFrame], DataFrame], score: str = "score") -> DataFrame:
+    """The same change of ordinary and of large contexts."""
+    out, *more = [change(part).drop("_slice") for part in sliced_parts(df, by, score)]
+    for part in more:
+        out = out.unionByName(part)
+    return out
+
+
+def _softmax(df: DataFrame, by: list[str], score: str, out: str) -> DataFrame:
+    lifted = _whole(df, by, F.max(score), "_top").withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+    return _whole(lifted, by, F.sum("_e"), "_sum").withColumn(out, F.col("_e") / F.col("_sum")).drop("_top", "_e", "_sum")
+
+
 def softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "p") -> DataFrame:
-    group = Window.partitionBy(*by)
-    lifted = df.withColumn("_e", F.exp(F.col(score) - F.max(score).over(group)))
-    return lifted.withColumn(out, F.col("_e") / F.sum("_e").over(group)).drop("_e")
+    return _over_parts(df, by, lambda part: _softmax(part, by, score, out), score)
+
+
+def _top_k(df: DataFrame, by: list[str], k: Column | int, ties: bool, score: str) -> DataFrame:
+    if isinstance(k, int) and k <= 0:
+        return df
+    group = Window.partitionBy(*_group(df, by))
+    place = F.rank().over(group.orderBy(F.desc(score))) if ties else F.row_number().over(group.orderBy(*_order(score)))
+    within = lambda c: c <= k if isinstance(k, int) else (k <= 0) | (c <= k)
+    kept = df.withColumn("_place", place).filter(within(F.col("_place"))).drop("_place")
+    if "_slice" not in df.columns:
+        return kept
+    # What is not among the best of its slice is not among the best of all.
+    placed = _before(kept, by, F.lit(1), _order(score), "_n")
+    if not ties:
+        return placed.filter(within(F.col("_n") + 1)).drop("_n")
+    edge = _whole(placed, by, F.max(F.when(F.col("_n") + 1 == k, F.col(score))), "_edge")
+    return edge.filter(F.col("_edge").isNull() | (F.col(score) >= F.col("_edge"))).drop("_n", "_edge")
 
 
 def top_k(df: DataFrame, by: list[str], k: Column | int, ties: bool, score: str = "score") -> DataFrame:
@@ -43,16 +131,7 @@ def top_k(df: DataFrame, by: list[str], k: Column | int, ties: bool, score: str
 
     ``k`` of zero or less keeps all.
     """
-    if isinstance(k, int) and k <= 0:
-        return df
-    group = Window.partitionBy(*by)
-    place = (
-        F.rank().over(group.orderBy(F.desc(score)))
-        if ties
-        else F.row_number().over(group.orderBy(F.desc(score), F.asc("token")))
-    )
-    kept = F.col("_place") <= k if isinstance(k, int) else (k <= 0) | (F.col("_place") <= k)
-    return df.withColumn("_place", place).filter(kept).drop("_place")
+    return _over_parts(df, by, lambda part: _top_k(part, by, k, ties, score), score)
 
 
 def best_of_all(scores: DataFrame, k: Column | int, ties: bool) -> DataFrame:
@@ -66,15 +145,22 @@ def best_of_all(scores: DataFrame, k: Column | int, ties: bool) -> DataFrame:
     return scores.filter(F.lit(False)) if edge is None else scores.filter(F.col("score") >= edge)
 
 
+def _top_p(df: DataFrame, by: list[str], limit: Column | float, p: str) -> DataFrame:
+    led = _before(df, by, F.col(p), _order(p), "_before")
+    return led.filter(F.col("_before") <= limit + F.lit(MASS_EPSILON)).drop("_before")
+
+
 def top_p(df: DataFrame, by: list[str], limit: Column | float, p: str = "p") -> DataFrame:
     """Tokens until the mass before one exceeds ``limit``; the one that crosses it stays."""
-    order = Window.partitionBy(*by).orderBy(F.desc(p), F.asc("token"))
-    before = F.coalesce(F.sum(p).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return df.withColumn("_before", before).filter(F.col("_before") <= limit + F.lit(MASS_EPSILON)).drop("_before")
+    return _over_parts(df, by, lambda part: _top_p(part, by, limit, p), p)
+
+
+def _renormalize(df: DataFrame, by: list[str], p: str) -> DataFrame:
+    return _whole(df, by, F.sum(p), "_sum").withColumn(p, F.col(p) / F.col("_sum")).drop("_sum")
 
 
 def renormalize(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
-    return df.withColumn(p, F.col(p) / F.sum(p).over(Window.partitionBy(*by)))
+    return _over_parts(df, by, lambda part: _renormalize(part, by, p), p)
 
 
 def candidates(
@@ -85,24 +171,34 @@ def candidates(
     p_limit: Column | float = 0.9,
     ties: bool = True,
     guarded: bool = False,
+    bounds: bool = False,
 ) -> DataFrame:
     """Temperature, top-k, top-p and a final normalisation, in this order. ``guarded`` also floors the temperature
-    and cleans the scores."""
+    and cleans the scores; ``bounds`` adds what ``with_bounds`` adds."""
     cooled = tempered(F.col("score"), temperature, 0.1 if guarded else None)
     scored = scores.withColumn("score", sanitize(cooled) if guarded else cooled)
-    kept = softmax(top_k(scored, by, k, ties), by)
-    return renormalize(top_p(kept, by, p_limit), by).select(*by, "token", "p")
+
+    def filtered(part: DataFrame) -> DataFrame:
+        kept = _softmax(_top_k(part, by, k, ties, "score"), by, "score", "p")
+        done = _renormalize(_top_p(kept, by, p_limit, "p"), by, "p").select(*_group(part, by), "token", "p")
+        return _bounded(done, by) if bounds else done
+
+    return _over_parts(scored, by, filtered)
 
 
 def greedy(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     return top_k(df, by, 1, ties=False, score=score)
 
 
+def _bounded(df: DataFrame, by: list[str]) -> DataFrame:
+    led = _before(df, by, F.col("p"), _order("p"), "_before")
+    numbered = _before(led, by, F.lit(1), _order("p"), "_n")
+    return numbered.withColumn("high", F.col("_before") + F.col("p")).withColumn("place", (F.col("_n") + 1).cast("bigint")).drop("_before", "_n")
+
+
 def with_bounds(df: DataFrame, by: list[str]) -> DataFrame:
     """The stretch of [0, 1) that draws each candidate, candidates taken by falling probability."""
-    order = Window.partitionBy(*by).orderBy(F.desc("p"), F.asc("token"))
-    upto = F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("high", upto).withColumn("place", F.row_number().over(order))
+    return _over_parts(df, by, lambda part: _bounded(part, by), "p")
 
 
 @dataclass(frozen=True)
@@ -138,7 +234,7 @@ def draw_table(pair_counts: DataFrame, **settings) -> DrawTable:
     step. Scores are log counts. Candidates are stored in array rows of bounded length.
     """
     scores = pair_counts.select("context", F.col("target").alias("token"), F.log("freq").alias("score"))
-    known = with_bounds(candidates(scores, ["context"], **settings), ["context"])
+    known = candidates(scores, ["context"], bounds=True, **settings)
     unigrams = pair_counts.groupBy("target").agg(F.sum("freq").alias("freq"))
     start = unigrams.select(
         F.lit(None).cast(pair_counts.schema["context"].dataType).alias("context"),
@@ -147,7 +243,7 @@ def draw_table(pair_counts: DataFrame, **settings) -> DrawTable:
     )
     # Temperature does not change the order, so the best are the same before it.
     best = best_of_all(start, settings.get("k", 50), settings.get("ties", True))
-    loose = with_bounds(candidates(best, ["context"], **settings), ["context"])
+    loose = candidates(best, ["context"], bounds=True, **settings)
     fallback = _chunked(loose).select(
         F.lit(1).alias("back"), *(F.col(c).alias(f"b_{c}") for c in ("low", "upto", "entries", "likeliest"))
     )

@@ -167,3 +167,41 @@ def test_metrics(spark):
 def test_best_epochs_are_strictly_better(spark):
     df = spark.createDataFrame([(0, 3.0), (1, 3.0), (2, 2.0), (3, 2.5), (4, 1.0)], "epoch int, loss double")
     assert [r["epoch"] for r in metrics.best_epochs(df).orderBy("epoch").collect()] == [0, 2, 4]
+
+
+@pytest.mark.parametrize("ties", [True, False])
+@pytest.mark.parametrize("k, p", [(7, 0.8), (0, 1.0), (40, 0.5), (1, 0.9)])
+def test_large_contexts_in_slices_equal_whole_ones(spark, monkeypatch, ties, k, p):
+    """Contexts of which some are cut to slices, with many equal scores, a null context and a limit beyond a slice."""
+    rng = random.Random(k)
+    rows = [(c, t, math.log(rng.randint(1, 4))) for c, n in ((1, 3), (2, 90), (3, 9), (4, 61), (None, 70)) for t in range(n)]
+    df = spark.createDataFrame(rows, "context bigint, token bigint, score double").repartition(5)
+    shown = lambda out: sorted((str(r.context), r.token, round(r.p, 9), round(r.high, 9), r.place) for r in out.collect())
+    whole = shown(sampling.candidates(df, ["context"], 0.7, k, p, ties=ties, bounds=True))
+    monkeypatch.setattr(sampling, "SLICE_ROWS", 10)
+    parts = sampling.sliced_parts(df, ["context"])
+    assert len(parts) == 2 and parts[1].select("_slice").distinct().count() > 3
+    assert shown(sampling.candidates(df, ["context"], 0.7, k, p, ties=ties, bounds=True)) == whole
+    assert sorted(map(str, sampling.top_k(df, ["context"], k, ties).collect())) == sorted(
+        str(r) for c in {r[0] for r in rows} for r in best_rows([x for x in rows if x[0] == c], k, ties)
+    )
+    settings = df.withColumn("k", F.lit(k))
+    assert sampling.top_k(settings, ["context"], F.col("k"), ties).count() == sampling.top_k(df, ["context"], k, ties).count()
+
+
+def best_rows(own, k, ties):
+    from pyspark.sql import Row
+
+    ranked = sorted(own, key=lambda r: (-r[2], r[1]))
+    kept = ranked if k <= 0 or k >= len(ranked) else [r for r in ranked if r[2] >= ranked[k - 1][2]] if ties else ranked[:k]
+    return [Row(context=c, token=t, score=s) for c, t, s in kept]
+
+
+def test_no_task_holds_a_large_context(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SLICE_ROWS", 10_000)
+    df = spark.range(200_000).select(F.lit(7).alias("context"), F.col("id").alias("token"), F.log(F.col("id") % 50 + 1).alias("score"))
+    part = sampling.sliced_parts(df, ["context"])[1]
+    sizes = [r["count"] for r in part.groupBy("_slice").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 100_000 and sum(sizes) == 200_000
+    out = sampling.softmax(df, ["context"])
+    assert abs(out.agg(F.sum("p")).first()[0] - 1) < 1e-9
