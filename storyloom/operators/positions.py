@@ -162,7 +162,7 @@ def first_rows(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     marked = df.withColumn("_same", row_digest(df))
     counted = marked.groupBy(F.col(key).alias("_key"), "_same").agg(F.count(F.lit(1)).alias("_copies"))
     order = [F.col("_key").asc_nulls_first(), F.col("_same").asc()]
-    edge = _edge(counted, order, n)
+    edge = nth_row(counted, order, n)
     if edge is None:
         return df
     at_key = F.col(key).eqNullSafe(F.lit(edge["_key"]))
@@ -172,7 +172,7 @@ def first_rows(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return marked.filter(inside).unionByName(marked.filter(border).limit(int(edge["_room"]))).select(*df.columns)
 
 
-def _edge(counted: DataFrame, order: list[Column], n: int):
+def nth_row(counted: DataFrame, order: list[Column], n: int):
     """The row of ``counted`` in which the n-th copy lies, and how many of its copies still fit; None if there are fewer.
 
     Range partitions are added up first; only the one that holds the edge is gone through.

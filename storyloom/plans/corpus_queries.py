@@ -90,6 +90,12 @@ def head_cap(spark, sf):
     return positions.first_rows(docs, 100)
 
 
+@query("head_in_files", "SELECT doc_id, text FROM documents LIMIT 100")
+def head_in_files(spark, sf):
+    """The first rows as they stand in the file, whatever their keys."""
+    return corpus.first_in_files(spark, f"{sf}/documents.parquet", 100, ["doc_id", "text"])
+
+
 _SUBSET = """SELECT doc_id, split, text FROM (SELECT *, row_number() OVER (PARTITION BY split
     ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS rn FROM docs) WHERE rn <= 50"""
 

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom import scratch
 from storyloom.sources import corpus
@@ -54,14 +55,33 @@ def test_materialize_builds_once_and_repairs(spark, tmp_path):
 
     assert corpus.materialize(spark, path, build).count() == corpus.materialize(spark, path, build).count() == 5
     assert len(calls) == 1
-    parts = lambda: [f"{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet")]
+    now = lambda: corpus.current_version(spark, path)
+    parts = lambda: [f"{now()}/{f}" for f in os.listdir(now()) if f.endswith(".parquet")]
     harms = [
-        lambda: os.remove(f"{path}/_manifest.json"), lambda: os.remove(parts()[0]), lambda: os.truncate(parts()[-1], 10),
-        lambda: open(f"{path}/part-x.parquet", "w").close(), lambda: open(f"{path}/_manifest.json", "w").close(),
+        lambda: os.remove(f"{now()}/_manifest.json"), lambda: os.remove(parts()[0]), lambda: os.truncate(parts()[-1], 10),
+        lambda: open(f"{now()}/part-x.parquet", "w").close(), lambda: open(f"{now()}/_manifest.json", "w").close(), lambda: os.remove(f"{path}/_current"),
     ]
     for n, harm in enumerate(harms, 2):
         harm()
         assert corpus.materialize(spark, path, build).count() == 5 and len(calls) == n
+    assert corpus.drop_old_versions(spark, path) == 6 and corpus.materialize(spark, path, build).count() == 5 and len(calls) == 7
+
+
+def test_builders_and_a_reader_at_once_never_see_a_mix(spark, tmp_path):
+    path = f"{tmp_path}/d"
+    reader = corpus.materialize(spark, path, lambda: spark.range(10).withColumn("v", F.lit(0)))
+    os.remove(f"{corpus.current_version(spark, path)}/_manifest.json")
+
+    def slow():
+        # A second builder begins and ends while this one is at work.
+        other = corpus.materialize(spark, path, lambda: spark.range(20).withColumn("v", F.lit(1)))
+        assert {r["v"] for r in other.collect()} == {1} and other.count() == 20
+        return spark.range(30).withColumn("v", F.lit(2))
+
+    last = corpus.materialize(spark, path, slow)
+    assert reader.count() == 10 and {r["v"] for r in reader.collect()} == {0}
+    assert last.count() == 30 and corpus.materialize(spark, path, slow).count() == 30
+    assert not [f for f in os.listdir(path) if f.startswith("_current-")]
 
 
 def test_cache_paths_keep_tokenizers_of_one_base_name_apart():
@@ -142,3 +162,35 @@ def test_stream_of_files(spark, tmp_path):
     assert [(r["doc_id"], r["first_sentence"], r["middle_part"], r["last_sentence"]) for r in rows] == [
         (1, "A.", "B.", "C."), (3, "X.", "Y. Z.", "W."),
     ]
+
+
+def test_lines_are_copied_byte_for_byte(spark, tmp_path):
+    raw = b'\xef\xbb\xbf{"text": "a"}\r\n{"text":\r"b"}\n\n  {"text": "\xc3\xa9"}\r\r\n{"text": "last"}'
+    os.makedirs(f"{tmp_path}/in")
+    for name, content in (("a.jsonl", raw), ("b.jsonl", raw[3:] + b"\n"), ("c.jsonl", b"")):
+        with open(f"{tmp_path}/in/{name}", "wb") as f:
+            f.write(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        corpus.write_subset(spark, f"{tmp_path}/in", f"{tmp_path}/out", 100, 1)
+        rows = corpus.read_lines(spark, f"{tmp_path}/in", exact=True).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = raw.split(b"\n") + raw[3:].split(b"\n")
+    assert [r["value"].encode() for r in rows] == want and [r["line_no"] for r in rows] == list(range(10))
+    written = b"".join(open(f"{tmp_path}/out/{f}", "rb").read() for f in os.listdir(f"{tmp_path}/out") if f.startswith("part-"))
+    assert sorted(written.split(b"\n")[:-1]) == sorted(want)
+
+
+def test_first_rows_in_file_order_need_no_key(spark, tmp_path):
+    path = f"{tmp_path}/c/train"
+    for k in range(4):
+        spark.range(0, 7).select((F.lit(100 - 10 * k) - F.col("id")).alias("doc_id"), F.concat(F.lit(f"t{k}-"), "id").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/p{k}")
+        os.makedirs(path, exist_ok=True)
+        part = next(f for f in os.listdir(f"{tmp_path}/p{k}") if f.endswith(".parquet"))
+        os.rename(f"{tmp_path}/p{k}/{part}", f"{path}/part-{k}.parquet")
+    everything = [f"t{k}-{i}" for k in range(4) for i in range(7)]
+    for n in (0, 1, 7, 10, 27, 28, 99):
+        got = corpus.first_in_files(spark, path, n)
+        assert sorted(r["text"] for r in got.collect()) == sorted(everything[:n]) and got.columns == ["doc_id", "text"]
+    assert {r["text"] for r in corpus.read_split(spark, f"{tmp_path}/c", "train", max_samples=9).collect()} == set(everything[:9])
