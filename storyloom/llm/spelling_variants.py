@@ -121,10 +121,12 @@ def build_trie(words: DataFrame) -> Trie:
         "_k", *_node(F.col("_way"), _substr("_w", F.lit(0), _depth(k))), _substr("_w", _depth(k)).alias("_label"), F.lit(None).cast("bigint").alias("_child"),
         F.lit(None).cast("int").alias("_child_check"), F.col("word").alias("_other"), F.col("n").alias("_other_n"))
     first = F.when(F.col("_label") == "", F.lit(_END)).otherwise(F.substring("_label", 1, 1))
-    edges = store(inner.unionByName(leaves).withColumn("_first", first), "trie-bare").df
+    bare = store(inner.unionByName(leaves).withColumn("_first", first), "trie-bare").df
     # The letters that leave a child, so that states which cannot go on there are never made.
-    out = edges.groupBy(F.col("_node").alias("_child"), F.col("_check").alias("_child_check")).agg(F.array_join(F.collect_set("_first"), "").alias("_next"))
-    edges = store(edges.join(out, ["_child", "_child_check"], "left").sortWithinPartitions("_k"), "trie-edges").df
+    out = bare.groupBy(F.col("_node").alias("_child"), F.col("_check").alias("_child_check")).agg(F.array_join(F.collect_set("_first"), "").alias("_next"))
+    going = bare.filter(F.col("_other").isNull()).join(out, ["_child", "_child_check"], "left")
+    ending = bare.filter(F.col("_other").isNotNull()).withColumn("_next", F.lit(None).cast("string"))
+    edges = store(going.unionByName(ending).sortWithinPartitions("_k"), "trie-edges").df
 
     half = F.floor(size / 2).cast("int")
     at = _level(F.when(F.col("_way") == 0, half).otherwise(size - half))
