@@ -5,7 +5,8 @@ Windows are the first ``WIDTH`` bytes of suffixes; a window that equals an earli
 1. What cannot repeat is left out, which loses nothing. Of the hashes of the ``PART``-byte strings in a window the smallest is its
    anchor, which equal windows share. Only windows whose anchor value occurs twice in the corpus stay; runs of them are fragments.
    Then whole stretches of neighbouring windows are compared by a digest of all bytes they span, and of equal stretches only the
-   first stays. So a passage that is copied any number of times takes part once, whatever the size of the group.
+   first stays. So a passage that is copied any number of times takes part once, whatever the size of the group. Then anchor
+   values are counted again, as most of what is left has lost its equals.
 2. Suffixes of the fragments are divided into three classes by their place (in characters of ``CHAR`` bytes, modulo three). Those of
    classes 1 and 2, a difference cover, are the sample. The sample's triples of characters are sorted and named; on the names the
    step recurses, three names and then two at a time, until a name stands for 90 bytes. As only ``WIDTH`` bytes count, it ends there.
@@ -25,13 +26,16 @@ rows give no rows; other columns do not take part, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +55,11 @@ PART = 50
 CUT = 16
 CUT_BITS = 4
 # Bytes walked at once; anchors are packed with a place below this.
-SLICE_BITS = 20
-PIECE = (1 << SLICE_BITS) - 2 * WIDTH
-# Bytes of fragments in a block, and anchor values that a task gathers before it sends them.
-BLOCK_BYTES = 2 << 20
+SLICE_BITS = 22
+SLICE = 1 << 20
+PIECE = SLICE - 2 * WIDTH
+# Bytes of fragments in a block (it can grow by two slices), and anchor values that a task gathers before it sends them.
+BLOCK_BYTES = 1 << 20
 SENT_VALUES = 1 << 20
 NAME_BITS = 42
 _INVERSE = pow(BASES[0], -1, 1 << 64)
@@ -108,7 +113,7 @@ def pieces_of(texts: pa.Array) -> Iterator[Windows]:
         low, size = int(ends[row]), int(ends[row + 1] - ends[row])
         for place in range(0, size - WIDTH + 1, PIECE):
             length = min(size, place + PIECE + WIDTH - 1) - place
-            if held + length > 1 << SLICE_BITS:
+            if held + length > SLICE:
                 yield Windows(rows, places, lengths, np.concatenate(parts))
                 rows, places, lengths, parts, held = [], [], [], [], 0
             rows.append(row)
@@ -191,8 +196,13 @@ def _block_number(k: int) -> int:
     return (TaskContext.get().partitionId() << 31) | k
 
 
-def _packed(numbers: list[int], blocks: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([pickle.dumps(b, 5) for b in blocks], pa.binary())], names=["_blk", "_data"])
+def _packed(number: int, block: dict) -> pa.RecordBatch:
+    raw = zstandard.ZstdCompressor(level=1).compress(pickle.dumps(block, 5))
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["_blk", "_data"])
+
+
+def _unpacked(raw: bytes) -> dict:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
 
 
 def _runs_of(mask: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +227,7 @@ def _live_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, sizes = np.concatenate(parts), columns[4] + WIDTH - 1
         starts = np.cumsum(sizes) - sizes
         block = dict(zip(FIELDS, (c[order] for c in columns)))
-        return _packed([_block_number(made)], [block | {"data": data[ranges(starts[order], sizes[order])], "gone": np.zeros((0, 4), np.int64)}])
+        return _packed(_block_number(made), block | {"data": data[ranges(starts[order], sizes[order])], "gone": np.zeros((0, 4), np.int64)})
 
     for batch in batches:
         seq, key, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_seq", "_key", "_tag"))
@@ -257,6 +267,17 @@ def _sorted_keys(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, fresh
 
 
+def _wrapped(columns: list[np.ndarray]) -> bytes:
+    """64-bit columns by byte: the upper bytes of sorted or small numbers hardly vary, so they pack to little."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unwrapped(packed: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(-1, 8, n)
+    return [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+
+
 def _bucket(high: np.ndarray, low: np.ndarray, n_buckets: int) -> np.ndarray:
     return (mix(high ^ mix(low)) % np.uint64(n_buckets)).astype(np.int64)
 
@@ -267,7 +288,7 @@ def _key_rows(keys_of: Keys, places_of: Callable | None, n_buckets: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw in zip(batch.column("_blk").to_pylist(), batch.column("_data").to_pylist()):
-                block, rows = pickle.loads(raw), []
+                block, rows = _unpacked(raw), []
                 for kind, (high, low, members) in enumerate(keys_of(block)):
                     order, fresh = _sorted_keys(high, low)
                     firsts = order[fresh]
@@ -275,24 +296,26 @@ def _key_rows(keys_of: Keys, places_of: Callable | None, n_buckets: int):
                     places = places_of(block, members[firsts]) if places_of else None
                     for b, own in _sent(_bucket(high, low, n_buckets), n_buckets):
                         payload = [high[own], low[own]] + ([p[own] for p in places] if places else [])
-                        rows.append((b, number, kind, len(own), b"".join(x.tobytes() for x in payload)))
+                        rows.append((b, number, kind, len(own), _wrapped(payload)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["_b", "_blk", "_kind", "_n", "_p"])
 
     return read
 
 
-def _answers(named: bool, n_buckets: int):
-    """For each key of each block its name, or whether another block has an earlier place."""
+def _answers(how: str, n_buckets: int):
+    """For each key of each block its name, whether another block has it, or whether another block has it at an earlier place."""
+    named, placed = how == "name", how == "first"
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_kind", "_blk"], ignore_index=True)
         out = []
         for _, part in rows.groupby("_kind", sort=True):
             sizes = part["_n"].to_numpy()
-            columns = [np.concatenate([np.frombuffer(p, np.uint64 if k < 2 else np.int64, n, 8 * n * k) for p, n in zip(part["_p"], sizes)]) for k in range(2 if named else 4)]
+            columns = [np.concatenate(c) for c in zip(*(_unwrapped(p, n) for p, n in zip(part["_p"], sizes)))]
             high, low = columns[:2]
-            order = np.lexsort((low, high) if named else (columns[3], columns[2], low, high))
+            columns[2:] = [c.view(np.int64) for c in columns[2:]]
+            order = np.lexsort((columns[3], columns[2], low, high) if placed else (low, high))
             fresh = np.ones(len(order), dtype=bool)
             fresh[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
             group = np.cumsum(fresh) - 1
@@ -302,6 +325,8 @@ def _answers(named: bool, n_buckets: int):
                 if len(order) and group[-1] >= (1 << NAME_BITS) // n_buckets:
                     raise OverflowError("more names than their bits can hold")
                 answer = answer.astype(np.uint32 if int(answer.max(initial=0)) < 1 << 32 else np.int64)
+            elif not placed:
+                answer[order] = (np.bincount(group) > 1)[group] if len(group) else False
             else:
                 first = order[np.flatnonzero(fresh)][group]
                 answer[order] = (columns[2][first] < columns[2][order]) | ((columns[2][first] == columns[2][order]) & (columns[3][first] < columns[3][order]))
@@ -326,28 +351,27 @@ def _by_member(keys: list, told: list, named: bool, n_buckets: int) -> Iterator[
         yield members[order], fresh, answer[np.cumsum(fresh) - 1]
 
 
-def exchange(stored: StoredTable, keys_of: Keys, change: Callable, places_of: Callable | None = None) -> StoredTable:
+def exchange(stored: StoredTable, keys_of: Keys, change: Callable, how: str = "name", places_of: Callable | None = None) -> StoredTable:
     """Sort the keys of all blocks and hand the answers back: ``change(block, kinds)`` makes the new block, which replaces the old.
 
-    Without ``places_of`` a key's answer is its name, equal for equal keys only; with it, whether its first place in the block has
-    an earlier one in another.
+    With ``how`` "name" a key's answer is its name, equal for equal keys only; with "shared", whether another block has the key; with
+    "first", whether its first place in the block, by ``places_of``, has an earlier one in another.
     """
-    named, blocks = places_of is None, stored.df
+    named, blocks = how == "name", stored.df
     n_buckets = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = blocks.mapInArrow(_key_rows(keys_of, places_of, n_buckets), "_b bigint, _blk bigint, _kind bigint, _n bigint, _p binary")
-    told = sent.groupBy("_b").applyInPandas(_answers(named, n_buckets), "_blk bigint, _kind bigint, _b bigint, _dtype string, _p binary, _n bigint")
+    told = sent.groupBy("_b").applyInPandas(_answers(how, n_buckets), "_blk bigint, _kind bigint, _b bigint, _dtype string, _p binary, _n bigint")
     gathered = told.groupBy("_blk").agg(F.collect_list(F.struct("_kind", "_b", "_dtype", "_p", "_n")).alias("_told"))
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, number in enumerate(batch.column("_blk").to_pylist()):
-                block = pickle.loads(batch.column("_data")[i].as_py())
+                block = _unpacked(batch.column("_data")[i].as_py())
                 found = list(_by_member(keys_of(block), batch.column("_told")[i].as_py() or [], named, n_buckets))
-                yield _packed([number], [change(block, found)])
+                yield _packed(number, change(block, found))
 
     new = store(blocks.join(gathered, "_blk", "left").mapInArrow(changed, "_blk bigint, _data binary"), "suffix-blocks")
     stored.discard()
-    _release(blocks.sparkSession)
     return new
 
 
@@ -404,7 +428,19 @@ def _ranges_gone(block: dict, starts: np.ndarray, counts: np.ndarray) -> np.ndar
     heads = np.cumsum(block["n"] + WIDTH - 1) - (block["n"] + WIDTH - 1)
     of = np.searchsorted(heads, starts, side="right") - 1
     low = block["at"][of] + starts - heads[of]
-    return np.stack([block["key"][of], block["tag"][of], low, low + counts + WIDTH - 1], axis=1)
+    return _merged_ranges(np.stack([block["key"][of], block["tag"][of], low, low + counts + WIDTH - 1], axis=1))
+
+
+def _merged_ranges(gone: np.ndarray) -> np.ndarray:
+    """Ranges (key, tag, start, end) in order, those of a document that overlap or touch as one."""
+    gone = gone[np.lexsort((gone[:, 2], gone[:, 1], gone[:, 0]))]
+    fresh = np.concatenate(([True], (gone[1:, :2] != gone[:-1, :2]).any(axis=1)))[: len(gone)]
+    document = np.cumsum(fresh) - 1
+    # Documents are set apart by more than any text is long, so one pass over all ends serves all of them.
+    apart = document * (np.int64(1) << 40)
+    starts, ends = _joined(gone[:, 2] + apart, gone[:, 3] + apart)
+    of = np.searchsorted(gone[:, 2] + apart, starts)
+    return np.concatenate([gone[of, :2], (starts - apart[of])[:, None], (ends - apart[of])[:, None]], axis=1)
 
 
 def _first_stretches(block: dict, kinds: list) -> dict:
@@ -413,13 +449,40 @@ def _first_stretches(block: dict, kinds: list) -> dict:
     late = np.zeros(len(starts), dtype=bool)
     late[_later(block, kinds, starts)] = True
     gone = np.concatenate([block["gone"], _ranges_gone(block, starts[late], counts[late])])
-    stays = np.repeat(~late, counts)
-    window = ranges(starts, counts)
-    heads = np.cumsum(block["n"]) - block["n"]
+    return _with_windows(block, np.repeat(~late, counts)) | {"gone": gone}
+
+
+def _with_windows(block: dict, stays: np.ndarray) -> dict:
+    """The block with some of its windows; runs of them are the new fragments."""
+    heads, sizes = np.cumsum(block["n"]) - block["n"], block["n"] + WIDTH - 1
     runs, lengths = _runs_of(stays, heads)
     frag = np.searchsorted(heads, runs, side="right") - 1
-    new = {f: block[f][frag] for f in ("seq", "key", "tag")} | {"at": block["at"][frag] + runs - heads[frag], "n": lengths}
-    return new | {"data": block["data"][ranges(window[runs] if len(runs) else runs, lengths + WIDTH - 1)], "gone": gone}
+    inside = runs - heads[frag]
+    new = {f: block[f][frag] for f in ("seq", "key", "tag")} | {"at": block["at"][frag] + inside, "n": lengths}
+    return new | {"data": block["data"][ranges((np.cumsum(sizes) - sizes)[frag] + inside, lengths + WIDTH - 1)], "gone": block["gone"]}
+
+
+def _block_anchors(block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The start of each window's anchor, and the hashes of all starts."""
+    own = Windows(np.arange(len(block["n"])), block["at"], block["n"] + WIDTH - 1, block["data"])
+    if not len(block["n"]):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return own.anchors()[1], own.hashes
+
+
+def _anchor_keys(block: dict) -> list:
+    anchor, hashes = _block_anchors(block)
+    at = np.unique(anchor)
+    return [(hashes[at], np.zeros(len(at), np.uint64), at)]
+
+
+def _still_shared(block: dict, kinds: list) -> dict:
+    """The block with the windows whose anchor value still occurs twice."""
+    members, fresh, elsewhere = kinds[0]
+    sizes = np.diff(np.append(np.flatnonzero(fresh), len(members)))
+    good = np.zeros(len(block["data"]), dtype=bool)
+    good[members[elsewhere | (sizes > 1)[np.cumsum(fresh) - 1]]] = True
+    return _with_windows(block, good[_block_anchors(block)[0]])
 
 
 def _number(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -471,46 +534,51 @@ def _named(block: dict, kinds: list) -> dict:
     return block | {"names": made.astype(np.uint32 if int(made.max(initial=0)) < 1 << 32 else np.uint64)}
 
 
-def _merge_keys(block: dict) -> list:
-    """One order for each distance at which both suffixes are in the sample."""
-    names, data = _names(block, REACH), block["data"]
-    fragment, inside = _geometry(block)
-    kind, window = inside // CHAR % 3, inside < block["n"][fragment]
-    bits, char, made = 8 * CHAR, lambda at: _number(data, at, CHAR), []
-    at = np.flatnonzero(window & (kind > 0))
-    made.append((*_pack(names[at], char(at + REACH), char(at + REACH + CHAR), bits), at))
-    at = np.flatnonzero(window & (kind < 2))
-    made.append((*_pack(names[at + CHAR], char(at), char(at + REACH + CHAR), bits), at))
-    at = np.flatnonzero(window & (kind != 1))
-    made.append((*_pack(names[at + 2 * CHAR], char(at), char(at + CHAR), bits), at))
-    return made
-
-
-def _covered(block: dict, kinds: list) -> dict:
-    """Only the removed ranges are left."""
+def _merge_keys(distance: int) -> Keys:
+    """The order of the suffixes that are ``distance`` characters away from the sample with those they are in step with."""
+
+    def keys(block: dict) -> list:
+        names, data = _names(block, REACH), block["data"]
+        fragment, inside = _geometry(block)
+        at = np.flatnonzero((inside < block["n"][fragment]) & (inside // CHAR % 3 != (0, 2, 1)[distance]))
+        # Characters before the name, then those behind it: two in all.
+        a, b = [_number(data, at + CHAR * k + (REACH if k >= distance else 0), CHAR) for k in range(2)]
+        return [(*_pack(names[at + CHAR * distance], a, b, 8 * CHAR), at)]
+
+    return keys
+
+
+def _noted(block: dict, kinds: list) -> dict:
+    return block | {"late": np.union1d(block.get("late", np.zeros(0, np.int64)), _later(block, kinds))}
+
+
+def _covered(block: dict) -> np.ndarray:
+    """Byte ranges in the documents that are removed."""
     late = np.zeros(len(block["data"]), dtype=bool)
-    late[_later(block, kinds)] = True
+    late[block["late"]] = True
     heads = np.cumsum(block["n"] + WIDTH - 1) - (block["n"] + WIDTH - 1)
     starts, counts = _runs_of(late, heads)
-    return {"gone": np.concatenate([block["gone"], _ranges_gone(block, starts, counts)])}
+    return np.concatenate([block["gone"], _ranges_gone(block, starts, counts)])
 
 
 def _range_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The removed ranges of each document of a block, joined where they meet."""
     for batch in batches:
         for raw in batch.column("_data").to_pylist():
-            gone = pickle.loads(raw)["gone"]
+            gone = _covered(_unpacked(raw))
             if not len(gone):
                 continue
-            gone = gone[np.lexsort((gone[:, 2], gone[:, 1], gone[:, 0]))]
+            gone = _merged_ranges(gone)
             heads = np.flatnonzero(np.concatenate(([True], (gone[1:, :2] != gone[:-1, :2]).any(axis=1))))
             parts = np.split(gone, heads[1:])
-            spans = [np.stack(_joined(p[:, 2], p[:, 3]), axis=1).tobytes() for p in parts]
+            spans = [p[:, 2:].tobytes() for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(gone[heads, 0]), pa.array(gone[heads, 1]), pa.array(spans, pa.binary())], names=["_key", "_tag", "_spans"])
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges in order of start, overlapping and adjacent ones as one."""
+    if not len(starts):
+        return starts, ends
     upto = np.maximum.accumulate(ends)
     fresh = np.ones(len(starts), dtype=bool)
     fresh[1:] = starts[1:] > upto[:-1]
@@ -558,8 +626,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _release(spark) -> None:
-    """Spark deletes the shuffle files of a finished step once the driver's JVM has collected what refers to them."""
-    spark.sparkContext._jvm.System.gc()
+    """Spark deletes the shuffle files of a finished step once the driver has collected what refers to them.
+
+    Python's references keep those of the JVM alive, and the JVM's are queued before they are dropped, so it takes two turns.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -570,14 +644,22 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = rows.select("_key", "_text").mapInArrow(_anchor_rows(n_buckets), "_b bigint, _v binary, _k binary, _c binary")
     repeated = anchors.groupBy("_b").applyInPandas(_repeated_values, "_key bigint, _vs binary")
-    wanted = store(repeated.groupBy("_key").agg(F.collect_list("_vs").alias("_vs")), "suffix-anchors").df
-    live = rows.select("_seq", "_key", "_tag", "_text").join(wanted, "_key")
+    wanted = store(repeated.groupBy("_key").agg(F.collect_list("_vs").alias("_vs")), "suffix-anchors")
+    _release(spark)
+    live = rows.select("_seq", "_key", "_tag", "_text").join(wanted.df, "_key")
     blocks = store(live.mapInArrow(_live_blocks, "_blk bigint, _data binary"), "suffix-blocks")
+    wanted.discard()
+    _release(spark)
+    blocks = exchange(blocks, _stretch_keys, _first_stretches, "first", _stretch_places)
+    _release(spark)
+    blocks = exchange(blocks, _anchor_keys, _still_shared, "shared")
     _release(spark)
-    blocks = exchange(blocks, _stretch_keys, _first_stretches, _stretch_places)
     for keys_of in (_triple_keys, _recursed_keys, _last_keys):
         blocks = exchange(blocks, keys_of, _named)
-    blocks = exchange(blocks, _merge_keys, _covered, _places)
+        _release(spark)
+    for distance in range(3):
+        blocks = exchange(blocks, _merge_keys(distance), _noted, "first", _places)
+        _release(spark)
     spans = blocks.df.mapInArrow(_range_rows, "_key bigint, _tag bigint, _spans binary").groupBy("_key", "_tag").agg(F.collect_list("_spans").alias("_all"))
     spans = store(spans, "suffix-spans").df
     _release(spark)
