@@ -163,20 +163,25 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         SELECT doc_id, t, line, no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
             lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM lines),
     leaves AS (SELECT *, {'n': len(w), 'lead': w[1:3]} AS leaf FROM masked WHERE len(w) > 0),
-    common AS (SELECT leaf, count(*) AS n FROM leaves GROUP BY leaf HAVING count(DISTINCT t) >= 10),
-    held AS (SELECT leaves.*, common.n FROM leaves JOIN common USING (leaf)),
-    tokens AS (SELECT leaf, n, unnest(w) AS token, unnest(range(len(w))) AS place FROM held),
-    constants AS (SELECT leaf, token, place FROM tokens WHERE place >= 3 GROUP BY leaf, token, place HAVING count(*) >= 0.1 * any_value(n)),
-    general AS (
-        SELECT doc_id, t, no, w, x.leaf, list(CASE WHEN place < 3 OR c.token IS NOT NULL THEN x.token ELSE '<*>' END ORDER BY place) AS g
-        FROM (SELECT doc_id, t, no, leaf, w, unnest(w) AS token, unnest(range(len(w))) AS place FROM held) x
-        LEFT JOIN constants c USING (leaf, token, place) GROUP BY doc_id, t, no, w, x.leaf),
-    templates AS (
-        SELECT doc_id, t, no, leaf, CASE WHEN len(list_filter(g, lambda x: x <> '<*>')) >= 0.5 * len(g) THEN g ELSE w END AS template
-        FROM general),
+    common AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT t) >= 10),
+    held AS (SELECT leaves.* FROM leaves JOIN common USING (leaf)),
+    kinds AS (SELECT leaf, w, count(DISTINCT t) AS texts FROM held GROUP BY leaf, w),
+    tokens AS (SELECT leaf, w, texts, unnest(w) AS token, unnest(range(len(w))) AS place FROM kinds),
+    support AS (
+        SELECT leaf, token, place, length(bin((sum(texts) // 10)::BIGINT)) AS level FROM tokens WHERE place >= 3 AND token <> '<*>'
+        GROUP BY leaf, token, place HAVING sum(texts) >= 10),
+    levels AS (
+        SELECT leaf, w, list(CASE WHEN place < 3 THEN 99 ELSE coalesce(level, 0) END ORDER BY place) AS v
+        FROM tokens LEFT JOIN support USING (leaf, token, place) GROUP BY leaf, w),
+    reached AS (SELECT leaf, w, v, unnest(list_distinct(list_filter(v, lambda x: x BETWEEN 1 AND 98))) AS least FROM levels),
+    general AS (SELECT leaf, w, [CASE WHEN v[i] >= least THEN w[i] ELSE '<*>' END FOR i IN range(1, len(w) + 1)] AS g FROM reached),
+    alike AS (
+        SELECT leaf, w, g FROM general WHERE len(list_filter(g, lambda x: x <> '<*>')) >= 0.5 * len(g)
+        AND len(list_filter(g[4:], lambda x: x <> '<*>')) >= 0.5 * len(list_filter(w[4:], lambda x: x <> '<*>'))),
+    templates AS (SELECT leaf, w, g FROM alike UNION SELECT leaf, w, w FROM kinds),
+    recurring AS (SELECT leaf, g FROM templates JOIN held USING (leaf, w) GROUP BY leaf, g HAVING count(DISTINCT t) >= 10),
     gone AS (
-        SELECT doc_id, no FROM templates JOIN (
-            SELECT leaf, template FROM templates GROUP BY leaf, template HAVING count(DISTINCT t) >= 10) USING (leaf, template))
+        SELECT DISTINCT doc_id, no FROM held JOIN (SELECT DISTINCT leaf, w FROM templates JOIN recurring USING (leaf, g)) USING (leaf, w))
     SELECT doc_id, count(*) AS n_lines, count(gone.no) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (gone.no IS NULL), '')) AS kept_sha256
     FROM lines LEFT JOIN gone USING (doc_id, no) GROUP BY doc_id

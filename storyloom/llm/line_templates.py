@@ -1,19 +1,20 @@
 """Removal of lines whose template recurs across documents.
 
 A tree of fixed depth sorts lines: first by the number of their tokens, then by the leading tokens, where a token with a digit
-stands as a variable field. Within a leaf a position keeps a token that at least a tenth of the leaf's lines have there, and is
-a variable field for all other lines. A line's template is what is left of it; where fewer than half of the tokens are kept, or of
-those after the leading ones that have no digit, the lines of a leaf merely begin alike, and the line with its digits masked is its
-own template. Lines whose template occurs in
-``min_documents`` different texts go. Copies of a text count as one, so the lines of copied documents are not taken for
-boilerplate.
+stands as a variable field. Within a leaf a token's support is the number of different texts, added up over different lines, that
+have it at its place. A leaf is split by support: for every doubling of ``min_documents`` that a line's tokens reach, the tokens of at
+least that support are kept and all others are variable fields. So a line has one generalisation for each of these levels, and
+neither a frequent line nor any number of other templates in its leaf takes one from it. A generalisation that keeps fewer than half of
+the tokens, or of those after the leading ones that have no digit, does not count: such lines merely begin alike. The line with its
+digits masked is a template of its own as well. Lines of which one template occurs in ``min_documents`` different texts go. Copies of
+a text count as one, so the lines of copied documents are not taken for boilerplate.
 
 1. A first pass counts the texts of every leaf. Leaves with enough of them are kept as an exact table and, for the second pass
    over the texts, as 2**26 bits that are broadcast (8 MB, a constant): a bit that several leaves share lets a few lines
    too many through, and a join with the exact table takes them out again.
-2. Only lines of such leaves are written, as hashes of their tokens. Tokens are counted by leaf and position, templates by text;
-   both are combined before the shuffle, and joins have an exchange on either side, so a line that a third of all
-   documents hold is split.
+2. Only lines of such leaves are written, as hashes of their tokens. Equal lines are one kind from there on, so supports are counted
+   and levels joined over different lines only, by tokens that are dealt over several keys; what a kind's templates need of its
+   texts is at most ``min_documents`` of them, as a kind with that many makes all its templates recur.
 3. The numbers of the lines that go are gathered by document and joined with the texts, which move once.
 
 Defined results: lines end at line feeds; a null text counts as empty, with one empty line; blank lines stay; rows that share
@@ -22,10 +23,12 @@ identifier and text are treated alike; no rows give no rows.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,10 @@ from storyloom.scratch import store
 
 DEPTH = 3
 MIN_DOCUMENTS = 10
-# A token is part of a template if this share of a leaf's lines have it at the place.
-SHARE = 0.1
 # The least share of tokens that a generalised template keeps, of all and of those without digits after the leading ones.
 KEPT = 0.5
+# Keys over which a token of a leaf is dealt where levels are joined.
+SALTS = 8
 LEAF_BITS = 26
 # Fixed value: Spark's bitmap aggregates hold this many bits.
 _BITMAP = 32_768
@@ -128,6 +131,63 @@ def _recurring(rows: DataFrame, key: str, least: int) -> DataFrame:
     return store(counted.filter(F.col("_texts") >= least).select(key), "recurring").df
 
 
+def _levels(kinds: DataFrame, least: int) -> DataFrame:
+    """For each kind of line the tokens after the leading ones that ``least`` texts have at the place: place and doublings of it."""
+    placed = kinds.select("_kind", "_leaf", "_texts", F.posexplode("_tokens").alias("_at", "_token"))
+    placed = placed.filter((F.col("_at") >= DEPTH) & (F.col("_token") != VARIABLE))
+    support = placed.groupBy("_leaf", "_at", "_token").agg(F.sum("_texts").alias("_n")).filter(F.col("_n") >= least)
+    level = F.length(F.bin(F.expr(f"_n div {least}"))).alias("_level")
+    salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("_salt")
+    known = support.select("_leaf", "_at", "_token", level, salts)
+    dealt = placed.withColumn("_salt", F.pmod("_kind", F.lit(SALTS)).cast("int"))
+    joined = dealt.join(known, ["_leaf", "_at", "_token", "_salt"])
+    return joined.groupBy("_kind").agg(F.collect_list(F.struct("_at", "_level")).alias("_levels"))
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different templates of each kind of line: itself and its generalisations."""
+    for batch in batches:
+        kinds, texts, leaves = (batch.column(c).to_pylist() for c in ("_kind", "_texts", "_leaf"))
+        rows, made = [], []
+        for i, leaf in enumerate(leaves):
+            tokens = batch.column("_tokens")[i].values.to_numpy()
+            level = np.zeros(len(tokens), dtype=np.int64)
+            found = batch.column("_levels")[i]
+            if found.is_valid:
+                level[found.values.field("_at").to_numpy()] = found.values.field("_level").to_numpy()
+            reached = np.unique(level[level > 0]).tolist()
+            level[:DEPTH] = np.iinfo(np.int64).max
+            own = {_named(leaf, tokens)}
+            plain = tokens != VARIABLE
+            for least in reached:
+                stays = plain & (level >= least)
+                if stays.sum() >= KEPT * len(tokens) and stays[DEPTH:].sum() >= KEPT * plain[DEPTH:].sum():
+                    own.add(_named(leaf, np.where(stays, tokens, VARIABLE)))
+            made.extend(own)
+            rows.extend([i] * len(own))
+        columns = [pa.array([c[i] for i in rows], pa.int64()) for c in (kinds, texts)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.int64())], names=["_kind", "_texts", "_template"])
+
+
+def _named(leaf: int, tokens: np.ndarray) -> int:
+    digest = xxhash.xxh3_64_digest(struct.pack("<q", leaf) + tokens.astype(np.int64).tobytes())
+    return struct.unpack("<q", digest)[0]
+
+
+def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, dropped, kept = [], [], []
+        for text, gone in zip(batch.column("_text").to_pylist(), batch.column("_gone").to_pylist()):
+            sizes.append(text.count("\n") + 1)
+            dropped.append(len(gone or ()))
+            if gone:
+                numbers = set(gone)
+                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers)
+            kept.append(text)
+        columns = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_id", "n_lines", "n_dropped", "kept"])
+
+
 def drop_recurring_lines(
     docs: DataFrame, min_documents: int = MIN_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -138,31 +198,21 @@ def drop_recurring_lines(
     leaves = _recurring(source.select("_hash", "_text").mapInArrow(_first_pass, "_leaf bigint, _hash bigint"), "_leaf", min_documents)
     shared = spark.sparkContext.broadcast(_leaf_bits(leaves))
     line = schema_of(("_id", id_type), ("_hash", "bigint"), ("_leaf", "bigint"), ("_line", "int"), ("_tokens", "array<bigint>"))
-    lines = store(source.mapInArrow(_second_pass(shared), line).join(leaves, "_leaf", "left_semi"), "lines").df
-
-    placed = lines.select("_leaf", F.posexplode("_tokens").alias("_at", "_token")).filter(F.col("_at") >= DEPTH)
-    counts = placed.groupBy("_leaf", "_at", "_token").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = lines.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_lines"))
-    kept = counts.join(sizes, "_leaf").filter(F.col("_n") >= SHARE * F.col("_lines"))
-    # Of a position at most 1 / SHARE tokens.
-    constants = store(kept.groupBy("_leaf").agg(F.collect_set(F.struct("_at", "_token")).alias("_constants")), "constants").df
-    stays = lambda t, i: (i < DEPTH) | F.array_contains("_constants", F.struct(i.alias("_at"), t.alias("_token")))
-    named = lines.join(constants, "_leaf", "left").withColumn("_constants", F.coalesce("_constants", F.array().cast("array<struct<_at:int,_token:bigint>>")))
-    general = F.transform("_tokens", lambda t, i: F.when(stays(t, i), t).otherwise(F.lit(VARIABLE).cast("bigint")))
-    named = named.withColumn("_general", general)
-    fixed = F.size(F.filter("_general", lambda t: t != VARIABLE))
-    later = lambda tokens: F.size(F.filter(tokens, lambda t, i: (i >= DEPTH) & (t != VARIABLE)))
-    alike = (fixed >= KEPT * F.size("_tokens")) & (later("_general") >= KEPT * later("_tokens"))
-    template = F.when(alike, F.col("_general")).otherwise(F.col("_tokens"))
-    judged = store(named.select("_id", "_hash", "_line", F.xxhash64("_leaf", template).alias("_template")), "templates").df
-    gone = judged.join(_recurring(judged, "_template", min_documents), "_template", "left_semi")
+    found = source.mapInArrow(_second_pass(shared), line).join(leaves, "_leaf", "left_semi")
+    lines = store(found.withColumn("_kind", F.xxhash64("_leaf", "_tokens")), "lines").df
+
+    pairs = store(lines.select("_kind", "_hash").distinct(), "line-texts").df
+    texts = pairs.groupBy("_kind").agg(F.count(F.lit(1)).alias("_texts"))
+    kinds = store(lines.select("_kind", "_leaf", "_tokens").distinct().join(texts, "_kind"), "line-kinds").df
+    levels = _levels(kinds, min_documents).withColumnRenamed("_kind", "_of")
+    named = kinds.join(levels, F.col("_kind") == F.col("_of"), "left").select("_kind", "_leaf", "_texts", "_tokens", "_levels")
+    made = store(named.mapInArrow(_templates, "_kind bigint, _texts bigint, _template bigint"), "templates").df
+    several = F.col("_texts") >= min_documents
+    few = made.filter(~several).select("_kind", "_template").join(pairs, "_kind").select("_template", "_hash")
+    few = few.distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_texts")).filter(several)
+    recurring = store(few.select("_template").union(made.filter(several).select("_template")).distinct(), "recurring").df
+    gone = lines.join(made.join(recurring, "_template", "left_semi").select("_kind").distinct(), "_kind", "left_semi")
     gone = gone.groupBy(F.col("_id").alias("_key"), F.col("_hash").alias("_of")).agg(F.collect_set("_line").alias("_gone"))
     joined = source.join(gone, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_of")), "left")
-    split = joined.withColumn("_lines", F.split("_text", "\n", -1))
-    left = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    )
-    return split.select(
-        F.col("_id").alias(id_col), F.size("_lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"), left.alias("kept"),
-    )
+    out = schema_of(("_id", id_type), ("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept", "string"))
+    return joined.select("_id", "_text", "_gone").mapInArrow(_without_lines, out).withColumnRenamed("_id", id_col)

@@ -39,6 +39,32 @@ def test_short_lines_that_only_begin_alike_stay(spark):
     assert all(g[1] == 1 for g in kept(spark, [(i, f"sent to you by {word(i, 0)} on 2024-01-{i}") for i in range(60)]).values())
 
 
+def crowded(hot):
+    """Twelve templates with two fields each in one leaf, whose fields also take frequent values, next to a hot line."""
+    name = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3)) + "q"
+    rows = [(i, f"a user session {'abcdefghijkl'[i % 12]}fixed from {name(i)} to {['home', 'work', name(7 * i)][i % 7 % 3]} was closed\nown {name(i)} text") for i in range(720)]
+    rows += [(1000 + i, f"a user session which every page has here as well\nother {name(i)}") for i in range(hot)]
+    # Fields that are frequent themselves, whose pairs are rare, and lines that only begin alike.
+    rows += [(5000 + i, f"sent by you for {name(i % 10)} about {name(30 + i // 10)} and more today") for i in range(100)]
+    return rows + [(6000 + i, f"it was a {name(i)} {name(3 * i)}x {name(5 * i)}y") for i in range(60)]
+
+
+def test_many_templates_and_a_hot_line_in_one_leaf(spark):
+    got = kept(spark, crowded(900))
+    assert all(got[i][1] == 1 for i in [*range(720), *range(1000, 1900), *range(5000, 5100)])
+    assert all(got[i][1] == 0 for i in range(6000, 6060))
+
+
+def test_sql_holds_on_every_branch(spark, tmp_path):
+    """Masked digits, copies, short lines, blank lines and crowded leaves."""
+    rows = crowded(40) + [(7000 + i, f"in the year {i} all of {chr(97 + i % 26)}z was {i}\n\n \nend") for i in range(40)]
+    rows += [(8000 + i, "a line of a much copied text\nwith more") for i in range(30)] + [(9000, None), (9001, ""), (9002, "\n")]
+    rows += [(9100 + i, f"{i} x y\none\ntwo words") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    next((tmp_path / "t").glob("part-*")).rename(tmp_path / "documents.parquet")
+    assert same_as_sql(spark, REGISTRY["op3_line_dedup"], str(tmp_path)) == len(rows)
+
+
 def test_copies_count_once(spark):
     rows = [(i, "a line of a much copied text\nand another one of it") for i in range(50)] + [(99, "a line of a much copied text")]
     assert all(g[1] == 0 for g in kept(spark, rows, min_documents=3).values())
