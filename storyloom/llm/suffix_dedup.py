@@ -60,6 +60,9 @@ SLICE = 1 << 20
 PIECE = SLICE - 2 * WIDTH
 # Bytes of fragments in a block (it can grow by two slices), and anchor values that a task gathers before it sends them.
 BLOCK_BYTES = 1 << 20
+# Bytes of fragments whose keys one bucket holds: the number of buckets follows the data, so a block's row for one is never nearly empty
+# because a cluster has many partitions.
+BUCKET_BYTES = 1 << 22
 SENT_VALUES = 1 << 20
 NAME_BITS = 42
 _INVERSE = pow(BASES[0], -1, 1 << 64)
@@ -168,8 +171,8 @@ def _runs(keys: np.ndarray) -> tuple[bytes, bytes]:
     return keys[heads].tobytes(), np.diff(np.append(heads, len(keys))).astype(np.int32).tobytes()
 
 
-def _repeated_values(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket the values that occur twice, for each row that has them."""
+def _twice(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The values of one bucket that occur twice, each with the key of its row."""
     values = np.concatenate([np.frombuffer(v, np.uint64) for v in rows["_v"]])
     keys = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(c, np.int32)) for k, c in zip(rows["_k"], rows["_c"])])
     order = np.argsort(values, kind="stable")
@@ -178,10 +181,31 @@ def _repeated_values(rows: pd.DataFrame) -> pd.DataFrame:
     several = np.zeros(len(values), dtype=bool)
     several[1:] |= same
     several[:-1] |= same
-    values, keys = values[several], keys[several]
+    return values[several], keys[several]
+
+
+def _repeated_values(n_buckets: int):
+    """Of one bucket the values that occur twice, by bucket of the rows that have them."""
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        values, keys = _twice(rows)
+        out = [(r, values[own].tobytes(), keys[own].tobytes()) for r, own in _sent(_row_bucket(keys, n_buckets), n_buckets)]
+        return pd.DataFrame(out, columns=["_r", "_v", "_k"])
+
+    return judge
+
+
+def _row_bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64) + np.uint64(BASES[1])) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _values_of_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """The values of each row of a bucket of rows."""
+    values = np.frombuffer(b"".join(rows["_v"]), np.uint64)
+    keys = np.frombuffer(b"".join(rows["_k"]), np.int64)
     order = np.argsort(keys, kind="stable")
     values, keys = values[order], keys[order]
-    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     ends = np.append(heads[1:], len(keys))
     return pd.DataFrame({"_key": keys[heads], "_vs": [values[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())]})
 
@@ -192,13 +216,17 @@ def _repeated_values(rows: pd.DataFrame) -> pd.DataFrame:
 FIELDS = ("seq", "key", "tag", "at", "n")
 
 
+_BLOCKS = "_blk bigint, _data binary, _size bigint"
+
+
 def _block_number(k: int) -> int:
     return (TaskContext.get().partitionId() << 31) | k
 
 
 def _packed(number: int, block: dict) -> pa.RecordBatch:
     raw = zstandard.ZstdCompressor(level=1).compress(pickle.dumps(block, 5))
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["_blk", "_data"])
+    size = pa.array([len(block["data"])], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary()), size], names=["_blk", "_data", "_size"])
 
 
 def _unpacked(raw: bytes) -> dict:
@@ -231,7 +259,7 @@ def _live_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         seq, key, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_seq", "_key", "_tag"))
-        wanted = [np.unique(np.frombuffer(b"".join(v), np.uint64)) for v in batch.column("_vs").to_pylist()]
+        wanted = [np.unique(np.frombuffer(v, np.uint64)) for v in batch.column("_vs").to_pylist()]
         for part in pieces_of(batch.column("_text")):
             _, anchor = part.anchors()
             value, live, low = part.hashes[anchor], np.zeros(len(anchor), dtype=bool), 0
@@ -358,7 +386,7 @@ def exchange(stored: StoredTable, keys_of: Keys, change: Callable, how: str = "n
     "first", whether its first place in the block, by ``places_of``, has an earlier one in another.
     """
     named, blocks = how == "name", stored.df
-    n_buckets = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = 1 + (blocks.agg(F.sum("_size")).first()[0] or 0) // BUCKET_BYTES
     sent = blocks.mapInArrow(_key_rows(keys_of, places_of, n_buckets), "_b bigint, _blk bigint, _kind bigint, _n bigint, _p binary")
     told = sent.groupBy("_b").applyInPandas(_answers(how, n_buckets), "_blk bigint, _kind bigint, _b bigint, _dtype string, _p binary, _n bigint")
     gathered = told.groupBy("_blk").agg(F.collect_list(F.struct("_kind", "_b", "_dtype", "_p", "_n")).alias("_told"))
@@ -370,7 +398,7 @@ def exchange(stored: StoredTable, keys_of: Keys, change: Callable, how: str = "n
                 found = list(_by_member(keys_of(block), batch.column("_told")[i].as_py() or [], named, n_buckets))
                 yield _packed(number, change(block, found))
 
-    new = store(blocks.join(gathered, "_blk", "left").mapInArrow(changed, "_blk bigint, _data binary"), "suffix-blocks")
+    new = store(blocks.join(gathered, "_blk", "left").mapInArrow(changed, _BLOCKS), "suffix-blocks")
     stored.discard()
     return new
 
@@ -643,11 +671,11 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = _keyed(docs, id_col, text_col)
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = rows.select("_key", "_text").mapInArrow(_anchor_rows(n_buckets), "_b bigint, _v binary, _k binary, _c binary")
-    repeated = anchors.groupBy("_b").applyInPandas(_repeated_values, "_key bigint, _vs binary")
-    wanted = store(repeated.groupBy("_key").agg(F.collect_list("_vs").alias("_vs")), "suffix-anchors")
+    repeated = anchors.groupBy("_b").applyInPandas(_repeated_values(n_buckets), "_r bigint, _v binary, _k binary")
+    wanted = store(repeated.groupBy("_r").applyInPandas(_values_of_rows, "_key bigint, _vs binary"), "suffix-anchors")
     _release(spark)
     live = rows.select("_seq", "_key", "_tag", "_text").join(wanted.df, "_key")
-    blocks = store(live.mapInArrow(_live_blocks, "_blk bigint, _data binary"), "suffix-blocks")
+    blocks = store(live.mapInArrow(_live_blocks, _BLOCKS), "suffix-blocks")
     wanted.discard()
     _release(spark)
     blocks = exchange(blocks, _stretch_keys, _first_stretches, "first", _stretch_places)
