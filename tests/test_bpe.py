@@ -174,3 +174,26 @@ def test_tokenizer_with_ids(spark, limit):
     assert all(len(r["a"]) <= 4 and r["a"] == rows[r["doc_id"]]["a"][:4] for r in cut.collect())
     back = tok.decode(tok.encode(docs, {"a": F.col("text")}), F.col("a"))
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_encoding_shuffles_texts_only(spark, limit, tmp_path):
+    """However large the table of words would be, nothing is joined, and no word is moved."""
+    spark.createDataFrame([(i, f"the cat{i % 7} sat") for i in range(40)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    vocab = bpe.bpe_vocabulary(bpe.train_bpe(docs, 4))
+    for df in (bpe.encode_docs(docs, [("t", "h")], limit=limit), bpe.encode_id_columns(docs, {"a": F.col("text")}, [("t", "h")], vocab, 3, limit=limit)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1 and df.count() == 40
+
+
+def test_rows_of_one_key_are_encoded_together(spark):
+    """Words stand by place, those of one place by their symbols; a null text has none."""
+    rows = [(1, "b a"), (1, "a the"), (2, None), (None, "x"), (3, "a"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["symbols"] for r in bpe.encode_docs(docs, [("t", "h")]).collect()}
+    end = "</w>"
+    assert got == {1: ["a", end, "b", end, "a", end, "th", "e", end], 2: [], None: ["x", end], 3: ["a", end]}
+    vocab = bpe.bpe_vocabulary(bpe.train_bpe(docs.filter("text IS NOT NULL"), 0))
+    ids = {r["doc_id"]: r for r in bpe.encode_id_columns(docs, {"a": F.lit("a"), "b": F.col("text")}, [], vocab).collect()}
+    assert ids[2]["a"] == ids[2]["b"] == [] and len(ids[1]["a"]) == 4 and len(ids[1]["b"]) == 10 and len(ids[3]["a"]) == 2
