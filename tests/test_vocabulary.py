@@ -117,3 +117,23 @@ def test_encoder_decoder_examples(docs):
     for r in rows:
         middle = plain.encode(" ".join(plain.sentences(r["full_story"])[1:-1]), table)
         assert r["decoder_target_ids"] == middle and r["decoder_input_ids"] == [2, *middle[:-1]]
+
+
+@pytest.mark.parametrize("heads", [0, 6, 100])
+def test_large_vocabulary_moves_rare_tokens_only(spark, docs, heads, monkeypatch):
+    """Past the broadcast limit the frequent tokens are gathered where they lie, and lists are the same, also of repeated and null keys."""
+    more = spark.createDataFrame([(1, "zebra cat the"), (None, "the end zzz"), (9, None), (10, "")], "doc_id bigint, text string")
+    rows = docs.unionByName(more)
+    vocab = V.build_vocabulary(docs, tokens())
+    columns = {"a": tokens(), "b": F.slice(tokens(), 1, 2), "c": F.array().cast("array<string>")}
+    ids = V.encode_columns(rows, columns, vocab)
+    told = V.decode_ids(ids, F.concat("a", F.array(F.lit(999).cast("bigint"), F.lit(None).cast("bigint"))), vocab)
+    listed = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want, words = listed(ids), listed(told)
+    monkeypatch.setattr(V, "HEAD_IDS", heads)
+    far = V.encode_columns(rows, columns, vocab, limit=0)
+    assert listed(far) == want
+    assert listed(V.decode_ids(ids, F.concat("a", F.array(F.lit(999).cast("bigint"), F.lit(None).cast("bigint"))), vocab, limit=0)) == words
+    # One row for a key, and one for each token the head lacks, meet the rest.
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" in plan.split("Join LeftOuter")[1]
