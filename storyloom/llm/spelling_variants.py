@@ -5,9 +5,10 @@ level; levels are one code point apart up to ``SINGLE``, then each is as deep as
 has 47. A node that only one word reaches is not followed: the edge into it holds the rest of that word.
 
 A frontier of states (word, position, node, edits) is joined with the edges level by level. A state without edits goes on along its
-own path and, at every edge that leaves it, makes states with one edit: a replaced, an inserted, a deleted code point. A
+own path and, at every edge that leaves it, makes states with one edit: a deleted code point, or one replaced by a larger one. A
 state with one edit only follows its own letters, and goes where the child lacks the next one. What meets the rest of another
-word with one edit in all is a pair. Two words that are near share the first half or the last half of either, so a word starts
+word with one edit in all is a pair. Inserting is the deletion of the other word, and a smaller code point the larger one of the other
+word, so a pair is walked from one side and then counts for both. Two words that are near share the first half or the last half of either, so a word starts
 at half its length, forwards and backwards; the wide upper part of the trie is never walked.
 
 Nodes are known by a 96-bit hash of their prefix. A pair is confirmed on the words themselves, so hashes decide nothing.
@@ -40,9 +41,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def lowered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LENGTH) -> DataFrame:
     """``_id`` and ``_run`` for every maximal run of at least ``least`` letters, A-Z in lower case."""
-    runs = F.regexp_extract_all(text_or_empty(text_col), F.lit(f"({LETTERS}{{{least},}})"), 1)
+    runs = F.regexp_extract_all(text_or_empty(text_col), F.lit(f"{LETTERS}{{{least},}}+"), 0)
     found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.explode(runs).alias("_run"))
-    return found.select("_id", F.translate("_run", _UPPER, _LOWER).alias("_run"))
+    # Within ASCII lower case is that of A-Z alone.
+    lowered = F.when(F.octet_length("_run") == F.length("_run"), F.lower("_run")).otherwise(F.translate("_run", _UPPER, _LOWER))
+    return found.select("_id", lowered.alias("_run"))
 
 
 def thinned(runs: DataFrame, every: int = 31) -> DataFrame:
@@ -149,13 +152,12 @@ def _states(*rows: tuple[Column, Column, int]) -> Column:
 
 
 def _single_step() -> Column:
-    """Over one code point. Of a run of equal letters only the last is deleted, and a letter is inserted behind its equals."""
+    """Over one code point. Of a run of equal letters only the last is deleted; the letter put in for another one is larger."""
     p, same = F.col("_p"), F.col("_label") == _char(F.col("_p"))
     goes_on = lambda q: F.contains(F.col("_next"), _char(q))
     return _states(
         (same, p + 1, 0),
-        (~same & (p < F.length("_w")) & goes_on(p + 1), p + 1, 1),
-        (~same & goes_on(p), p, 1),
+        ((F.col("_label") > _char(p)) & (p < F.length("_w")) & goes_on(p + 1), p + 1, 1),
         (~same & (p + 1 < F.length("_w")) & (F.col("_label") == _char(p + 1)) & goes_on(p + 2), p + 2, 1),
     )
 
@@ -169,11 +171,13 @@ def _long_step(width: int) -> Column:
         return (F.length(part) == length) & (F.levenshtein(part, label, 1) == 1)
 
     same = _substr("_w", p, F.lit(width)) == label
-    return _states((same, p + width, 0), (near(width), p + width, 1), (near(width + 1), p + width + 1, 1), (near(width - 1), p + width - 1, 1))
+    return _states((same, p + width, 0), (near(width), p + width, 1), (near(width + 1), p + width + 1, 1))
 
 
 def near_pairs(trie: Trie) -> DataFrame:
-    """``_i``, ``_w`` (as walked), ``_other`` and ``_other_n`` for words one edit apart, maybe more than once."""
+    """``_i``, ``_w`` (as walked), ``_other`` and ``_other_n`` for words one edit apart, maybe more than once.
+
+    A pair comes from the longer word, or of two of one length from at least one of them."""
     keys, found = ["_node", "_check"], []
     columns = ["_i", "_w", *keys, "_p", "_e"]
     moved = None
@@ -187,7 +191,8 @@ def near_pairs(trie: Trie) -> DataFrame:
         spent = here.filter("_e = 1").withColumn("_first", _char(F.col("_p"))).join(edges, [*keys, "_first"])
         steps = F.when(F.col("_other").isNull(), _single_step() if width == 1 else _long_step(width))
         ended = F.col("_other").isNotNull()
-        free = free.withColumn("_hit", ended & (F.levenshtein(left, F.col("_label"), 1) == 1)).withColumn("_to", steps)
+        ends_near = (F.length("_label") <= F.length(left)) & (F.levenshtein(left, F.col("_label"), 1) == 1)
+        free = free.withColumn("_hit", ended & ends_near).withColumn("_to", steps)
         follows = _substr("_w", F.col("_p"), F.lit(width)) == F.col("_label")
         onward = F.when(~ended & follows, F.array(F.struct((F.col("_p") + width).cast("int").alias("_q"), F.lit(1).alias("_f"))))
         spent = spent.withColumn("_hit", ended & (left == F.col("_label"))).withColumn("_to", onward)
@@ -224,9 +229,13 @@ def spelling_groups(counts: DataFrame, ratio: int = FORM_RATIO) -> DataFrame:
     words = store(counts.select("word", "n").withColumn("_i", F.monotonically_increasing_id()), "spelling-words").df
     pairs = near_pairs(build_trie(words)).groupBy("_i", "_other").agg(F.first("_other_n").alias("_other_n"))
     confirmed = pairs.join(words, "_i").filter(F.levenshtein("word", "_other", 1) == 1)
-    best = confirmed.groupBy("_i").agg(F.count(F.lit(1)).alias("_near"), F.min(F.struct((-F.col("_other_n")).alias("n"), F.col("_other").alias("w"))).alias("_best"))
+    either = F.inline(F.array(
+        F.struct("word", "_other", "_other_n"), F.struct(F.col("_other").alias("word"), F.col("word").alias("_other"), F.col("n").alias("_other_n"))))
+    # Dealt by word, equal rows and all rows of a word meet in one shuffle.
+    confirmed = confirmed.select(either).repartition("word").distinct()
+    best = confirmed.groupBy("word").agg(F.count(F.lit(1)).alias("_near"), F.min(F.struct((-F.col("_other_n")).alias("n"), F.col("_other").alias("w"))).alias("_best"))
     ready = F.col("n") * ratio <= -F.col("_best.n")
-    judged = store(words.join(best, "_i", "left").select(
+    judged = store(words.join(best, "word", "left").select(
         "word", "n", F.coalesce("_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(ready, F.col("_best.w")).alias("form"),
         F.when(ready, -F.col("_best.n")).alias("form_n")), "spelling-forms").df
     roots = _roots(judged.filter(F.col("form").isNotNull()))

@@ -86,3 +86,14 @@ def test_no_words(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert sv.spelling_groups(sv.frequent_words(sv.thinned(sv.lowered_runs(none)))).collect() == []
     assert grouped(spark, {"lonesome": 3}) == plain({"lonesome": 3})
+
+
+def test_a_pair_is_walked_from_one_side(spark):
+    """Of two words that differ by one letter and share the rest, only the smaller or the longer one is walked to the other."""
+    words = [f"pre{c}fixsuffix" + end for c in "abcdefgh" for end in ("left", "lift", "lost")] + ["prefixsuffixleft"]
+    table = spark.createDataFrame([(i, w, 2) for i, w in enumerate(words)], "_i bigint, word string, n bigint")
+    walked = {(words[r._i], r._other) for r in sv.near_pairs(sv.build_trie(table)).collect()}
+    walked = {(a, b) for a, b in walked if one_edit(a, b)}
+    assert {frozenset(p) for p in walked} == {frozenset((a, b)) for a in words for b in words if one_edit(a, b)}
+    assert len(walked) < sum(one_edit(a, b) for a in words for b in words)
+    assert all(len(a) >= len(b) for a, b in walked)
