@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import framed
 from storyloom.operators.lookup import lookup_join
 from storyloom.operators.vocabulary import HEAD_IDS, HEAD_TOKEN_BYTES, PAD_ID, UNK_ID, Vocabulary
-from storyloom.scratch import StoredTable, store
+from storyloom.scratch import StoredTable, shuffled_in, store
 
 # A pair that makes up at least 1 / HEAD_PAIRS of all positions belongs to the head; there are at most that many.
 HEAD_PAIRS = 500_000
@@ -39,8 +39,13 @@ def pair_rows(sequences: DataFrame, ids: str = "ids", order: int = 2, keep: list
     )
 
 
-def ngram_counts(sequences: DataFrame, ids: str = "ids", order: int = 2) -> DataFrame:
-    return pair_rows(sequences, ids, order).groupBy("context", "target").agg(F.count(F.lit(1)).alias("freq"))
+def ngram_counts(sequences: DataFrame, ids: str = "ids", order: int = 2, partitions: int | None = None) -> DataFrame:
+    """Counts of contexts with their targets; dealt to at least ``partitions`` when given, and then stored."""
+    counted = pair_rows(sequences, ids, order).groupBy("context", "target").agg(F.count(F.lit(1)).alias("freq"))
+    if partitions is None:
+        return counted
+    with shuffled_in(sequences.sparkSession, partitions):
+        return store(counted, "ngrams").df
 
 
 def bigram_counts(docs: DataFrame, tokens: Column, vocab: Vocabulary, limit: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def is_train():
 
 def framed_store(docs, tok):
     """Ids of every whole story, stored for scoring."""
-    return store(examples.framed_ids(docs, tok), "framed").df
+    return store(examples.framed_ids(docs, tok, partitions=examples.text_partitions(docs)), "framed").df
 
 
 def trained(spark, sf, alpha=1.0):
@@ -53,8 +53,10 @@ def ngram_counts(spark, sf):
     FROM framed WHERE doc_id % 10 <> 0) GROUP BY context, target"""))
 def trigram_counts(spark, sf):
     docs = corpus.stories(spark, sf)
-    framed = examples.framed_ids(docs.filter("split = 'train'"), tokenizer_for(docs))
-    return ngram.ngram_counts(framed, order=3)
+    train = docs.filter("split = 'train'")
+    parts = examples.text_partitions(train)
+    framed = examples.framed_ids(train, tokenizer_for(docs), partitions=parts)
+    return ngram.ngram_counts(framed, order=3, partitions=parts)
 
 
 _TEMPERED = """SELECT context, token, score / 0.7 AS score FROM scores"""

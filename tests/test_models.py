@@ -205,3 +205,17 @@ def test_no_task_holds_a_large_context(spark, monkeypatch):
     assert len(sizes) >= 4 and max(sizes) < 100_000 and sum(sizes) == 200_000
     out = sampling.softmax(df, ["context"])
     assert abs(out.agg(F.sum("p")).first()[0] - 1) < 1e-9
+
+
+def test_counts_in_more_partitions_are_the_same(spark, seqs):
+    stored = ngram.ngram_counts(seqs, order=3, partitions=7)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, ngram.ngram_counts(seqs, order=3).collect()))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_texts_of_a_partition_are_bounded(spark, docs, monkeypatch):
+    assert examples.text_partitions(docs) == 4
+    monkeypatch.setattr(examples, "PARTITION_BYTES", 20)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    parts = examples.text_partitions(docs)
+    assert parts == -(-size // 20) and examples.keyed(docs, parts).rdd.getNumPartitions() == parts
