@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions.text import framed
-from storyloom.operators.lookup import lookup_join
+from storyloom.operators.lookup import fits_broadcast, lookup_join
 from storyloom.operators.vocabulary import HEAD_IDS, HEAD_TOKEN_BYTES, PAD_ID, UNK_ID, Vocabulary
 from storyloom.scratch import StoredTable, shuffled_in, store
 
@@ -118,20 +122,69 @@ def score_pairs(
     loss over the whole vocabulary; seen tokens come from the context's stored sum and all others share one term,
     so the vocabulary is never spread out.
     """
-    alpha, v = F.lit(model.alpha), F.lit(float(model.vocab_size))
     salt_by = ["doc_id", "pos"]
     found = lookup_join(pairs, model.pairs, ["context", "target"], salt_by, model.head(), limit)
     found = lookup_join(found, model.contexts, ["context"], salt_by, F.col("total") >= _context_cut(model), limit)
-    total = F.coalesce("total", F.lit(0)) + alpha * v
-    p = F.when(total == 0, F.lit(float("nan"))).otherwise((F.coalesce("freq", F.lit(0)) + alpha) / total)
-    loss = negative_log(p)
-    if smoothing:
-        unseen = (v - F.coalesce("seen", F.lit(0))) * F.log(alpha)
-        mean = F.log(total) - (F.coalesce("log_sum", F.lit(0.0)) + unseen) / v
-        loss = F.lit(1 - smoothing) * loss + F.lit(smoothing) * mean
+    loss = _loss(F.coalesce("freq", F.lit(0)), _smoothed_total(model), _mean_loss(model) if smoothing else None, model, smoothing)
     return found.withColumn("nll", loss).drop("freq", "total", "seen", "log_sum")
 
 
+def _smoothed_total(model: NgramModel) -> Column:
+    return F.coalesce("total", F.lit(0)) + F.lit(model.alpha) * F.lit(float(model.vocab_size))
+
+
+def _mean_loss(model: NgramModel) -> Column:
+    """Mean loss over the whole vocabulary after a context."""
+    v = F.lit(float(model.vocab_size))
+    unseen = (v - F.coalesce("seen", F.lit(0))) * F.log(F.lit(model.alpha))
+    return F.log(_smoothed_total(model)) - (F.coalesce("log_sum", F.lit(0.0)) + unseen) / v
+
+
+def _loss(freq: Column, total: Column, mean: Column | None, model: NgramModel, smoothing: float) -> Column:
+    p = F.when(total == 0, F.lit(float("nan"))).otherwise((freq + F.lit(model.alpha)) / total)
+    loss = negative_log(p)
+    return loss if mean is None else F.lit(1 - smoothing) * loss + F.lit(smoothing) * mean
+
+
+def summed_losses(pairs: DataFrame, model: NgramModel, smoothing: float = 0.0, limit: int | None = None) -> DataFrame:
+    """Per story the sum of what ``score_pairs`` gives its positions, and their number.
+
+    Where the pair counts are too large to broadcast, a position whose pair is among the most frequent, or whose context is not
+    known, has its loss where it lies. Those of a story are added up there, and only the other positions meet the rest of the counts.
+    """
+    if fits_broadcast(model.pairs, limit):
+        scored = score_pairs(pairs, model, smoothing, limit)
+        return scored.groupBy("doc_id").agg(F.sum("nll").alias("nll_sum"), F.count(F.lit(1)).alias("n_tokens"))
+    found = lookup_join(pairs, model.contexts, ["context"], ["doc_id", "pos"], F.col("total") >= _context_cut(model), limit)
+    top = model.pairs.df.filter(model.head()).select("context", "target", "freq")
+    served = found.join(F.broadcast(top), ["context", "target"], "left")
+    mean = _mean_loss(model) if smoothing else None
+    decided = F.col("freq").isNotNull() | F.col("total").isNull() | F.col("context").isNull() | F.col("target").isNull()
+    loss = _loss(F.coalesce("freq", F.lit(0)), _smoothed_total(model), mean, model, smoothing)
+    rows = served.select(
+        "doc_id", decided.alias("decided"), F.when(decided, loss).alias("nll"), F.lit(1).cast("bigint").alias("n"), "context", "target",
+        _smoothed_total(model).alias("of"), (F.lit(None).cast("double") if mean is None else mean).alias("mean"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != "decided"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch the decided rows are added up by story; the others pass as they are."""
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table.filter(pc.invert(table["decided"])).drop_columns("decided")
+            sums = table.filter(table["decided"]).group_by("doc_id").aggregate([("nll", "sum"), ("n", "sum")])
+            given = {"doc_id": sums["doc_id"], "nll": sums["nll_sum"], "n": sums["n_sum"]}
+            columns = [given[f.name] if f.name in given else pa.nulls(sums.num_rows, f.type) for f in rest.schema]
+            yield from pa.table(columns, schema=rest.schema).to_batches()
+            yield from rest.to_batches()
+
+    asked = rows.mapInArrow(add_up, schema)
+    joined = lookup_join(asked, model.pairs, ["context", "target"], ["doc_id"], limit=limit)
+    rare = _loss(F.coalesce("freq", F.lit(0)), F.col("of"), None if mean is None else F.col("mean"), model, smoothing)
+    # Added-up rows have no pair.
+    nll = F.when(F.col("context").isNull(), F.col("nll")).otherwise(rare)
+    return joined.groupBy("doc_id").agg(F.sum(nll).alias("nll_sum"), F.sum("n").alias("n_tokens"))
+
+
 def _context_cut(model: NgramModel) -> int:
     return max(1, -(-model.positions // HEAD_PAIRS))
 
@@ -140,10 +193,7 @@ def document_losses(
     sequences: DataFrame, model: NgramModel, smoothing: float = 0.0, pad: int = PAD_ID, limit: int | None = None
 ) -> DataFrame:
     """Per story the summed loss and the number of scored positions; padding targets are not scored."""
-    scored = score_pairs(
-        pair_rows(sequences, order=model.order).filter(F.col("target") != pad), model, smoothing, limit
-    )
-    return scored.groupBy("doc_id").agg(F.sum("nll").alias("nll_sum"), F.count(F.lit(1)).alias("n_tokens"))
+    return summed_losses(pair_rows(sequences, order=model.order).filter(F.col("target") != pad), model, smoothing, limit)
 
 
 def batch_losses(losses: DataFrame, batches: DataFrame, by: list[str]) -> DataFrame:
@@ -167,5 +217,5 @@ def infill_losses(truths: DataFrame, model: NgramModel, limit: int | None = None
         "doc_id", F.concat("first", "middle").alias("ids"), offset.alias("skip")
     )
     pairs = pair_rows(filled, order=model.order, keep=["skip"]).filter(F.col("pos") > F.col("skip"))
-    scored = score_pairs(pairs, model, limit=limit)
-    return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_steps"), F.avg("nll").alias("loss"))
+    scored = summed_losses(pairs, model, limit=limit)
+    return scored.select("doc_id", F.col("n_tokens").alias("n_steps"), (F.col("nll_sum") / F.col("n_tokens")).alias("loss"))
