@@ -269,7 +269,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     bands = nodes.select("_x", "_regs", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     bands = bands.select("_x", band(F.col("band")).alias("_bucket"))
     shared = bands.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"), F.min("_x").alias("_hub")).filter("_size > 1")
-    members = store(bands.join(shared, "_bucket"), "buckets").df
+    # Spark sizes an exploded table by its input, so it would broadcast bands of many times that; both sides grow with the input.
+    members = store(bands.hint("merge").join(shared, "_bucket"), "buckets").df
     stars = members.filter("_x <> _hub").select(F.col("_hub").alias("_xa"), F.col("_x").alias("_xb")).distinct()
     stars = store(stars, "stars").df
     wanted = members.select("_x").distinct().join(nodes, "_x").withColumnRenamed("_id", "_want")

@@ -124,3 +124,17 @@ def test_rows_without_identifier_meet_their_own_text_only(spark):
     got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == len(rows)
     assert sum(r.component_id == 5 for r in got) == 41
+
+
+def test_bands_are_never_broadcast(spark, monkeypatch):
+    """Spark takes the exploded bands for smaller than they are; sent to the driver they would fill it."""
+    plans, kept = {}, near_dedup.store
+
+    def seen(df, tag):
+        plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, tag)
+
+    monkeypatch.setattr(near_dedup, "store", seen)
+    docs = spark.createDataFrame(list(enumerate(variants(5, 20, 40, 3))), "doc_id bigint, text string")
+    assert near_dedup.near_components(docs).count() == 20
+    assert "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
