@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import framed
-from storyloom.operators.lookup import lookup_join
+from storyloom.operators import packed
+from storyloom.operators.lookup import fits_broadcast, lookup_join
 from storyloom.operators.vocabulary import HEAD_IDS, HEAD_TOKEN_BYTES, PAD_ID, UNK_ID, Vocabulary
 from storyloom.scratch import StoredTable, shuffled_in, store
 
@@ -136,10 +137,24 @@ def _context_cut(model: NgramModel) -> int:
     return max(1, -(-model.positions // HEAD_PAIRS))
 
 
+def _packs(model: NgramModel, smoothing: float, limit: int | None) -> bool:
+    """Whether blocks of sequences ask for their pairs: the counts are too many to go to every worker, where each position would meet them."""
+    known = model.order == 2 and model.vocab_size < packed.ID_BOUND and (model.alpha > 0 or not smoothing)
+    return known and not fits_broadcast(model.pairs, limit)
+
+
+def _row_losses(sequences: DataFrame, model: NgramModel, smoothing: float, pad: int | None) -> DataFrame:
+    known = model.pairs.rows + model.contexts.rows
+    return packed.row_losses(sequences, model.pairs.df, model.contexts.df, known, model.alpha, model.vocab_size, smoothing, pad)
+
+
 def document_losses(
     sequences: DataFrame, model: NgramModel, smoothing: float = 0.0, pad: int = PAD_ID, limit: int | None = None
 ) -> DataFrame:
     """Per story the summed loss and the number of scored positions; padding targets are not scored."""
+    if _packs(model, smoothing, limit):
+        rows = _row_losses(sequences, model, smoothing, pad)
+        return rows.groupBy("doc_id").agg(F.sum("nll_sum").alias("nll_sum"), F.sum("n_tokens").alias("n_tokens"))
     scored = score_pairs(
         pair_rows(sequences, order=model.order).filter(F.col("target") != pad), model, smoothing, limit
     )
@@ -162,6 +177,11 @@ def batch_losses(losses: DataFrame, batches: DataFrame, by: list[str]) -> DataFr
 
 def infill_losses(truths: DataFrame, model: NgramModel, limit: int | None = None) -> DataFrame:
     """Per story the mean loss of its middle ids, each after the ids to its left."""
+    if _packs(model, 0.0, limit):
+        # A bigram needs but the last id before the middle.
+        seen = F.when(F.size("first") > 0, F.slice("first", -1, 1)).otherwise(F.col("first"))
+        rows = _row_losses(truths.filter(F.size("middle") > 0).select("doc_id", F.concat(seen, "middle").alias("ids")), model, 0.0, None)
+        return rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_steps"), (F.sum("nll_sum") / F.sum("n_tokens")).alias("loss"))
     offset = F.size("first")
     filled = truths.filter(F.size("middle") > 0).select(
         "doc_id", F.concat("first", "middle").alias("ids"), offset.alias("skip")
