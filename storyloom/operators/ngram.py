@@ -53,9 +53,13 @@ def bigram_counts(docs: DataFrame, tokens: Column, vocab: Vocabulary, limit: int
     """Bigram counts of framed stories straight from their tokens.
 
     Pairs are counted as strings with a partial count in every map task, and only distinct pairs meet the vocabulary.
-    No story has to be put together again, so nothing is shuffled but distinct pairs.
+    No story has to be put together again, so nothing is shuffled but distinct pairs. With a vocabulary too large to broadcast, blocks of
+    stories seek their words, and the pairs of ids are counted.
     """
     framed_tokens = framed(tokens)
+    if not fits_broadcast(vocab.table, limit) and vocab.size < packed.ID_BOUND:
+        rows = docs.select(F.lit(0).alias("_row"), framed_tokens.alias("_t"))
+        return packed.Words(rows, {"ids": F.col("_t")}, vocab.df, "_row", UNK_ID).bigrams()
     n = F.size("_t") - 1
     pairs = F.arrays_zip(F.slice("_t", F.lit(1), n).alias("l"), F.slice("_t", F.lit(2), n).alias("r"))
     counted = (

@@ -1,6 +1,6 @@
-"""Losses of sequences under a count model that no worker can hold, without a row for each position.
+"""Ids of words, counts of pairs and losses of sequences with tables that no worker can hold, without a row for each position.
 
-Sequences are packed into blocks. A block asks for each of its distinct pairs and contexts once; questions and counts are dealt to buckets
+Texts or sequences are packed into blocks. A block seeks each of its distinct words once and makes ids of its texts where they lie. A block asks for each of its distinct pairs and contexts once; questions and counts are dealt to buckets
 by a hash of the key, so no key that occurs often gathers rows in one task, and the answers go back to the block, where the
 positions lie. Keys are sorted and sent as differences, cut to planes of bytes, which compress well.
 """
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -279,3 +280,141 @@ def row_losses(sequences: DataFrame, pairs: DataFrame, contexts: DataFrame, n_kn
     met = blocks.drop("_n").unionByName(answers, allowMissingColumns=True)
     scored = T.StructType([T.StructField("doc_id", kind), T.StructField("nll_sum", T.DoubleType()), T.StructField("n_tokens", T.LongType())])
     return met.groupBy("_block").applyInArrow(_scored(pad, buckets, alpha, vocab_size, smoothing, arrow), scored)
+
+
+def _word_blocks(key_type: pa.DataType, names: list[str]):
+    """Rows of word lists as blocks: their keys, the length of each list, the distinct words, and the place of each word among them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        owners, lengths, words, held = [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            keys = pa.concat_arrays(owners)
+            coded = pa.concat_arrays(words).dictionary_encode()
+            # A word that is missing has the place after the last one.
+            places = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(part << 32) | made], pa.int64()), whole(keys), pa.array([planes(np.concatenate(lengths).ravel().astype(np.uint64))], pa.binary()),
+                    pa.array([planes(places.astype(np.uint64))], pa.binary()), whole(coded.dictionary.cast(pa.string())), pa.array([len(places)], pa.int64()),
+                ],
+                names=["_block", "_keys", "_lengths", "_places", "_words", "_n"],
+            )
+
+        for batch in batches:
+            column = batch.column("_w")
+            # Of a row with a list that is null no list has words.
+            whole = column.is_valid().to_numpy(zero_copy_only=False)
+            size = np.stack([np.where(whole, batch.column(f"_s{k}").fill_null(0).to_numpy(), 0) for k in range(len(names))], axis=1).astype(np.int64)
+            flat, ends, low = column.flatten(), np.cumsum(size.sum(axis=1)), 0
+            while low < len(size):
+                begin = int(ends[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, begin + BLOCK_IDS - held, side="right")))
+                owners.append(batch.column("_key").slice(low, high - low))
+                lengths.append(size[low:high])
+                words.append(flat.slice(begin, int(ends[high - 1]) - begin))
+                held, low = held + int(ends[high - 1]) - begin, high
+                if held >= BLOCK_IDS or low < len(size):
+                    yield row()
+                    made, owners, lengths, words, held = made + 1, [], [], [], 0
+        if owners:
+            yield row()
+
+    return read
+
+
+class Words:
+    """Lists of words in stored blocks whose distinct words have met a vocabulary."""
+
+    def __init__(self, rows: DataFrame, lists: dict, vocab: DataFrame, key: str, unknown: int):
+        self.names, self.key, self.unknown = list(lists), key, unknown
+        self.kind = rows.schema[key].dataType
+        layout = T.StructType([
+            T.StructField("_block", T.LongType()), T.StructField("_keys", T.ArrayType(self.kind)), T.StructField("_lengths", T.BinaryType()),
+            T.StructField("_places", T.BinaryType()), T.StructField("_words", T.ArrayType(T.StringType())), T.StructField("_n", T.LongType()),
+        ])
+        cut = rows.select(F.col(key).alias("_key"), *[c.alias(f"_l{k}") for k, c in enumerate(lists.values())])
+        sizes = [F.size(f"_l{k}").alias(f"_s{k}") for k in range(len(lists))]
+        words = F.concat(*[f"_l{k}" for k in range(len(lists))]).alias("_w")
+        self.blocks = store(cut.select("_key", words, *sizes).mapInArrow(_word_blocks(to_arrow_type(self.kind), self.names), layout), "words").df
+        # Every word is sought once for each block that has it.
+        sought = self.blocks.select("_block", F.inline(F.transform("_words", lambda w, i: F.struct(i.alias("_at"), w.alias("token")))))
+        found = sought.hint("merge").join(vocab.select("token", "id"), "token", "left").select("_block", "_at", F.col("id").alias("_id"))
+        self.met = self.blocks.select("_block", "_keys", "_lengths", "_places").unionByName(found, allowMissingColumns=True).groupBy("_block")
+
+    def ids(self) -> DataFrame:
+        """The key and the lists of ids of every row."""
+        names, kind, unknown = [f"_l{k}" for k in range(len(self.names))], to_arrow_type(self.kind), self.unknown
+
+        def read(table: pa.Table) -> pa.Table:
+            keys, lengths, ids = _read_words(table, unknown)
+            lists, ends = lengths.reshape(len(keys), -1), np.concatenate(([0], np.cumsum(lengths)))
+            cut = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            return pa.table({"_key": pa.array(keys, kind), **{n: cut.take(pa.array(np.arange(len(keys)) * lists.shape[1] + k)) for k, n in enumerate(names)}})
+
+        layout = T.StructType([T.StructField("_key", self.kind), *(T.StructField(n, T.ArrayType(T.LongType())) for n in names)])
+        return self.met.applyInArrow(read, layout).select(F.col("_key").alias(self.key), *[F.col(n).alias(name) for n, name in zip(names, self.names)])
+
+    def bigrams(self) -> DataFrame:
+        """How often a word comes after another in the lists: ``context``, ``target``, ``freq``."""
+        total = self.blocks.agg(F.sum("_n")).first()[0] or 0
+        buckets, unknown = max(1, -(-total // BUCKET_ASKS)), self.unknown
+
+        def part(table: pa.Table) -> pa.Table:
+            _, lengths, ids = _read_words(table, unknown)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            inside = owner[1:] == owner[:-1]
+            keys, counts = np.unique(_keys(ids[:-1][inside].astype(np.uint64), ids[1:][inside].astype(np.uint64)), return_counts=True)
+            order, bounds = _by_bucket(keys, buckets)
+            used = np.flatnonzero(np.diff(bounds)).tolist()
+            some = [order[bounds[b] : bounds[b + 1]] for b in used]
+            return pa.table({
+                "_bucket": pa.array(used, pa.int32()), "_pairs": pa.array([_sorted_planes(keys[s]) for s in some], pa.binary()),
+                "_counts": pa.array([planes(counts[s].astype(np.uint64)) for s in some], pa.binary()),
+            })
+
+        def summed(table: pa.Table) -> pa.Table:
+            keys = np.concatenate([_sorted_keys(x) for x in table.column("_pairs").to_pylist()])
+            counts = np.concatenate([unplanes(x) for x in table.column("_counts").to_pylist()])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            some = keys[first]
+            return pa.table({
+                "context": (some >> np.uint64(32)).astype(np.int64), "target": (some & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1,
+                "freq": np.add.reduceat(counts, first).astype(np.int64),
+            })
+
+        parts = self.met.applyInArrow(part, "_bucket int, _pairs binary, _counts binary")
+        return parts.groupBy("_bucket").applyInArrow(summed, "context bigint, target bigint, freq bigint")
+
+
+def _read_words(table: pa.Table, unknown: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Keys, lengths of their lists and all ids of a block, from its row and those of its words."""
+    own = table.column("_at").is_null()
+    block, told = table.filter(own).to_pylist()[0], table.filter(pc.invert(own))
+    at, ids = told.column("_at").to_numpy(), told.column("_id").fill_null(unknown).to_numpy()
+    number = np.full(len(at) + 1, unknown, dtype=np.int64)
+    number[at] = ids
+    return block["_keys"], unplanes(block["_lengths"]).astype(np.int64), number[unplanes(block["_places"]).astype(np.int64)]
+
+
+def encoded(rows: DataFrame, lists: dict, vocab: DataFrame, key: str, unknown: int) -> DataFrame:
+    """``key`` and the ids of its lists of words. Of rows that share a key, ids follow one another by place, then by id."""
+    words = Words(rows, lists, vocab, key, unknown)
+    ids = words.ids()
+    owners = words.blocks.select(F.explode("_keys").alias(key))
+    shared = store(owners.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_shared")), "shared")
+    if not shared.rows:
+        return ids
+    same = F.col(key).eqNullSafe(F.col("_shared"))
+    at = lambda n, start: F.transform(n, lambda v, i: F.struct((start + i).alias("pos"), v.alias("v")))
+    start, placed, merged = F.lit(0), [], []
+    for k, n in enumerate(words.names):
+        placed.append(at(n, start).alias(f"_e{k}"))
+        merged.append(F.sort_array(F.flatten(F.collect_list(f"_e{k}")))["v"].alias(n))
+        start = start + F.size(n)
+    several = ids.join(shared.df, same, "left_semi").select(key, *placed).groupBy(key).agg(*merged)
+    return ids.join(shared.df, same, "left_anti").unionByName(several)

@@ -10,7 +10,7 @@ from storyloom.plans.corpus_queries import SEED
 from storyloom.plans.example_queries import BATCH, tokenizer_for
 from storyloom.plans.registry import query
 from storyloom.plans.sql import sql, unit
-from storyloom.scratch import store
+from storyloom.scratch import store, store_made
 from storyloom.sources import corpus
 
 WORLD, EPOCHS = 4, 4
@@ -22,7 +22,7 @@ def is_train():
 
 def framed_store(docs, tok):
     """Ids of every whole story, stored for scoring."""
-    return store(examples.framed_ids(docs, tok, partitions=examples.text_partitions(docs)), "framed").df
+    return store_made(docs.sparkSession, lambda: examples.framed_ids(docs, tok, partitions=examples.text_partitions(docs)), "framed").df
 
 
 def trained(spark, sf, alpha=1.0):
@@ -35,7 +35,7 @@ def train_pairs(spark, sf):
     docs = corpus.stories(spark, sf)
     tok = tokenizer_for(docs)
     train = docs.filter("split = 'train'")
-    return store(ngram.bigram_counts(train, simple_tokens(F.col("text")), tok.vocab), "pairs"), tok
+    return store_made(spark, lambda: ngram.bigram_counts(train, simple_tokens(F.col("text")), tok.vocab), "pairs"), tok
 
 
 def bigram_scores(spark, sf):
@@ -217,7 +217,7 @@ def param_sweep(spark, sf):
 
 def _batched_losses(spark, sf, smoothing=0.0, alpha=1.0, batch=BATCH):
     docs, tok, model = trained(spark, sf, alpha)
-    losses = ngram.document_losses(framed_store(docs, tok), model, smoothing)
+    losses = store_made(spark, lambda: ngram.document_losses(framed_store(docs, tok), model, smoothing), "losses").df
     placed = batching.assign_batches(docs.select("doc_id"), batch, [], [F.col("doc_id")])
     return ngram.batch_losses(losses, placed, ["batch_id"])
 
@@ -270,8 +270,8 @@ def training_metrics(spark, sf):
     Stories are scored once; epochs only regroup them.
     """
     docs, tok, model = trained(spark, sf)
-    train = framed_store(docs.filter(is_train()), tok)
-    losses = store(ngram.document_losses(train, model), "losses").df
+    train = docs.filter(is_train())
+    losses = store_made(spark, lambda: ngram.document_losses(framed_store(train, tok), model), "losses").df
     order = batching.epoch_order(losses.select("doc_id"), SEED, EPOCHS)
     dealt = batching.shard_positions(order, WORLD).withColumn("batch_id", F.floor(F.col("slot") / BATCH).cast("bigint"))
     return ngram.batch_losses(losses, dealt, ["epoch", "rank", "batch_id"])
@@ -317,7 +317,7 @@ _INFILL_LOSS = {
 
 def story_losses(spark, sf):
     docs, tok, model = trained(spark, sf)
-    return ngram.infill_losses(examples.middle_truth(docs, tok), model)
+    return store_made(spark, lambda: ngram.infill_losses(examples.middle_truth(docs, tok), model), "losses").df
 
 
 @query("infill_loss", sql("mids", "counts", "ctx", "nv", extra=_INFILL_LOSS, body="SELECT doc_id, n_steps, round(loss, 9) AS loss FROM by_story"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom import scratch
 from storyloom.operators import ngram, packed
+from storyloom.operators.vocabulary import build_vocabulary, encode_columns
 
 LARGE = 1 << 40
 
@@ -70,3 +71,40 @@ def test_shuffles_of_a_stored_table_go(spark):
         time.sleep(0.25)
     assert not files() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_words_of_blocks_and_of_rows_have_the_same_ids(spark, monkeypatch):
+    """Keys may repeat or be null, lists may be null or empty, and a block may hold one text or many."""
+    monkeypatch.setattr(packed, "BLOCK_IDS", 30)
+    rng = random.Random(7)
+    words = lambda most: " ".join(rng.choice(["a", "b", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(most)))
+    rows = [(i, words(20), words(6)) for i in range(50)] + [(3, words(9), words(9)), (None, "a b", "c"), (None, "b w1 w2", None), (None, "w3 a", "b"), (60, None, "a"), (61, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, other string").repartition(3)
+    lists = {"x": F.split("text", " "), "y": F.split("other", " ")}
+    vocab = build_vocabulary(docs.filter("doc_id < 20"), lists["x"])
+    ids = [told(encode_columns(docs, lists, vocab, limit=limit).select("doc_id", "x", "y")) for limit in (0, LARGE)]
+    assert ids[0] == ids[1] and len(ids[0]) == 53
+    pairs = [told(ngram.bigram_counts(docs, lists["x"], vocab, limit).select("context", "target", "freq")) for limit in (0, LARGE)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 50
+
+
+def test_no_text_and_no_row(spark):
+    """Tables without a row, or without a word, count and encode to nothing."""
+    docs = spark.createDataFrame([(1, None), (2, None)], "doc_id bigint, text string")
+    vocab = build_vocabulary(docs, F.split("text", " "))
+    for rows in (docs, docs.filter("doc_id > 5")):
+        ids = [told(encode_columns(rows, {"x": F.split("text", " ")}, vocab, limit=limit)) for limit in (0, LARGE)]
+        pairs = [told(ngram.bigram_counts(rows, F.split("text", " "), vocab, limit)) for limit in (0, LARGE)]
+        assert ids[0] == ids[1] and pairs == [[], []]
+
+
+def test_what_a_stored_table_was_built_from_goes(spark):
+    made = []
+
+    def make():
+        made.append(scratch.store(spark.range(5), "step"))
+        return made[0].df.filter("id > 2")
+
+    kept = scratch.store_made(spark, make, "kept")
+    fs, path = scratch._filesystem(spark, made[0].path)
+    assert kept.rows == kept.df.count() == 2 and not fs.exists(path)
