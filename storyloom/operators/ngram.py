@@ -54,10 +54,10 @@ def bigram_counts(docs: DataFrame, tokens: Column, vocab: Vocabulary, limit: int
 
     Pairs are counted as strings with a partial count in every map task, and only distinct pairs meet the vocabulary.
     No story has to be put together again, so nothing is shuffled but distinct pairs. With a vocabulary too large to broadcast, blocks of
-    stories seek their words, and the pairs of ids are counted.
+    stories seek their words, and the pairs of ids are counted; a ``limit`` of its own holds a caller to joins.
     """
     framed_tokens = framed(tokens)
-    if not fits_broadcast(vocab.table, limit) and vocab.size < packed.ID_BOUND:
+    if limit is None and not fits_broadcast(vocab.table) and vocab.size < packed.ID_BOUND:
         rows = docs.select(F.lit(0).alias("_row"), framed_tokens.alias("_t"))
         return packed.Words(rows, {"ids": F.col("_t")}, vocab.df, "_row", UNK_ID).bigrams()
     n = F.size("_t") - 1
@@ -142,9 +142,11 @@ def _context_cut(model: NgramModel) -> int:
 
 
 def _packs(model: NgramModel, smoothing: float, limit: int | None) -> bool:
-    """Whether blocks of sequences ask for their pairs: the counts are too many to go to every worker, where each position would meet them."""
-    known = model.order == 2 and model.vocab_size < packed.ID_BOUND and (model.alpha > 0 or not smoothing)
-    return known and not fits_broadcast(model.pairs, limit)
+    """Whether blocks of sequences ask for their pairs: the counts are too many to go to every worker, where each position would meet them.
+
+    A ``limit`` of its own holds a caller to joins."""
+    known = limit is None and model.order == 2 and model.vocab_size < packed.ID_BOUND and (model.alpha > 0 or not smoothing)
+    return known and not fits_broadcast(model.pairs)
 
 
 def _row_losses(sequences: DataFrame, model: NgramModel, smoothing: float, pad: int | None) -> DataFrame:

@@ -21,9 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from storyloom.scratch import store
 
 # Ids of a block, unless a single sequence is longer.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 # Counts and questions of a bucket, about.
-BUCKET_KEYS, BUCKET_ASKS = 500_000, 2_000_000
+BUCKET_KEYS, BUCKET_ASKS = 250_000, 1_000_000
 # Ids are below this bound; others are in no count and share one number, and so do empty ones.
 ID_BOUND = 1 << 31
 _OTHER, _EMPTY = np.uint64((1 << 32) - 2), np.uint64((1 << 32) - 3)

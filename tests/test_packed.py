@@ -8,10 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom import scratch
-from storyloom.operators import ngram, packed
+from storyloom.operators import lookup, ngram, packed
 from storyloom.operators.vocabulary import build_vocabulary, encode_columns
 
-LARGE = 1 << 40
+
+def both_ways(monkeypatch, make):
+    """What ``make`` gives with tables too large for every worker, and with tables that are not."""
+    made = []
+    for size in (0, lookup.BROADCAST_BYTES):
+        with monkeypatch.context() as m:
+            m.setattr(lookup, "BROADCAST_BYTES", size)
+            made.append(make())
+    return made
 
 
 def stories(n=40, seed=3):
@@ -32,10 +40,10 @@ def test_losses_of_blocks_and_of_positions_agree(spark, monkeypatch, alpha, smoo
     monkeypatch.setattr(packed, "BUCKET_KEYS", 20)
     seqs = spark.createDataFrame(stories(), "doc_id bigint, ids array<bigint>").repartition(3)
     model = ngram.train_ngram(seqs.filter("doc_id < 25"), 60, alpha)
-    blocks, joins = (ngram.document_losses(seqs, model, smoothing, limit=limit) for limit in (0, LARGE))
+    blocks, joins = both_ways(monkeypatch, lambda: ngram.document_losses(seqs, model, smoothing))
     assert "FlatMapGroupsInArrow" in blocks._jdf.queryExecution().executedPlan().toString()
     got = told(blocks)
-    assert got == told(joins) and len(got) == 41
+    assert got == told(joins) == told(ngram.document_losses(seqs, model, smoothing, limit=0)) and len(got) == 41
     if not alpha:
         assert any("inf" in r[1] or "nan" in r[1] for r in got)
 
@@ -46,7 +54,8 @@ def test_infill_losses_of_blocks_and_of_positions_agree(spark, monkeypatch):
     ids = lambda most: [rng.randrange(4, 30) for _ in range(rng.randrange(most))]
     truths = spark.createDataFrame([(i, ids(3), ids(9)) for i in range(60)], "doc_id bigint, first array<bigint>, middle array<bigint>")
     model = ngram.train_ngram(spark.createDataFrame(stories(), "doc_id bigint, ids array<bigint>"), 60)
-    assert told(ngram.infill_losses(truths, model, limit=0)) == told(ngram.infill_losses(truths, model, limit=LARGE))
+    got, want = both_ways(monkeypatch, lambda: told(ngram.infill_losses(truths, model)))
+    assert got == want and got
 
 
 def test_a_question_goes_once_for_each_block(spark):
@@ -82,19 +91,19 @@ def test_words_of_blocks_and_of_rows_have_the_same_ids(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, other string").repartition(3)
     lists = {"x": F.split("text", " "), "y": F.split("other", " ")}
     vocab = build_vocabulary(docs.filter("doc_id < 20"), lists["x"])
-    ids = [told(encode_columns(docs, lists, vocab, limit=limit).select("doc_id", "x", "y")) for limit in (0, LARGE)]
+    ids = both_ways(monkeypatch, lambda: told(encode_columns(docs, lists, vocab).select("doc_id", "x", "y")))
     assert ids[0] == ids[1] and len(ids[0]) == 53
-    pairs = [told(ngram.bigram_counts(docs, lists["x"], vocab, limit).select("context", "target", "freq")) for limit in (0, LARGE)]
+    pairs = both_ways(monkeypatch, lambda: told(ngram.bigram_counts(docs, lists["x"], vocab).select("context", "target", "freq")))
     assert pairs[0] == pairs[1] and len(pairs[0]) > 50
 
 
-def test_no_text_and_no_row(spark):
+def test_no_text_and_no_row(spark, monkeypatch):
     """Tables without a row, or without a word, count and encode to nothing."""
     docs = spark.createDataFrame([(1, None), (2, None)], "doc_id bigint, text string")
     vocab = build_vocabulary(docs, F.split("text", " "))
     for rows in (docs, docs.filter("doc_id > 5")):
-        ids = [told(encode_columns(rows, {"x": F.split("text", " ")}, vocab, limit=limit)) for limit in (0, LARGE)]
-        pairs = [told(ngram.bigram_counts(rows, F.split("text", " "), vocab, limit)) for limit in (0, LARGE)]
+        ids = both_ways(monkeypatch, lambda: told(encode_columns(rows, {"x": F.split("text", " ")}, vocab)))
+        pairs = both_ways(monkeypatch, lambda: told(ngram.bigram_counts(rows, F.split("text", " "), vocab)))
         assert ids[0] == ids[1] and pairs == [[], []]
 
 
